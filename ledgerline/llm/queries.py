@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .mixing import op1_mixing
+from .packing import op6_packing
 from .sharding import op9_sharding
+from .token_files import op3_token_files
+from .toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_packing": op6_packing,
     "op9_sharding": op9_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
