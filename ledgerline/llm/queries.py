@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .audio import op8_audio
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op1_mixing
+from .near_dedup import op7_near_dedup
 from .packing import op6_packing
+from .secrets_scan import op5_secrets
 from .sharding import op9_sharding
 from .token_files import op3_token_files
 from .toxicity import op10_toxicity
@@ -13,7 +16,10 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secrets": op5_secrets,
     "op6_packing": op6_packing,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_audio": op8_audio,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
 }
