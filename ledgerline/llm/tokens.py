@@ -6,8 +6,10 @@ import os
 
 import numpy as np
 
-#: Words whose ids a worker remembers: some 100 MB at most.
-REMEMBERED = 400_000
+#: Words, and word stems, whose ids a worker remembers: some 100 MB at most.
+REMEMBERED = 500_000
+#: Marks that, after an ASCII letter, begin a token of their own.
+TRAILING = b".,;:!?|"
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,7 +26,9 @@ class TextEncoder:
 
     Where the tokenizer treats white space only as a boundary, a text's ids are
     those of its words in turn, so that words met before need not be encoded
-    again; the constructor tests for that and else encodes whole texts.
+    again. Where it also folds ASCII case and splits marks from a letter before
+    them, a new word is looked up as a lower-case stem and its marks first. The
+    constructor tests for both and else encodes whole texts, or whole words.
     """
 
     def __init__(self, name: str):
@@ -33,28 +37,63 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        whole = self._ids([" Ab,\tc's\n\n12 \x0b<x>\x0cy  z\r"])[0]
-        self.by_word = whole == b"".join(self._ids(["Ab,", "c's", "12", "<x>", "y", "z"]))
-        self.known: dict[bytes, bytes] = {}
+        self.by_word = self._same(" Ab,\tc's\n\n12 \x0b<x>\x0cy  z\r", ["Ab,", "c's", "12", "<x>", "y", "z"])
+        self.by_stem = self.by_word and all(self._same(x + m + "!?", [x.lower(), m + "!?"]) for x in ("Ab", "it's", "x-Y", "4zÉ") for m in TRAILING.decode())
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    def _same(self, text: str, parts: list[str]) -> bool:
+        return self._ids([text])[0] == b"".join(self._ids(parts))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words by one call, cut where a token ends a word; None unless each word has one such end."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(cuts) != len(words):
+            return None
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[width * a : width * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        """A stem and marks whose ids in turn are the word's."""
+        if not self.by_stem or b"<|" in word:  # special tokens are matched before case folding
+            return word, b""
+        stem = word.rstrip(TRAILING)
+        if not stem.decode("utf-8", "replace")[-1:].isalpha():
+            stem = word
+        marks = word[len(stem) :]
+        return stem.lower() if stem.isascii() else stem, marks
+
+    def _learn(self, new: list[bytes]) -> None:
+        split = [self._split(w) for w in new]
+        stems = self.stems
+        missing = [s for s in set().union(*split).difference(stems) if s]
+        letters_only = [s.isalpha() for s in missing]  # bytes: ASCII letters
+        for plain in (True, False):  # words of letters only can be encoded together
+            some = [s for s, letters in zip(missing, letters_only, strict=True) if letters == plain]
+            if some:
+                texts = [s.decode("utf-8", "replace") for s in some]
+                stems.update(zip(some, (self._joined(texts) if plain else None) or self._ids(texts), strict=True))
+        self.words.update((w, stems[s] + (stems[m] if m else b"")) for w, (s, m) in zip(new, split, strict=True))
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Null counts as the empty text."""
         if not self.by_word:
             return self._ids([(t or b"").decode("utf-8", "replace") for t in texts])
-        found = []
-        for text in texts:
-            words = (text or b"").split()
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                known.update(zip(new, self._ids([w.decode("utf-8", "replace") for w in new]), strict=True))
-            found.append(b"".join([known[w] for w in words]))
-        return found
+        for known in (self.words, self.stems):
+            if len(known) > REMEMBERED:
+                known.clear()
+        split, words = [(t or b"").split() for t in texts], self.words
+        new = list(set().union(*split).difference(words))
+        if new:
+            self._learn(new)
+        return [b"".join(map(words.__getitem__, part)) for part in split]
 
 
 _encoders: dict[str, TextEncoder] = {}
