@@ -28,8 +28,8 @@ class Ftrl:
         self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha * w
         self.n[at] += g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """The coordinates whose weight is not zero, and those weights."""
+    def fit(self, rows: list[tuple], epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The coordinates whose weight is not zero, and those weights; rows are learn()'s arguments."""
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             for k in rng.permutation(len(rows)):

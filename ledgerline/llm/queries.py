@@ -7,6 +7,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op1_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op6_packing
+from .quality import op2_quality
 from .secrets_scan import op5_secrets
 from .sharding import op9_sharding
 from .token_files import op3_token_files
@@ -14,6 +15,7 @@ from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_quality": op2_quality,
     "op3_token_files": op3_token_files,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_secrets": op5_secrets,

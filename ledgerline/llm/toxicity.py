@@ -1,10 +1,11 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed n-grams.
 
-Features are the presence of words, word pairs and pairs that skip one word,
-hashed into one space for words and one for pairs. A bounded, hash-chosen sample
-of labelled documents is dealt into shards; each task trains on its shard, and
-the sparse weights are averaged. The compact weights are then broadcast and
-every whole text is scored in one pass without a shuffle.
+Features are the presence of words, of long words' stems (their first bytes), of
+word pairs and of pairs that skip one word, hashed into one space for words and
+one for pairs. A bounded, hash-chosen sample of labelled documents is dealt into
+shards; each task trains on its shard, and the sparse weights are averaged. The
+compact weights are then broadcast and every whole text is scored in one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,18 +22,22 @@ from .wordhash import LOWER, sequence_hashes, word_hashes
 WORD_BITS, PAIR_BITS = 21, 22
 DIMS = (1 << WORD_BITS) + (1 << PAIR_BITS)
 #: Labelled documents the model is trained on, about, and at most; shards of them.
-TRAIN, TRAIN_MAX, SHARDS = 20_000, 40_000, 4
-EPOCHS = 4
+TRAIN, TRAIN_MAX, SHARD_ROWS = 20_000, 40_000, 10_000
+EPOCHS, ALPHA, POSITIVE_WEIGHT = 5, 2.0, 4.0
+#: Coordinates are learned where so many of a shard's documents have them, and at most such a share.
+LEAST_DOCS, MOST_SHARE = 4, 0.3
+STEM = 7
 THRESHOLD = 0.7
 EDGES = b".,;:!?\"'()[]{}<>*-_"
 SPANS = ((0,), (0, 1), (0, 2))
 
 
 def coordinates(text: bytes | None) -> np.ndarray:
-    """The coordinate of every word, pair and skipping pair in turn; repeats stay. 0 is the bias."""
+    """The coordinate of every word, stem, pair and skipping pair in turn; repeats stay. 0 is the bias."""
     words = [w for x in (text or b"").translate(LOWER).split() if (w := x.strip(EDGES))]
     hashes = word_hashes(words)
-    single = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    stems = word_hashes([b"^" + w[:STEM] for w in words if len(w) > STEM])
+    single = (np.concatenate([hashes, stems]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     pairs = [(sequence_hashes(hashes, s) >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + (1 << WORD_BITS) for s in SPANS[1:]]
     at = np.concatenate([single, *pairs])
     return np.where(at == 0, 1, at)
@@ -41,8 +46,17 @@ def coordinates(text: bytes | None) -> np.ndarray:
 def _train(batches):
     """One shard's documents (shard, text, label), in order of shard -> its sparse weights."""
 
-    def fit(shard, rows):
-        at, w = Ftrl(DIMS).fit(rows, EPOCHS, shard)
+    def fit(shard, found):
+        df = np.zeros(DIMS, np.int32)
+        for at, _ in found:
+            df[at] += 1
+        known = (df >= LEAST_DOCS) & (df <= MOST_SHARE * len(found))
+        known[0] = True
+        rows = [(at[known[at]], y) for at, y in found]
+        p = sum(y for _, y in rows) / len(rows)
+        # What a coordinate that tells nothing gathers by chance over the shard's rows.
+        l1 = float(np.sqrt(len(rows) * p * (1 - p)))
+        at, w = Ftrl(DIMS, alpha=ALPHA, l1=l1, l2=0.0).fit([(at, np.ones(len(at)), y, POSITIVE_WEIGHT if y else 1.0) for at, y in rows], EPOCHS, shard)
         return pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([at.tolist()], pa.list_(pa.int64())), pa.array([w.tolist()], pa.list_(pa.float64()))], ["n", "at", "w"])
 
     current, rows = None, []
@@ -52,8 +66,7 @@ def _train(batches):
                 yield fit(current, rows)
                 rows = []
             current = shard
-            at = np.unique(np.append(coordinates(text), 0))
-            rows.append((at, np.ones(len(at)), float(label)))
+            rows.append((np.unique(np.append(coordinates(text), 0)).astype(np.int32), float(label)))
     if rows:
         yield fit(current, rows)
 
@@ -66,11 +79,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     and every score is 0.5.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    share = min(1.0, TRAIN / max(1, labels.count()))
+    n = labels.count()
+    share, parts = min(1.0, TRAIN / max(1, n)), max(1, round(min(n, TRAIN) / SHARD_ROWS))
     chosen = known.filter(F.pmod(F.xxhash64(id_col, F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(TRAIN_MAX)
     rows = docs.join(F.broadcast(chosen.withColumnRenamed(id_col, "_labelled")), F.col(id_col) == F.col("_labelled"))
-    rows = rows.select(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(SHARDS)).cast("int").alias("shard"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), "label")
-    shards = rows.repartitionById(SHARDS, F.col("shard")).sortWithinPartitions("shard", "doc_id")
+    rows = rows.select(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(parts)).cast("int").alias("shard"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), "label")
+    shards = rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "doc_id")
     return mixed((r.n, r.at, r.w) for r in shards.select("shard", "text", "label").mapInArrow(_train, "n long, at array<long>, w array<double>").collect())
 
 
