@@ -49,7 +49,7 @@ def discrete_percentile(values: Column, p: float, rule: str) -> Column:
     Holds a group's values in one row; for unbounded groups use percentile_approx.
     """
     ordered = F.array_sort(F.collect_list(values))
-    return F.try_element_at(ordered, (RULES[rule](F.size(ordered), F.lit(p)) + 1).cast("int"))
+    return F.get(ordered, RULES[rule](F.size(ordered), F.lit(p)).cast("int"))
 
 
 def share_below(value: Column, sorted_values: Column) -> Column:

@@ -26,12 +26,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, id, rank of the nodes of edges (keys, src, dst, weight); each combination of keys is a graph of its own.
 
-    Weights are clamped to 0..1 and edges of weight 0 dropped. Nodes without an
+    Weights are clamped to 0..1; edges whose weight is 0, null or NaN are dropped. Nodes without an
     outgoing edge spread their rank over all nodes. Stops when the summed change
     is below the tolerance in every graph, or after so many rounds.
     """
     k = list(keys)
-    edges = edges.select(*k, "src", "dst", F.least(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("weight")).filter("weight > 0 and not isnan(weight)")
+    edges = edges.select(*k, "src", "dst", F.least(F.greatest(F.nanvl(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("weight")).filter("weight > 0")
     nodes = edges.select(*k, F.explode(F.array("src", "dst")).alias("id")).distinct()
     out = edges.groupBy(*k, F.col("src").alias("id")).agg(F.sum("weight").alias("out"))
     size = nodes.groupBy(*k).agg(F.count("*").alias("n")) if k else nodes.agg(F.count("*").alias("n"))
