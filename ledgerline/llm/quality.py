@@ -46,7 +46,7 @@ COMMON = b".,;:!?'\"()-"
 ODD = bytes(c for c in MARKS if c not in COMMON)
 
 DIM_BITS = 16
-TRAIN, TRAIN_MAX, SHARDS, EPOCHS = 12_000, 24_000, 4, 6
+TRAIN, TRAIN_MAX, SHARD_ROWS, EPOCHS = 12_000, 24_000, 3_000, 8
 THRESHOLD = 0.5
 
 
@@ -80,31 +80,35 @@ def votes(text: bytes | None) -> int:
 
 @dataclass
 class LabelModel:
-    """prior: share of good documents; rates[labeller][class][vote]."""
+    """prior: share of good documents; rates[labeller][class][vote] of the votes that are cast."""
 
     prior: float
     rates: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """The probability that documents with these patterns are good."""
+        """The probability that documents with these patterns are good; a missing vote tells nothing."""
         digits = (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
-        log = np.log(self.rates)[np.arange(len(LABELLERS))[None, :], :, digits].sum(axis=1) + np.log([1 - self.prior, self.prior])
+        silent = np.zeros((len(LABELLERS), 2, 1))
+        log = np.concatenate([np.log(self.rates), silent], axis=2)[np.arange(len(LABELLERS))[None, :], :, digits].sum(axis=1)
+        log = log + np.log([1 - self.prior, self.prior])
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
 
     def accuracies(self) -> dict[str, float]:
         """Of each labeller's votes, the share that is right."""
-        share = np.array([1 - self.prior, self.prior])
-        cast = (self.rates[:, :, :2] * share[None, :, None]).sum(axis=(1, 2))
-        right = self.rates[:, BAD, BAD] * share[0] + self.rates[:, GOOD, GOOD] * share[1]
-        return {name: float(r / c) if c else 0.0 for (name, _, _), r, c in zip(LABELLERS, right, cast, strict=True)}
+        right = self.rates[:, BAD, BAD] * (1 - self.prior) + self.rates[:, GOOD, GOOD] * self.prior
+        return {name: float(r) for (name, _, _), r in zip(LABELLERS, right, strict=True)}
 
 
-def fit_label_model(counts: dict[int, int], rounds: int = 100, strength: float = 0.05) -> LabelModel:
-    """EM with Dirichlet priors worth strength of the rows, which keep the classes from swapping:
-    most documents are good, and a labeller seldom calls a good one bad."""
+#: Votes that are expected of labellers on bad and on good documents, the share of good ones,
+#: and the most bad votes on good ones: what says which class is which, and keeps them from swapping.
+EXPECTED, PRIOR, MOST_FALSE = ((0.4, 0.6), (0.01, 0.99)), 0.85, 0.02
+
+
+def fit_label_model(counts: dict[int, int], rounds: int = 200, strength: float = 0.05) -> LabelModel:
+    """EM on pattern counts, with Dirichlet priors worth strength of the rows."""
     patterns, n = np.array(list(counts), np.int64), np.array(list(counts.values()), float)
-    expected = np.array([[0.35, 0.30, 0.35], [0.01, 0.69, 0.30]])
-    model = LabelModel(0.85, np.repeat(expected[None], len(LABELLERS), axis=0))
+    expected = np.array(EXPECTED)
+    model = LabelModel(PRIOR, np.repeat(expected[None], len(LABELLERS), axis=0))
     if not len(n):
         return model
     total, digits = n.sum(), (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
@@ -112,10 +116,12 @@ def fit_label_model(counts: dict[int, int], rounds: int = 100, strength: float =
     for _ in range(rounds):
         good = model.posterior(patterns)
         split = np.stack([n * (1 - good), n * good])
-        rates = np.stack([[[split[c][digits[:, i] == v].sum() for v in range(3)] for c in (BAD, GOOD)] for i in range(len(LABELLERS))])
-        rates = rates + weight * expected * np.array([0.15, 1.0])[None, :, None]
-        prior = (split[GOOD].sum() + 0.85 * weight) / (total + weight)
-        new = LabelModel(float(prior), rates / rates.sum(axis=2, keepdims=True))
+        rates = np.stack([[[split[c][digits[:, i] == v].sum() for v in (BAD, GOOD)] for c in (BAD, GOOD)] for i in range(len(LABELLERS))])
+        rates = rates + weight * expected * np.array([1 - PRIOR, 1.0])[None, :, None]
+        rates = rates / rates.sum(axis=2, keepdims=True)
+        rates[:, GOOD, BAD] = np.minimum(rates[:, GOOD, BAD], MOST_FALSE)
+        rates[:, GOOD, GOOD] = 1 - rates[:, GOOD, BAD]
+        new = LabelModel(float((split[GOOD].sum() + PRIOR * weight) / (total + weight)), rates)
         done = abs(new.prior - model.prior) < 1e-9 and np.abs(new.rates - model.rates).max() < 1e-9
         model = new
         if done:
@@ -184,7 +190,7 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = fit_label_model({r.pattern: r.n for r in counts})
     share = min(1.0, TRAIN / max(1, total))
     chosen = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(TRAIN_MAX)
-    shards = chosen.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions("doc_id").select("text")
+    shards = chosen.repartition(max(1, round(min(total, TRAIN) / SHARD_ROWS)), F.xxhash64("doc_id")).sortWithinPartitions("doc_id").select("text")
     models = shards.mapInArrow(_train(labels), "n long, at array<long>, w array<double>").collect()
     return QualityModel(labels, mixed(((r.n, r.at, r.w) for r in models), drop=0.0))
 

@@ -31,6 +31,7 @@ CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 STATES = len(ALPHABET) + 1  # 0: start
 #: Documents the models are trained on, about, and at most.
 SAMPLE, SAMPLE_MAX = 10_000, 20_000
+BACKOFF = 16.0
 #: A span's ratio, in nats: in total, and for each character.
 TOTAL, PER_CHARACTER = 12.0, 0.6
 
@@ -87,14 +88,16 @@ def _pairs(batches):
 def train_markov(samples: DataFrame) -> np.ndarray:
     """STATES x STATES log-likelihood ratios, random over ordinary, of (run, secret) rows.
 
-    One count is added to every pair, so that without samples all ratios are 0
-    and nothing is found. Runs hold characters of ALPHABET only.
+    A pair's count backs off to how frequent its second character is, with BACKOFF
+    counts, and that to equal shares; so without samples all ratios are 0 and
+    nothing is found. Runs hold characters of ALPHABET only.
     """
     summed = samples.mapInArrow(_pairs, "secret boolean, pair long, n long").groupBy("secret", "pair").agg(F.sum("n").alias("n"))
-    counts = np.ones((2, STATES, STATES))
+    counts = np.zeros((2, STATES, STATES))
     for r in summed.collect():  # 2 * STATES ** 2 rows at most
         counts[int(r.secret)].flat[r.pair] += r.n
-    p = np.log(counts / counts.sum(axis=2, keepdims=True))
+    single = counts.sum(axis=1, keepdims=True) + 1
+    p = np.log((counts + BACKOFF * single / single.sum(axis=2, keepdims=True)) / (counts.sum(axis=2, keepdims=True) + BACKOFF))
     return p[1] - p[0]
 
 

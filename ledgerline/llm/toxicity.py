@@ -82,8 +82,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     n = labels.count()
     share, parts = min(1.0, TRAIN / max(1, n)), max(1, round(min(n, TRAIN) / SHARD_ROWS))
     chosen = known.filter(F.pmod(F.xxhash64(id_col, F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(TRAIN_MAX)
-    rows = docs.join(F.broadcast(chosen.withColumnRenamed(id_col, "_labelled")), F.col(id_col) == F.col("_labelled"))
-    rows = rows.select(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(parts)).cast("int").alias("shard"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "labelled")), F.col("doc_id") == F.col("labelled"))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)).cast("int").alias("shard"), "doc_id", "text", "label")
     shards = rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "doc_id")
     return mixed((r.n, r.at, r.w) for r in shards.select("shard", "text", "label").mapInArrow(_train, "n long, at array<long>, w array<double>").collect())
 
