@@ -150,7 +150,7 @@ def _member_sets(words: int):
 
 def linked(sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarray:
     """Boolean matrix: 100 * intersection >= threshold * union, on full sets."""
-    m, sizes = len(sets), np.array([len(s) for s in sets])
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.int32)
     both = np.zeros((m, m), np.float32)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(m), sizes)
@@ -163,8 +163,12 @@ def linked(sets: list[np.ndarray], threshold: int = THRESHOLD) -> np.ndarray:
         block = np.zeros((m, COLUMNS), np.float32)
         block[owner[a:b], column[a:b] - first] = 1
         both += block @ block.T
-    both = both.astype(np.int64)
-    found = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    both = both.astype(np.int32)
+    union = sizes[:, None] + sizes[None, :]
+    union -= both
+    union *= threshold
+    both *= 100
+    found = both >= union
     np.fill_diagonal(found, False)
     return found
 

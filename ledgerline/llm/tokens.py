@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-#: Words, and word stems, whose ids a worker remembers: some 100 MB at most.
-REMEMBERED = 500_000
+#: Words whose ids a generation of a worker's memory holds: some 100 MB in both.
+REMEMBERED = 400_000
 #: Marks that, after an ASCII letter, begin a token of their own.
 TRAILING = b".,;:!?|"
+APART = re.compile(rb"(?<=[a-z])([,.])(?=[\x20\x09-\x0D])")
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +23,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """Values of keys in two generations: a full one becomes the old one, whose keys move over when met again."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.old = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.size:
+            self.now, self.old = {}, self.now
+
+    def missing(self, keys: set) -> list:
+        """The keys without a value; those of the old generation are moved."""
+        now, old, unknown = self.now, self.old, []
+        for k in keys.difference(now):
+            if k in old:
+                now[k] = old[k]
+            else:
+                unknown.append(k)
+        return unknown
+
+
 class TextEncoder:
     """Serialized ids (little-endian, dtype) of UTF-8 texts.
 
@@ -42,8 +65,7 @@ class TextEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.words = Memory(REMEMBERED)
 
     def _same(self, text: str, parts: list[str]) -> bool:
         return self._ids([text])[0] == b"".join(self._ids(parts))
@@ -62,35 +84,42 @@ class TextEncoder:
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         """A stem and marks whose ids in turn are the word's."""
-        if not self.by_stem or b"<|" in word:  # special tokens are matched before case folding
+        if word.isalpha():  # bytes: ASCII letters
+            return word.lower(), b""
+        if b"<|" in word:  # special tokens are matched before case folding
             return word, b""
         stem = word.rstrip(TRAILING)
         if not stem.decode("utf-8", "replace")[-1:].isalpha():
             stem = word
-        marks = word[len(stem) :]
-        return stem.lower() if stem.isascii() else stem, marks
+        return stem.lower() if stem.isascii() else stem, word[len(stem) :]
 
     def _learn(self, new: list[bytes]) -> None:
-        split = [self._split(w) for w in new]
-        stems = self.stems
-        missing = [s for s in set().union(*split).difference(stems) if s]
-        letters_only = [s.isalpha() for s in missing]  # bytes: ASCII letters
+        """Remembers the ids of new words, by way of their stems and marks."""
+        split = {w: self._split(w) for w in new} if self.by_stem else {w: (w, b"") for w in new}
+        missing = self.words.missing({x for pair in split.values() for x in pair if x})
+        texts = [s.decode("utf-8", "replace") for s in missing]
+        now = self.words.now
         for plain in (True, False):  # words of letters only can be encoded together
-            some = [s for s, letters in zip(missing, letters_only, strict=True) if letters == plain]
-            if some:
-                texts = [s.decode("utf-8", "replace") for s in some]
-                stems.update(zip(some, (self._joined(texts) if plain else None) or self._ids(texts), strict=True))
-        self.words.update((w, stems[s] + (stems[m] if m else b"")) for w, (s, m) in zip(new, split, strict=True))
+            chosen = [k for k, t in enumerate(texts) if t.isalpha() == plain]
+            if chosen:
+                some = [texts[k] for k in chosen]
+                now.update(zip((missing[k] for k in chosen), (self._joined(some) if plain else None) or self._ids(some), strict=True))
+        now.update((w, now[s] + now[m] if m else now[s]) for w, (s, m) in split.items())
+
+    def _prepared(self, text: bytes) -> bytes:
+        """The text with ASCII letters folded and a comma or stop after one set apart; its ids are the same."""
+        # Marks that could join a capital, and so fold differently, begin with byte CC; special tokens are matched unfolded.
+        if not self.by_stem or b"\xcc" in text or b"<|" in text:
+            return text
+        return APART.sub(rb" \1", text.lower())
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Null counts as the empty text."""
         if not self.by_word:
             return self._ids([(t or b"").decode("utf-8", "replace") for t in texts])
-        for known in (self.words, self.stems):
-            if len(known) > REMEMBERED:
-                known.clear()
-        split, words = [(t or b"").split() for t in texts], self.words
-        new = list(set().union(*split).difference(words))
+        self.words.turn()
+        split = [self._prepared(t or b"").split() for t in texts]
+        new, words = self.words.missing(set().union(*split)), self.words.now
         if new:
             self._learn(new)
         return [b"".join(map(words.__getitem__, part)) for part in split]
