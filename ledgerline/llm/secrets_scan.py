@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _overlaps(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a range overlaps any of the spans, which are sorted; in time logarithmic in their number."""
+    starts, ends = [], []
+    for start, _, end in spans:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def overlaps(start: int, end: int) -> bool:
+        i = bisect_left(starts, end) - 1
+        return i >= 0 and ends[i] > start
+
+    return overlaps
+
+
 def _codes(run: str) -> np.ndarray:
     return np.array([0, *(CODE[c] for c in run)])
 
@@ -57,8 +76,8 @@ def labelled_runs(text: str) -> list[tuple[str, bool]]:
         if kind == 0:
             value = ASSIGN.match(value)[2]
         found += [(x, True) for x in ORDINARY.findall(value) if len(x) >= 8]
-    cover = [(s, e) for s, _, e in base]
-    found += [(m[0], False) for m in ORDINARY.finditer(text) if not any(s < m.end() and m.start() < e for s, e in cover)]
+    overlaps = _overlaps(base)
+    found += [(m[0], False) for m in ORDINARY.finditer(text) if not overlaps(m.start(), m.end())]
     return found
 
 
@@ -102,9 +121,9 @@ def train_markov(samples: DataFrame) -> np.ndarray:
 
 
 def markov_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
+    found, overlaps = [], _overlaps(base)
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        if overlaps(m.start(), m.end()):
             continue
         codes = _codes(m[0])
         total = float(ratio[codes[:-1], codes[1:]].sum())
