@@ -130,31 +130,39 @@ def _load_dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(row.content)
 
 
-def _inflate(dictionary: bytes, hash_: str, wanted: frozenset | None = None):
+def _checksum(ids: bytes, dtype: str) -> int:
+    return zlib.crc32(np.frombuffer(ids, dtype).astype("<u4").tobytes())
+
+
+def _inflate(dictionary: bytes, hash_: str, wanted: frozenset | None = None, checksum: str | None = None):
     def run(batches):
         import zstandard
 
         press = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 if row["dictionary_hash"] != hash_:
                     raise ValueError("a block was written with another dictionary")
-                frames, at = row["frames"], row["offsets"]
+                frames, cuts = row["frames"], row["offsets"]
                 found = [k for k, i in enumerate(row["doc_ids"]) if wanted is None or i in wanted]
                 starts = row["tokens_before"] + np.concatenate([[0], np.cumsum(row["lengths"])])
+                ids = (press.decompress(frames[cuts[k] : cuts[k + 1]]) for k in found)
+                last = pa.array(list(ids), pa.binary()) if checksum is None else pa.array([_checksum(x, checksum) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["doc_ids"][k] for k in found], pa.int64()), pa.array([row["shard"]] * len(found), pa.int32()), pa.array([int(starts[k]) for k in found], pa.int64()), pa.array([row["lengths"][k] for k in found], pa.int64()), pa.array([press.decompress(frames[at[k] : at[k + 1]]) for k in found], pa.binary())],
-                    ["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
+                    [pa.array([row["doc_ids"][k] for k in found], pa.int64()), pa.array([row["shard"]] * len(found), pa.int32()), pa.array([int(starts[k]) for k in found], pa.int64()), pa.array([row["lengths"][k] for k in found], pa.int64()), last],
+                    ["doc_id", "shard", "start_in_shard", "n_tokens", "ids" if checksum is None else "ids_crc32"],
                 )
 
     return run
 
 
-def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None, checksum: str | None = None) -> DataFrame:
     """doc_id, shard, start_in_shard, n_tokens, ids (serialized), from the files.
 
     doc_ids: only those documents; other blocks are skipped by statistics and
-    other frames are not inflated.
+    other frames are not inflated. checksum: the type of the stored ids ("<u2");
+    then ids_crc32, of the ids as 32-bit integers, stands in place of ids.
     """
     dictionary = _load_dictionary(spark, path)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
@@ -163,7 +171,7 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
         for i in doc_ids:
             hit = hit | F.lit(i).between(F.col("first_id"), F.col("last_id"))
         blocks = blocks.filter(hit)
-    return blocks.mapInArrow(_inflate(dictionary, dictionary_hash(dictionary), None if doc_ids is None else frozenset(doc_ids)), "doc_id long, shard int, start_in_shard long, n_tokens long, ids binary")
+    return blocks.mapInArrow(_inflate(dictionary, dictionary_hash(dictionary), None if doc_ids is None else frozenset(doc_ids), checksum), f"doc_id long, shard int, start_in_shard long, n_tokens long, {'ids binary' if checksum is None else 'ids_crc32 long'}")
 
 
 def shard_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -173,17 +181,11 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     return totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tokens_before"))
 
 
-def _checksums(batches):
-    for batch in batches:
-        ids = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(ids, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
 def op3_token_files(spark, sf_dir):
     import uuid
 
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(table(spark, sf_dir, "documents"), path, "word_bpe_49k.json", end=2)
+    path, tokenizer = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", "word_bpe_49k.json"
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer, end=2)
     # One row per shard, of which there are as many as shuffle partitions.
-    read = read_token_files(spark, path).join(F.broadcast(shard_starts(spark, path)), "shard")
-    return read.select("doc_id", (F.col("tokens_before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids").mapInArrow(_checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = read_token_files(spark, path, checksum=encoder(tokenizer).dtype).join(F.broadcast(shard_starts(spark, path)), "shard")
+    return read.select("doc_id", (F.col("tokens_before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
