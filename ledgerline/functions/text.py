@@ -120,6 +120,19 @@ def tokens(c: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least))
 
 
+STOPWORDS = ("the a an of and or to in on for by with is was are were be been being at from as it its this that these those their").split()
+
+
+def plain_words(c: Column) -> Column:
+    """Lower-case ASCII letters and digits with single spaces between; the empty text of null."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def key_words(c: Column) -> Column:
+    """The words of plain_words that are longer than a character and no stopwords, repeated ones included."""
+    return F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
+
+
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a over the characters' code points, for bucketing of plain ids."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from .graph import staged
+
 #: What a declarative projection may do to a column.
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "lower": F.lower,
@@ -82,3 +85,43 @@ def ladder(column: Column, steps: list[tuple[str, str]], otherwise: str) -> Colu
 def first_failure(checks: list[tuple[str, Column]]) -> Column:
     """The reason of the first check that holds, null if none does."""
     return F.coalesce(*(F.when(c, reason) for reason, c in checks))
+
+
+def verify_spans(claims: DataFrame, sources: DataFrame, present: float = 0.85, fuzzy: float = 0.7) -> DataFrame:
+    """item_id, doc_id, contained, share, score, verified: every source that holds a claim's span, from whole texts.
+
+    claims: item_id, claim, span; sources: doc_id, text. A source holds a span that its normalised
+    text contains, or of whose key words (repeated ones count) it has the share `present`. verified:
+    the span has all key words of the claim (score 1), or their Jaccard similarity is `fuzzy` at least.
+
+    A source that holds a span has one of any key words that are more than 1 - present of it, if one
+    of them is neither the first nor the last word of the span (those may be parts of longer words).
+    So pairs meet on a span's rarest such words only. Spans without an inner key word are
+    looked for in every source; those without any key word verify nothing and are left out.
+    """
+    plain = claims.select("item_id", tx.plain_words(F.col("span")).alias("s"), F.array_distinct(tx.key_words(tx.plain_words(F.col("claim")))).alias("c")).filter("s <> ''")
+    inner = F.array_distinct(tx.key_words(F.regexp_replace("s", r"^\S+ ?| ?\S+$", "")))
+    spans = plain.select("item_id", "s", "c", tx.key_words(F.col("s")).alias("k"), inner.alias("inner"))
+    both, either = F.size(F.array_intersect("c", "k")), F.size(F.array_union("c", "k"))
+    score = F.when(F.size("c") == 0, 0.0).when(both == F.size("c"), 1.0).otherwise(both / either)
+    spans = staged(spans.select("*", score.alias("score")).select("*", ((F.size("c") > 0) & (F.col("score") >= fuzzy)).alias("verified")).drop("c"), "spans")
+
+    texts = sources.select("doc_id", tx.plain_words(F.col("text")).alias("t"))
+    words = texts.select("doc_id", F.explode(F.split("t", " ")).alias("w"))
+    known = staged(spans.select(F.explode("k").alias("w")).distinct(), "span-words")
+    often = staged(words.join(known, "w").groupBy("w").agg(F.count("*").alias("n")), "span-words")
+    # Words of no source are rarest of all; a word's share is that of its repeats too.
+    ranked = spans.select("item_id", F.size("k").alias("size"), F.explode("k").alias("w"), "inner").groupBy("item_id", "w").agg(F.first("size").alias("size"), F.count("*").alias("m"), F.max(F.array_contains("inner", F.col("w"))).alias("in"))
+    before = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "w").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = ranked.join(often, "w", "left").withColumn("sum", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("has", F.coalesce(F.max("in").over(before), F.lit(False)))
+    prefix = staged(prefix.filter((F.col("sum") <= F.col("size") * (1 - present) + 1e-6) | ~F.col("has")).select("item_id", "w"), "span-prefixes")
+
+    met = words.join(prefix, "w").select("item_id", "doc_id").distinct()
+    by_word = met.join(spans.filter(F.size("inner") > 0), "item_id").join(texts, "doc_id")
+    bare = spans.filter((F.size("inner") == 0) & (F.size("k") > 0))
+    by_text = texts.crossJoin(bare).select(*by_word.columns)
+    contained = F.contains("t", "s")
+    absent = F.array_except("k", F.split("t", " "))
+    share = F.when(contained, 1.0).otherwise(F.size(F.filter("k", lambda w: ~F.array_contains("absent", w))) / F.size("k"))
+    pairs = by_word.unionByName(by_text).withColumn("absent", F.when(~contained, absent))
+    return pairs.select("item_id", "doc_id", contained.alias("contained"), share.alias("share"), "score", "verified").filter(F.col("share") >= present)

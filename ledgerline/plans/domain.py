@@ -19,6 +19,11 @@ def text_slug(t):
     return t.documents.select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
 
 
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(lower({_MARKS % 'text'}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
+def text_slug_full(t):
+    return t.documents.select("doc_id", tx.slug(F.col("text")).alias("slug"))
+
+
 @query(r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name || ' Holding, Inc.'), '\b(inc|incorporated|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|sa|ag|lp|llp)\b\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS company,
 regexp_replace(lower(trim(' ' || replace(c_name, '#', '+tag') || '@Mail.Example.com ')), '\+[^@]*@', '@', 'g') AS email FROM customer""")
 def canonical_keys(t):
@@ -244,6 +249,15 @@ def span_verify(t):
     return shared.filter(F.col("k") / F.col("n") >= 0.15).select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 4).alias("share"))
 
 
+@query()
+def span_verify_full(t):
+    """Whole benchmark texts, as claims and spans, against all documents."""
+    from ..operators.search import verify_spans
+
+    found = verify_spans(t.benchmark.select("item_id", F.col("text").alias("claim"), F.col("text").alias("span")), t.documents)
+    return found.withColumn("share", F.round("share", 4))
+
+
 @query(r"""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host, len(regexp_extract_all(html, '<a href="')) AS links, len(string_split(url, '/')) - 3 AS depth FROM pages), n AS (SELECT *, count(*) OVER (PARTITION BY host) AS seen FROM h)
 SELECT page_id, round(pow(0.8, depth) * (1 + ln(1 + links)) / (1 + 0.1 * seen), 4) AS priority FROM n""")
 def frontier_priority(t):

@@ -167,3 +167,49 @@ def test_keyed_writes(spark, tmp_path):
 def test_feed_items(spark):
     pages = spark.createDataFrame([(1, "<rss><item><title><![CDATA[A & B]]></title><link>u</link></item><item><title>C</title></item></rss>")], "id int, xml string")
     assert values(files.feed_items(pages, "xml"), "title", "link") == [("A & B", "u"), ("C", "")]
+
+
+def brute_spans(claims, sources):
+    """The rules of the survey's verifier (D-26), over all pairs."""
+    import re
+
+    normal = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    keys = lambda s: [w for w in normal(s).split(" ") if len(w) > 1 and w not in text.STOPWORDS]
+    found = set()
+    for i, claim, span in claims:
+        c, k = set(keys(claim)), keys(span)
+        for d, source in sources:
+            own = set(keys(source or ""))
+            share = 1.0 if normal(span) in normal(source or "") else sum(w in own for w in k) / len(k) if k else 0.0
+            if k and share >= 0.85:
+                score = 0.0 if not c else 1.0 if c <= set(k) else len(c & set(k)) / len(c | set(k))
+                found.add((i, d, normal(span) in normal(source or ""), round(share, 6), round(score, 6), bool(c) and score >= 0.7))
+    return found
+
+
+def test_verify_spans_agrees_with_all_pairs(spark):
+    import random
+
+    draw = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)] + ["the", "of", "x"]
+    phrase = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    tail = " ".join(f"late{i}" for i in range(60))
+    claims = [(i, phrase(draw.randint(1, 12)), phrase(draw.randint(1, 20))) for i in range(60)]
+    claims += [(100, "art", "Art"), (101, "late59", tail), (102, "the", tail), (103, "late1 other", tail), (104, "x", "of the"), (105, "w1 w2", "w1, w2")]
+    sources = [(i, ", ".join(phrase(draw.randint(1, 60)) for _ in range(2))) for i in range(60)]
+    sources += [(1000, "a smart text"), (2000, "Far " + tail.replace(" ", "\n")), (2001, tail[:-60]), (2002, "cut1" + tail), (3000, None)]
+    sources += [(4000 + i, f"before {s} after" if i % 2 else f"x{s}y") for i, (_, _, s) in enumerate(claims)]
+    found = search.verify_spans(spark.createDataFrame(claims, "item_id long, claim string, span string"), spark.createDataFrame(sources, "doc_id long, text string"))
+    rows = [(r.item_id, r.doc_id, r.contained, round(r.share, 6), round(r.score, 6), r.verified) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_spans(claims, sources)
+    assert {(100, 1000), (101, 2000), (101, 2002)} <= {r[:2] for r in rows}
+
+
+def test_spans_are_verified_in_all_documents(spark):
+    from ledgerline.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    claims = [(r.item_id, r.text, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    sources = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    found = {(r.item_id, r.doc_id, r.contained) for r in QUERIES["span_verify_full"](spark, folder).collect()}
+    assert found == {r[:3] for r in brute_spans(claims, sources)} and any(d >= 40 for _, d, _ in found)
