@@ -46,6 +46,8 @@ COMMON = b".,;:!?'\"()-"
 ODD = bytes(c for c in MARKS if c not in COMMON)
 
 DIM_BITS = 16
+#: Words in which a repeated word counts as one.
+WINDOW = 200
 TRAIN, TRAIN_MAX, SHARD_ROWS, EPOCHS = 12_000, 24_000, 3_000, 8
 THRESHOLD = 0.5
 
@@ -132,11 +134,25 @@ def fit_label_model(counts: dict[int, int], rounds: int = 200, strength: float =
 SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 32 if c in b" \t\n\r\x0b\x0c" else c for c in range(256))
 
 
+def repeat_share(words: list[bytes]) -> float:
+    """The share of words that are not new to their window, over all windows of WINDOW consecutive words (or the one shorter)."""
+    n, size = len(words), min(len(words), WINDOW)
+    last, new = {}, 0
+    for i, word in enumerate(words):
+        # The word at i is new to the windows that start after its last place and reach i.
+        first, final = max(last.get(word, -1), i - size), min(i, n - size)
+        last[word] = i
+        if final > first:
+            new += final - first
+    return 1 - new / (size * (n - size + 1)) if n else 0.0
+
+
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct coordinates and values: the bias, shares of shape trigrams and of repeated words.
 
     A shape writes letters, digits and spaces each as one class and a run of one
-    class once. Values are roots of shares, so a text's length does not matter.
+    class once. Values are roots of shares, so a text's length does not matter; repeats
+    are those of windows of equal length, over the whole text.
     """
     text = text or b""
     shape = np.frombuffer(text.translate(SHAPE), np.uint8)
@@ -144,8 +160,8 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     grams = shape[:-2] << np.uint64(16) | shape[1:-1] << np.uint64(8) | shape[2:]
     code, n = np.unique(grams, return_counts=True)
     words = text.split()
-    named = {1: sum(map(operator.eq, words, words[1:])), 2: sum(map(operator.eq, words, words[2:])), 3: len(words) - len(set(words)) if len(words) < 200 else 200 - len(set(words[-200:]))}
-    extra = [(k, v / min(len(words), 200 if k == 3 else len(words))) for k, v in named.items() if v]
+    named = {k: sum(map(operator.eq, words, words[k:])) / max(1, len(words)) for k in (1, 2)} | {3: repeat_share(words)}
+    extra = [(k, v) for k, v in named.items() if v]
     keys = np.concatenate([code, np.array([k + (1 << 32) for k, _ in extra], np.uint64)])
     x = np.sqrt(np.concatenate([n / max(1, n.sum()), np.array([v for _, v in extra])]))
     at = (mix(keys.astype(np.uint64)) >> np.uint64(64 - DIM_BITS)).astype(np.int64)

@@ -198,6 +198,21 @@ def test_quality(make):
     assert kept.columns == docs.columns and set(model.labels.accuracies()) == {n for n, _, _ in quality.LABELLERS}
 
 
+def test_repeats_count_in_the_whole_text():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 199, 200, 201, 700):
+        words = [b"w%d" % i for i in rng.integers(0, 150, n)]
+        size = min(n, quality.WINDOW)
+        windows = [words[i : i + size] for i in range(n - size + 1)] if n else []
+        expected = np.mean([1 - len(set(w)) / size for w in windows]) if n else 0
+        assert abs(quality.repeat_share(words) - expected) < 1e-9
+    varied, phrase = b" ".join(b"v%d" % i for i in range(200)), b"buy three cheap watches " * 400
+    (at,) = (quality.mix(np.array([3 + (1 << 32)], np.uint64)) >> np.uint64(64 - quality.DIM_BITS)).tolist()
+    value = lambda text: dict(zip(*map(np.ndarray.tolist, quality.features(text)), strict=True)).get(at, 0.0)
+    assert value(phrase + varied) > 0.8 and value(varied + b" " + phrase) > 0.8  # was 0 and 0.99
+    assert value(b" ".join(b"x%d" % i for i in range(4000)) + b" " + phrase[: 24 * 10]) < 0.2
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20_000) < 0.8
