@@ -196,20 +196,40 @@ _PAIRS = """WITH pd AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), pp
 t AS (SELECT a, b, n FROM pp WHERE (a * 31 + b * 17) % 11 = 0), e AS (SELECT a AS src, b AS dst, n FROM t UNION ALL SELECT b, a, n FROM t) """
 
 
+#: The same for all pairs.
+_ALL_PAIRS = _PAIRS.replace("WHERE (a * 31 + b * 17) % 11 = 0", "")
+_NEIGHBOURS = "SELECT src, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight FROM e GROUP BY 1"
+_TWO_HOP = """SELECT x.src, y.dst, count(DISTINCT x.dst) AS paths, min(x.dst) AS via FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2"""
+
+
+def all_supplier_pairs(t):
+    """a, b, n: pairs of suppliers, and how many orders they share."""
+    return joins.pairs_within(t.lineitem, "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def supplier_pairs(t):
-    """a, b, n: a fixed part of the suppliers' pairs, so that the graph is sparse."""
-    pairs = joins.pairs_within(t.lineitem, "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return pairs.filter((F.col("a") * 31 + F.col("b") * 17) % 11 == 0)
+    """A fixed eleventh of all_supplier_pairs, chosen by their ids."""
+    return all_supplier_pairs(t).filter((F.col("a") * 31 + F.col("b") * 17) % 11 == 0)
+
+
+@query(_PAIRS + _NEIGHBOURS)
+def neighbours_bidirectional(t, pairs=supplier_pairs):
+    return joins.undirected(pairs(t), "a", "b", "n").groupBy("src").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
+
+
+@query(_ALL_PAIRS + _NEIGHBOURS)
+def neighbours_bidirectional_full(t):
+    return neighbours_bidirectional(t, all_supplier_pairs)
 
 
-@query(_PAIRS + "SELECT src, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight FROM e GROUP BY 1")
-def neighbours_bidirectional(t):
-    return joins.undirected(supplier_pairs(t), "a", "b", "n").groupBy("src").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
+@query(_PAIRS + _TWO_HOP)
+def two_hop_candidates(t, pairs=supplier_pairs):
+    return joins.two_hop(joins.undirected(pairs(t)))
 
 
-@query(_PAIRS + """SELECT x.src, y.dst, count(DISTINCT x.dst) AS paths, min(x.dst) AS via FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2""")
-def two_hop_candidates(t):
-    return joins.two_hop(joins.undirected(supplier_pairs(t)))
+@query(_ALL_PAIRS + _TWO_HOP)
+def two_hop_candidates_full(t):
+    return two_hop_candidates(t, all_supplier_pairs)
 
 
 @query("""SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer""")

@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import discrete_percentile
 from ..operators import funds, graph, joins, sequences
-from .registry import query
-from .relational import _PAIRS, supplier_pairs
+from .registry import ORACLE_SQL, query
+from .relational import _ALL_PAIRS, _PAIRS, all_supplier_pairs, supplier_pairs
 
 
-def _weighted(t):
-    return supplier_pairs(t).select("a", "b", F.least(F.lit(1.0), F.col("n") / 10).alias("weight"))
+def _weighted(t, pairs=supplier_pairs):
+    return pairs(t).select("a", "b", F.least(F.lit(1.0), F.col("n") / 10).alias("weight"))
+
+
+def _of_all(name: str) -> str:
+    """The SQL of a query of a part of the pairs, for all of them."""
+    return ORACLE_SQL[name].replace(_PAIRS, _ALL_PAIRS)
 
 
 _RANKS = _PAIRS + """, w AS (SELECT src, dst, least(1.0, n / 10) AS weight FROM e), o AS (SELECT src, sum(weight) AS total FROM w GROUP BY 1), l AS (SELECT w.src, dst, weight / total AS part FROM w JOIN o USING (src)), v AS (SELECT count(DISTINCT src) AS n FROM w),
@@ -24,33 +29,48 @@ def _rounds(k: int) -> str:
 
 
 @query(_rounds(8) + " SELECT id, round(rank, 7) AS rank FROM r8")
-def pagerank(t):
-    ranks = graph.pagerank(joins.undirected(_weighted(t), "a", "b", "weight"), rounds=8, tolerance=0.0)
+def pagerank(t, pairs=supplier_pairs):
+    ranks = graph.pagerank(joins.undirected(_weighted(t, pairs), "a", "b", "weight"), rounds=8, tolerance=0.0)
     return ranks.select("id", F.round("rank", 7).alias("rank"))
 
 
+@query(_of_all("pagerank"))
+def pagerank_full(t):
+    return pagerank(t, all_supplier_pairs)
+
+
 @query()
 def sector_pagerank(t):
     nations = t.supplier.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") % 5).alias("sector"))
     other = nations.toDF("dst", "other")
-    edges = joins.undirected(_weighted(t), "a", "b", "weight").join(nations, "src").join(other, "dst").filter("sector = other").select("sector", "src", "dst", "weight")
+    edges = joins.undirected(_weighted(t, all_supplier_pairs), "a", "b", "weight").join(nations, "src").join(other, "dst").filter("sector = other").select("sector", "src", "dst", "weight")
     return graph.pagerank(edges, keys=("sector",)).select("sector", "id", F.round("rank", 5).alias("rank"))
 
 
 @query(_PAIRS + """, b AS (SELECT src AS i, dst AS j, least(1.0, n / 10) AS w FROM e), t2 AS (SELECT i, sum(w) AS total, count(*) AS d FROM b GROUP BY 1), p AS (SELECT b.i, j, d, w / total AS p FROM b JOIN t2 USING (i)),
 v AS (SELECT x.i, y.j, sum(x.p * y.p) AS q FROM p x JOIN p y ON y.i = x.j WHERE x.i <> y.j GROUP BY 1, 2)
 SELECT p.i AS id, round(CASE WHEN max(d) >= 2 THEN 1 - least(1.0, sum(pow(p + coalesce(q, 0), 2))) ELSE 0 END, 6) AS broker FROM p LEFT JOIN v ON v.i = p.i AND v.j = p.j GROUP BY 1""")
-def broker_score(t):
-    return graph.constraint(_weighted(t)).select("id", F.round("broker", 6).alias("broker"))
+def broker_score(t, pairs=supplier_pairs):
+    return graph.constraint(_weighted(t, pairs)).select("id", F.round("broker", 6).alias("broker"))
+
+
+@query(_of_all("broker_score"))
+def broker_score_full(t):
+    return broker_score(t, all_supplier_pairs)
 
 
 @query(_PAIRS + ", d AS (SELECT src AS id, count(*) AS degree, round(sum(least(1.0, n / 10)), 4) AS strength FROM e GROUP BY 1) SELECT id, degree, strength FROM d QUALIFY row_number() OVER (PARTITION BY id % 5 ORDER BY degree DESC, strength DESC, id) <= 5")
-def degrees_power(t):
-    d = graph.degrees(_weighted(t)).withColumn("strength", F.round("strength", 4))
+def degrees_power(t, pairs=supplier_pairs):
+    d = graph.degrees(_weighted(t, pairs)).withColumn("strength", F.round("strength", 4))
     first = F.row_number().over(Window.partitionBy(F.col("id") % 5).orderBy(F.desc("degree"), F.desc("strength"), "id"))
     return d.withColumn("r", first).filter("r <= 5").drop("r")
 
 
+@query(_of_all("degrees_power"))
+def degrees_power_full(t):
+    return degrees_power(t, all_supplier_pairs)
+
+
 @query(_PAIRS + """, s AS (SELECT src, dst, 1 / (n / 20 + 0.1) AS w FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY n / 20 DESC, dst) <= 6),
 p1 AS (SELECT src, dst AS at1, [src, dst] AS path, w AS cost FROM s WHERE src < 3), p2 AS (SELECT p.src, s.dst AS at1, list_append(path, s.dst) AS path, cost + w AS cost FROM p1 p JOIN s ON s.src = p.at1 WHERE NOT list_contains(path, s.dst)),
 p3 AS (SELECT p.src, s.dst AS at1, list_append(path, s.dst) AS path, cost + w AS cost FROM p2 p JOIN s ON s.src = p.at1 WHERE NOT list_contains(path, s.dst)), f AS (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3)
@@ -183,12 +203,17 @@ def angel_class(t):
 
 
 @query(_PAIRS + ", c AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS deals FROM lineitem GROUP BY 1) SELECT a, b, n, round(n / least(x.deals, y.deals), 6) AS overlap FROM t JOIN c x ON x.l_suppkey = a JOIN c y ON y.l_suppkey = b")
-def syndicate_overlap(t):
+def syndicate_overlap(t, pairs=supplier_pairs):
     deals = t.lineitem.groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("deals"))
-    joined = supplier_pairs(t).join(deals.toDF("a", "da"), "a").join(deals.toDF("b", "db"), "b")
+    joined = pairs(t).join(deals.toDF("a", "da"), "a").join(deals.toDF("b", "db"), "b")
     return joined.select("a", "b", "n", F.round(F.col("n") / F.least("da", "db"), 6).alias("overlap"))
 
 
+@query(_of_all("syndicate_overlap"))
+def syndicate_overlap_full(t):
+    return syndicate_overlap(t, all_supplier_pairs)
+
+
 @query("SELECT user_id, round(sum(value) / 3600.0 * 0.5 + sum(CAST(json_extract(props, '$.k') AS INTEGER)) / 1000.0 * 0.02, 6) AS cost FROM events GROUP BY 1")
 def compute_cost(t):
     units = F.get_json_object("props", "$.k").cast("int")

@@ -213,3 +213,15 @@ def test_spans_are_verified_in_all_documents(spark):
     sources = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     found = {(r.item_id, r.doc_id, r.contained) for r in QUERIES["span_verify_full"](spark, folder).collect()}
     assert found == {r[:3] for r in brute_spans(claims, sources)} and any(d >= 40 for _, d, _ in found)
+
+
+def test_graph_queries_see_all_pairs(spark):
+    from ledgerline.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    lines, sector = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_suppkey").distinct().toPandas(), {r.s_suppkey: r.s_nationkey % 5 for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
+    joined = lines.merge(lines, on="l_orderkey")
+    pairs = {(a, b) for a, b in zip(joined.l_suppkey_x.tolist(), joined.l_suppkey_y.tolist(), strict=True) if a != b}
+    assert {(r.src, r.degree) for r in QUERIES["neighbours_bidirectional_full"](spark, folder).collect()} == {(a, sum(x == a for x, _ in pairs)) for a, _ in pairs}
+    ranked = {r.id for r in QUERIES["sector_pagerank"](spark, folder).collect()}
+    assert ranked and ranked == {a for a, b in pairs if sector[a] == sector[b]}
