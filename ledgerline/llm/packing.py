@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import encoder
+from .tokens import encoder, slices
 
 LENGTH = 2_048
 #: Rests that are packed together: some 20 MB in a task at most.
@@ -43,10 +43,9 @@ def _cut(tokenizer: str, end: int, length: int, keep_ids: bool):
         width = np.dtype(coder.dtype).itemsize
         tail = np.array([end], coder.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch):
                 out = []
-                for doc, salt, ids in zip(part.column("doc_id").to_pylist(), part.column("salt").to_pylist(), coder.encode(part.column("text").to_pylist()), strict=True):
+                for doc, salt, ids in zip(part.column("doc_id").to_pylist(), part.column("salt").to_pylist(), coder.encode(part.column("text")), strict=True):
                     ids += tail
                     total = len(ids) // width
                     for start in range(0, total, length):
@@ -125,11 +124,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int, length: int = LENG
 
     A null or empty text is a document of the end id alone. Rows that repeat an
     id are packed as documents of their own, and null ids stay null. An empty
-    table gives an empty result. Other columns of docs are ignored.
+    table gives an empty result. Other columns of docs are ignored. A long text
+    is cut in one task, which holds its ids; its full pieces then go separate
+    ways. Rows are dealt by a hash of id and text, so that a result depends on
+    the rows and the number of shuffle partitions alone.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(id_col, F.monotonically_increasing_id()).alias("salt"),
+        F.xxhash64(id_col, text_col).alias("salt"),
         F.col(text_col).cast("binary").alias("text"),
     )
     pieces = rows.mapInArrow(_cut(tokenizer, end, length, keep_ids), PIECES)

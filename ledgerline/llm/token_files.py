@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, stage, table
-from .tokens import encoder
+from .tokens import encoder, slices
 
-#: Documents that the dictionary is trained on, about, and at most; its bytes.
-SAMPLE, SAMPLE_MAX, DICTIONARY_BYTES = 2_000, 8_000, 64 << 10
+#: Documents that the dictionary is trained on, about; the most bytes of the ids of one; the dictionary's bytes.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 16 << 10, 64 << 10
 BLOCK_DOCS, BLOCK_BYTES = 1_024, 1 << 20
 LEVEL = 3
 BLOCKS = "shard int, block int, first_id long, last_id long, tokens_before long, n_tokens long, dictionary_hash string, doc_ids array<long>, offsets array<long>, lengths array<long>, frames binary"
@@ -53,7 +53,7 @@ def _dictionary(dictionary: bytes):
 
 
 def _encode(tokenizer: str, end: int | None, dictionary: bytes | None):
-    """(doc_id, text) -> (doc_id, n_tokens, frame); without a dictionary the frame is the plain ids."""
+    """(doc_id, text) -> (doc_id, n_tokens, frame); without a dictionary the frame is the first SAMPLE_BYTES of the plain ids."""
 
     def run(batches):
         import zstandard
@@ -63,10 +63,9 @@ def _encode(tokenizer: str, end: int | None, dictionary: bytes | None):
         press = None if dictionary is None else zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         width = np.dtype(coder.dtype).itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + tail for x in coder.encode(part.column("text").to_pylist())]
-                frames = ids if press is None else [press.compress(x) for x in ids]
+            for part in slices(batch):
+                ids = [x + tail for x in coder.encode(part.column("text"))]
+                frames = [x[:SAMPLE_BYTES] for x in ids] if press is None else [press.compress(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
 
     return run
@@ -78,7 +77,7 @@ def _blocks(hash_: str):
     def run(batches):
         from pyspark import TaskContext
 
-        shard, block, before = TaskContext.get().partitionId(), 0, 0
+        shard, block, before, held = TaskContext.get().partitionId(), 0, 0, 0
         ids, lengths, frames = [], [], []
 
         def flush():
@@ -90,7 +89,6 @@ def _blocks(hash_: str):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, ARROW.types, strict=True)], schema=ARROW)
 
         for batch in batches:
-            held = 0
             for i, n, frame in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "frame")), strict=True):
                 ids.append(i)
                 lengths.append(n)
@@ -109,11 +107,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
     """Writes path/dictionary and path/blocks.
 
     Null texts count as empty, null ids come first, rows that repeat an id each
-    have an entry, an empty table gives no blocks. Other columns are ignored.
+    have an entry, an empty table gives no blocks. Other columns are ignored. A
+    long text is one frame: a task holds it, its ids and a few MB of others. The
+    dictionary's sample is drawn by a hash of each row's id and place, so its
+    expected size is SAMPLE rows whatever ids repeat, SAMPLE_BYTES of each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE_MAX)
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
     plain = sample.mapInArrow(_encode(tokenizer, end, None), "doc_id long, n_tokens long, frame binary")
     dictionary = train_dictionary([bytes(r.frame) for r in plain.select("frame").collect()])
     hash_ = dictionary_hash(dictionary)

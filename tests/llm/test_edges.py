@@ -83,15 +83,37 @@ def test_token_files(spark, make, tmp_path):
     assert [r.doc_id for r in one] == [4] and np.frombuffer(one[0].ids, "<u2")[-1] == 2
 
 
+def same_ids(e, texts):
+    plain = [np.array(x.ids, e.dtype).tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    found = e.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    wrong = [t for t, a, b in zip(texts, found, plain, strict=True) if a != b]
+    assert not wrong, wrong[:5]
+
+
 def test_encoder_agrees_with_the_library():
     from ledgerline.llm.tokens import encoder
 
     e = encoder(TOKENIZER)
-    texts = ["", "H̱ H̱, É, ÉÉ. A<|endoftext|>B <|ENDOFTEXT|>, x|y|, ... l'été, O'Re's! ΑΣ, a b, İstanbul. ẞ? 12, 3. _x_! 's it'S, don'T.", "a\x1cb a b\tc\x0bd\x85e", "the, The. THE! the|"]
-    plain = [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.by_stem and e.encode([t.encode() for t in texts]) == plain and e.encode([None]) == [b""]
+    assert e.by_word and e.encode(pa.array([None, b"", b" "], pa.binary())) == [b""] * 3 and e.encode(pa.array([], pa.binary())) == []
+    same_ids(e, ["", "H̱ H̱, É, ÉÉ. A<|endoftext|>B <|ENDOFTEXT|>, x|y|, ... l'été, O'Re's! ΑΣ, a b, İstanbul. ẞ? 12, 3. _x_! 's it'S, don'T.", "a\x1cb a b\tc\x0bd\x85e", "the, The. THE! the|"])
+    same_ids(e, ["VERGİSİ, TÜRKİYE. bir İ. var", "SERİ! YENİ.", "क़, ख़. ग़! ज़? ड़|", "T\u0344, t\u0344. Ẕ̱ h\u0331 H\u0331", ">\u0338 <\u0338| \u0338x", "<|startoftext|><|endoftext|>", "a<| b |>, A<|B."])
     other = encoder("byte_bpe_50k.json")  # white space matters there
-    assert not other.by_word and other.encode([b"a  b"]) == [np.array(other.tokenizer.encode("a  b", add_special_tokens=False).ids, "<u2").tobytes()]
+    assert not other.by_word and other.encode(pa.array([b"a  b"])) == [np.array(other.tokenizer.encode("a  b", add_special_tokens=False).ids, "<u2").tobytes()]
+
+
+def test_encoder_agrees_on_every_character():
+    from ledgerline.llm.tokens import encoder
+
+    characters = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    same_ids(encoder(TOKENIZER), ["".join(f"{c}, A{c}! x{c}E. {c}\n" for c in characters[at : at + 64]) for at in range(0, len(characters), 64)])
+
+
+def test_encoder_agrees_on_random_texts():
+    from ledgerline.llm.tokens import encoder
+
+    rng = np.random.default_rng(5)
+    letters = list("aAbEeTtHIiİıſsßẞΣςéÉ\u0301\u0331\u0338\u0344\u0308क़\u093cKÅﬁ가ᄀ ᅡ漢字\U0001d400\U0001f600 0 1²") + [*" \t\n\r\x0b\x0c\x1c\x85\u00a0\u3000", *".,;:!?|'\"-_<>%*()", "'s", "'LL", "<|", "<|endoftext|>", "|>", "the", "ing", ", ", ". "]
+    same_ids(encoder(TOKENIZER), ["".join(rng.choice(letters, int(n))) for n in rng.integers(0, 40, 20_000)])
 
 
 def test_packing(make):
