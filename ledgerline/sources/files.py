@@ -44,9 +44,10 @@ def looks_like_header(rows: list[list[str]]) -> bool:
     return not rest or any(all(numeric(r[i]) for r in rest if i < len(r)) for i in range(len(first))) or all(len(x) < 40 for x in first)
 
 
-def read_delimited(spark: SparkSession, path: str, sample: int = 20) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sample: int = 20, multiline: bool = True) -> DataFrame:
     """A quoted, delimited file: dialect and header by its first lines, the rest by Spark's reader.
 
+    multiline: cells may hold line breaks, for which a file must be read by one task; without it files are split.
     Cells are strings, trimmed; a missing header gives col_1, col_2, ...; rows without any value are dropped.
     """
     lines = [r.value for r in spark.read.text(path).limit(sample).collect()]
@@ -55,16 +56,21 @@ def read_delimited(spark: SparkSession, path: str, sample: int = 20) -> DataFram
     header = looks_like_header(rows)
     names = [x.strip().lstrip("﻿") for x in rows[0]] if header else [f"col_{i + 1}" for i in range(max(map(len, rows), default=1))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    table = spark.read.csv(path, schema=schema, sep=delimiter, header=header, multiLine=True, quote='"', escape='"', enforceSchema=True)
+    table = spark.read.csv(path, schema=schema, sep=delimiter, header=header, multiLine=multiline, quote='"', escape='"', enforceSchema=True)
     trimmed = table.select(*(F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names))
     return trimmed.dropna("all")
 
 
 def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table with the schema's columns, null where a column is missing; empty where the table is."""
+    """The table with the schema's columns, null where a column is missing; empty where there is no such path.
+
+    Anything else that keeps the table from being read is an error.
+    """
     try:
         table = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     have = {c.lower() for c in table.columns}
     return table.select(*((F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
@@ -79,13 +85,40 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
-def merged(old: DataFrame, new: DataFrame, keys: list[str], how: dict[str, str] | None = None) -> DataFrame:
+def same_keys(left: str, right: str, keys: list[str]) -> Column:
+    """Whether two aliased sides agree in all keys; nulls agree with each other."""
+    return reduce(lambda a, b: a & b, (F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys))
+
+
+def one_row_per_key(rows: DataFrame, keys: list[str], how: dict[str, str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """What writing the rows one after the other, in ascending order, would leave of each key; same columns.
+
+    order: columns, by default all that are no keys, so that the result never depends on
+    how the rows are partitioned. Null keys are keys like others.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    last = F.struct(*(order or rest))
+    picked = {
+        "take": lambda c: F.max_by(F.struct(c), last)[c],
+        "keep_null": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), last)),
+        "greatest": F.max,
+    }
+    return rows.groupBy(*keys).agg(*(picked[(how or {}).get(c, "take")](c).alias(c) for c in rest)).select(*rows.columns)
+
+
+def merged(old: DataFrame, new: DataFrame, keys: list[str], how: dict[str, str] | None = None, order: list[str] | None = None) -> DataFrame:
     """old with new written over it by key: new rows are inserted; columns of known ones follow `how`.
 
     take (default): the new value; keep_null: the old one where the new is null; greatest: the larger.
+    Several new rows of a key are first made one (one_row_per_key), and null keys meet null keys,
+    so writing the same rows again changes nothing.
     """
     rest = [c for c in old.columns if c not in keys]
-    joined = old.select(*keys, F.struct(*rest).alias("_o"), F.lit(True).alias("_old")).join(new.select(*keys, F.struct(*rest).alias("_n"), F.lit(True).alias("_new")), keys, "full")
+    o = old.select(*keys, F.struct(*rest).alias("_o"), F.lit(True).alias("_old")).alias("o")
+    n = one_row_per_key(new.select(*old.columns), keys, how, order).select(*keys, F.struct(*rest).alias("_n"), F.lit(True).alias("_new")).alias("n")
+    joined = o.join(n, same_keys("o", "n", keys), "full")
 
     def column(c: str) -> Column:
         o, n = F.col(f"_o.{c}"), F.col(f"_n.{c}")
@@ -93,24 +126,74 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str], how: dict[str, str]
         changed = {"take": n, "keep_null": F.coalesce(n, o), "greatest": F.greatest(n, o)}[rule]
         return F.when(F.col("_new").isNull(), o).otherwise(changed).alias(c)
 
-    return joined.select(*keys, *(column(c) for c in rest)).select(*old.columns)
+    return joined.select(*(F.coalesce(f"o.{k}", f"n.{k}").alias(k) for k in keys), *(column(c) for c in rest)).select(*old.columns)
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """old and the new rows whose keys it lacks: of each such key the first row by order (by default, all other columns)."""
+    rest = [c for c in old.columns if c not in keys]
+    first = new.select(*old.columns)
+    first = first.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*(order or rest))).alias("_n")).select(*keys, "_n.*") if rest else first.distinct()
+    return old.unionByName(first.alias("n").join(old.select(*keys).alias("o"), same_keys("n", "o", keys), "left_anti").select(*old.columns))
+
 
+class TableFolder:
+    """A Parquet table that is replaced as a whole: at every moment its old or its new rows are whole on disk.
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and the new rows whose keys it lacks, one for each key."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    The new rows are written beside it; then the old folder is set aside, the new one takes its
+    place, and the old one goes. A crash between the moves leaves no table but one set aside,
+    which `recover` puts back. Moves of a folder are atomic on HDFS and local disks; on an object store
+    they are not, and a table format should be used there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self._fs.exists(self._path(self.path))
+
+    def move(self, source: str, target: str) -> None:
+        if not self._fs.rename(self._path(source), self._path(target)):
+            raise OSError(f"could not move {source} to {target}")
+
+    def recover(self) -> None:
+        """Puts back the newest table that was set aside, if there is none in place."""
+        aside = self._fs.globStatus(self._path(f"{self.path}.aside-*")) or []
+        if aside and not self.exists():
+            self.move(max(aside, key=lambda f: f.getModificationTime()).getPath().toString(), self.path)
 
+    def replace(self, rows: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        beside, aside = f"{self.path}.new-{name}", f"{self.path}.aside-{name}"
+        rows.write.parquet(beside)
+        if self.exists():
+            self.move(self.path, aside)
+        self.move(beside, self.path)
+        self._fs.delete(self._path(aside), True)
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], how: dict[str, str] | None = None) -> None:
-    """merged() into the Parquet table at path: written beside it first, then moved into its place."""
-    old = scan_or_empty(spark, path, new.schema)
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    merged(old, new, keys, how).write.parquet(beside)
-    jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(source, target)
+
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], how: dict[str, str] | None = None, order: list[str] | None = None, create: bool = True) -> None:
+    """merged() into the Parquet table at path. Without create, a missing table is an error; one that a crash set aside is put back."""
+    folder = TableFolder(spark, path)
+    folder.recover()
+    if not create and not folder.exists():
+        raise FileNotFoundError(path)
+    folder.replace(merged(scan_or_empty(spark, path, new.schema), new, keys, how, order))
+
+
+def rebuild_table(spark: SparkSession, path: str, derived: DataFrame, scope: list[str], touched: DataFrame | None = None) -> None:
+    """Derived rows anew: those of the touched scopes (by default, of derived's) go, and derived's come; doing so again changes nothing.
+
+    scope: the columns that a rebuild is by, such as an entity; touched: rows of these, also of scopes that nothing is derived from any more.
+    """
+    folder = TableFolder(spark, path)
+    folder.recover()
+    old = scan_or_empty(spark, path, derived.schema)
+    gone = (derived if touched is None else derived.select(*scope).unionByName(touched.select(*scope))).select(*scope).distinct()
+    kept = old.alias("o").join(gone.alias("n"), same_keys("o", "n", scope), "left_anti")
+    folder.replace(kept.unionByName(derived.select(*old.columns)))
 
 
 def feed_items(pages: DataFrame, xml: str) -> DataFrame:

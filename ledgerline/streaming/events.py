@@ -84,9 +84,9 @@ def incidents(rows: DataFrame, key: str, bad: str, clean_to_close: int, at: str
     return rows.select(key, tie, at, bad).groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {at} timestamp, change string", "is_open boolean, clean int", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, how: dict[str, str] | None = None) -> StreamingQuery:
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, how: dict[str, str] | None = None, order: list[str] | None = None) -> StreamingQuery:
     """Writes each micro-batch over the table at path by key: a repeated batch changes nothing."""
-    return for_each_batch(rows, lambda batch: upsert_table(batch.sparkSession, path, batch, keys, how), checkpoint)
+    return for_each_batch(rows, lambda batch: upsert_table(batch.sparkSession, path, batch, keys, how, order), checkpoint)
 
 
 def for_each_batch(rows: DataFrame, act: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
