@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
@@ -54,18 +54,27 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, toleranc
 def constraint(edges: DataFrame) -> DataFrame:
     """id, broker: 1 less Burt's constraint (clamped), of undirected edges a, b, weight; 0 with fewer than two neighbours.
 
-    p is an edge's share of a node's weight. A node's constraint sums, over its
-    neighbours j, (p_ij + sum over q of p_iq * p_qj) squared: one join of shares
-    with shares, kept to the pairs that are neighbours.
+    p is an edge's share of a node's weight. A node's constraint sums, over its neighbours j,
+    (p_ij + sum over q of p_iq * p_qj) squared; the inner sum is over triangles i, q, j. Triangles are
+    found from their node of least degree, so a hub's neighbours are never paired with each other,
+    and each adds to the six ordered pairs of its nodes.
     """
     both = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").unionByName(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), "weight")).groupBy("i", "j").agg(F.max("weight").alias("weight"))
     total = both.groupBy("i").agg(F.sum("weight").alias("total"), F.count("*").alias("degree"))
-    p = both.join(total, "i").select("i", "j", "degree", (F.col("weight") / F.col("total")).alias("p"))
-    via = p.select("i", F.col("j").alias("q"), F.col("p").alias("p1")).join(p.select(F.col("i").alias("q"), "j", F.col("p").alias("p2")), "q").filter("i <> j").groupBy("i", "j").agg(F.sum(F.col("p1") * F.col("p2")).alias("indirect"))
-    joined = p.join(via, ["i", "j"], "left")
+    p = staged(both.join(total, "i").select("i", "j", "degree", (F.col("weight") / F.col("total")).alias("p")), "shares")
+    back = p.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("degree").alias("dj"), F.col("p").alias("pb"))
+    # Edges from lower to higher (degree, id), with the shares of both ends.
+    up = p.join(back, ["i", "j"]).filter(F.struct("degree", "i") < F.struct("dj", "j")).select("i", "j", F.struct("dj", "j").alias("rank"), "p", "pb")
+    uv = up.select(F.col("i").alias("u"), F.col("j").alias("v"), F.col("rank").alias("rv"), F.col("p").alias("uv"), F.col("pb").alias("vu"))
+    uw = up.select(F.col("i").alias("u"), F.col("j").alias("w"), F.col("rank").alias("rw"), F.col("p").alias("uw"), F.col("pb").alias("wu"))
+    vw = up.select(F.col("i").alias("v"), F.col("j").alias("w"), F.col("p").alias("vw"), F.col("pb").alias("wv"))
+    triangles = uv.join(uw, "u").filter(F.col("rv") < F.col("rw")).join(vw, ["v", "w"])
+    via = lambda i, j, q: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (F.col(i + q) * F.col(q + j)).alias("x"))
+    added = triangles.select(F.explode(F.array(via("u", "v", "w"), via("v", "u", "w"), via("u", "w", "v"), via("w", "u", "v"), via("v", "w", "u"), via("w", "v", "u"))).alias("e")).select("e.*")
+    indirect = added.groupBy("i", "j").agg(F.sum("x").alias("indirect"))
     squared = F.pow(F.col("p") + F.coalesce("indirect", F.lit(0.0)), 2)
     c = F.least(F.lit(1.0), F.sum(squared))
-    return joined.groupBy(F.col("i").alias("id")).agg(F.when(F.max("degree") >= 2, 1 - c).otherwise(0.0).alias("broker"))
+    return p.join(indirect, ["i", "j"], "left").groupBy(F.col("i").alias("id")).agg(F.when(F.max("degree") >= 2, 1 - c).otherwise(0.0).alias("broker"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -77,22 +86,42 @@ def degrees(edges: DataFrame) -> DataFrame:
 def best_paths(edges: DataFrame, sources: DataFrame, target: Column, hops: int = 3, k: int = 5, cap: int = 200) -> DataFrame:
     """src, dst, path, cost: each source's k cheapest simple paths of at most `hops` to nodes that target selects (dst).
 
-    edges: src, dst, quality in both directions; an edge costs 1 / (quality + 0.1).
-    Each node keeps its `cap` best neighbours before any join, so that a level
-    grows by that factor at most.
+    edges: src, dst, quality in both directions; an edge costs 1 / (quality + 0.1), and each node
+    takes its `cap` best neighbours. With three hops, of the paths to a node before the last only the
+    k + 1 cheapest can be part of a result, since one of them at most holds the target already.
     """
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("quality"), "dst"))
-    step = edges.withColumn("_r", first).filter(F.col("_r") <= cap).select(F.col("src").alias("at"), F.col("dst").alias("to"), (1 / (F.col("quality") + 0.1)).alias("w"))
+    step = staged(edges.withColumn("_r", first).filter(F.col("_r") <= cap).select(F.col("src").alias("at"), F.col("dst").alias("to"), (1 / (F.col("quality") + 0.1)).alias("w")), "path-steps")
     paths = sources.select(F.col("id").alias("src"), F.col("id").alias("at"), F.array("id").alias("path"), F.lit(0.0).alias("cost"))
     found = None
-    for _ in range(hops):
+    # Costs are compared to nine places: sums of the same edges in another order are ties.
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("cost", 9), F.size("path"), "path"))
+    for level in range(1, hops + 1):
         paths = paths.join(step, "at").filter(~F.array_contains("path", F.col("to"))).select("src", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"), (F.col("cost") + F.col("w")).alias("cost"))
         found = paths if found is None else found.unionByName(paths)
+        if hops == 3 and level == 2:
+            paths = paths.withColumn("_r", best("src", "at")).filter(F.col("_r") <= k + 1).drop("_r")
     hits = found.withColumnRenamed("at", "dst").filter(target)
-    best = F.row_number().over(Window.partitionBy("src", "dst").orderBy("cost", F.size("path"), "path"))
-    return hits.withColumn("_r", best).filter(F.col("_r") <= k).select("src", "dst", "path", "cost")
+    return hits.withColumn("_r", best("src", "dst")).filter(F.col("_r") <= k).select("src", "dst", "path", "cost")
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, hops: int = 4, k: int = 5) -> DataFrame:
+    """src, dst, hops, path, quality: of each source's shortest paths to every node, the k of greatest summed quality.
+
+    edges: src, dst, quality in both directions. Level by level, each new node keeps its k best paths; a
+    shortest path's parts are shortest and a best one's parts are among the k best, so nothing is lost.
+    """
+    step = staged(edges.groupBy("src", "dst").agg(F.max("quality").alias("q")).select(F.col("src").alias("at"), F.col("dst").alias("to"), "q"), "path-steps")
+    front = sources.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("hops"), F.array("id").alias("path"), F.lit(0.0).alias("quality"))
+    seen = staged(front, "paths")
+    found = None
+    for level in range(1, hops + 1):
+        longer = front.join(step, F.col("dst") == F.col("at")).select("src", F.col("to").alias("dst"), F.lit(level).alias("hops"), F.array_append("path", F.col("to")).alias("path"), (F.col("quality") + F.col("q")).alias("quality"))
+        new = longer.join(seen.select("src", "dst"), ["src", "dst"], "left_anti")
+        best = F.row_number().over(Window.partitionBy("src", "dst").orderBy(F.desc(F.round("quality", 9)), "path"))
+        front = staged(new.withColumn("_r", best).filter(F.col("_r") <= k).drop("_r"), "paths")
+        seen, found = seen.unionByName(front), front if found is None else found.unionByName(front)
+    return found
 
 
 def distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:

@@ -7,9 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..functions.text import fund_key
 from .joins import latest_by
 
 
+#: Keys of a person in order of trust, and the score of a match by each.
+KEYS = [("email", 1.0), ("linkedin", 0.95), ("phone", 0.9), ("name_firm", 0.75), ("name_city", 0.65)]
+
+
 def cascade(new: DataFrame, known: DataFrame, keys: list[tuple[str, float]], new_id: str, known_id: str, created: str) -> DataFrame:
     """For each new row the best known row: new_id, known_id, key, score.
 
@@ -29,6 +35,82 @@ def decide(score: Column, merge: float = 0.85, review: float = 0.6) -> Column:
     return F.when(score >= merge, "merge").when(score >= review, "review").otherwise("new")
 
 
+#: Confidence of a fund's match by each way; below CREATE it is a new fund, of confidence NEW.
+FUND_SCORES = {"exact_name+vintage": 0.95, "exact_name": 0.85, "prefix": 0.7, "gp+suffix": 0.65}
+NEW = 0.5
+
+
+def resolve_funds(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """q, best, score, matched_by of every asked (q, name, vintage, firm) among known (id, name, vintage, firm).
+
+    By plain names without legal forms: equal ones (better if vintages are a year apart at most), else one that begins
+    with the other, else funds of the firm that is asked for; ties by the smaller id. What matches nothing is
+    'created', without a best. Names meet by equi-joins: as they are, and as their beginnings.
+    Known funds are first made one for each name and vintage, and one for each firm.
+    """
+    k = known.select("id", fund_key(F.col("name")).alias("n"), "vintage", "firm")
+    q = asked.select("q", fund_key(F.col("name")).alias("n"), F.col("vintage").alias("v"), "firm")
+    names = k.filter("n <> ''").groupBy("n", "vintage").agg(F.min("id").alias("id"))
+    one = names.groupBy("n").agg(F.min("id").alias("id"))
+    here = q.filter("n <> ''")
+    starts = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, F.lit(1), i))
+    longer = lambda df, *keep: df.filter(F.length("n") > 1).select(*keep, F.explode(starts(F.col("n"))).alias("n"))
+    tag = lambda df, how: df.select("q", "id", F.lit(how).alias("matched_by"))
+    close = F.coalesce(F.abs(F.col("vintage") - F.col("v")) <= 1, F.lit(False))
+    exact = here.join(names, "n")
+    found = [
+        tag(exact.filter(close), "exact_name+vintage"),
+        tag(exact.filter(~close), "exact_name"),
+        tag(longer(here, "q").join(one, "n"), "prefix"),
+        tag(here.join(longer(one, "id"), "n"), "prefix"),
+        tag(q.join(k.groupBy("firm").agg(F.min("id").alias("id")), "firm"), "gp+suffix"),
+    ]
+    score = F.coalesce(*(F.when(F.col("matched_by") == how, s) for how, s in FUND_SCORES.items()))
+    best = latest_by(reduce(DataFrame.unionByName, found).withColumn("score", score), ["q"], F.desc("score"), F.asc("id"))
+    joined = asked.select("q").join(best, "q", "left")
+    return joined.select("q", F.col("id").alias("best"), F.coalesce("score", F.lit(NEW)).alias("score"), F.coalesce("matched_by", F.lit("created")).alias("matched_by"))
+
+
+def watchlist(asked: DataFrame, listed: DataFrame, least: float = 0.85) -> DataFrame:
+    """q, id, score, method of every asked (q, name, dob, country) and listed (id, name, dob, country) whose names match well enough.
+
+    Equal plain names score 1; else half the share of like-sounding words and half the mean of each word's best spelling, both ways,
+    times 0.65 if two known dates of birth differ and 0.85 if two known countries do. Sides may have `aliases` (arrays): the best of all
+    pairs of names counts. A score above 0.5 needs a like-sounding word, so names meet by the sounds of their words, and only names:
+    each distinct name once, with the people who bear it joined afterwards.
+    """
+    if least <= 0.5:
+        raise ValueError("names meet by a like-sounding word, which scores up to 0.5 do not need")
+
+    def names(side: DataFrame) -> DataFrame:
+        every = F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in side.columns else F.array("name")
+        return side.withColumn("_n", F.explode(F.transform(F.array_compact(every), tx.person_name)))
+
+    def words(side: DataFrame, w: str) -> DataFrame:
+        distinct = side.select("_n").distinct().select("_n", tx.name_words(F.col("_n")).alias(w))
+        return distinct.select("*", F.transform(w, tx.metaphone).alias(f"{w}_sounds"))
+
+    people, list_ = names(asked), names(listed)
+    a, b = words(people, "a"), words(list_, "b")
+    met = a.select(F.col("_n").alias("na"), "a", F.filter("a_sounds", lambda x: x != "").alias("sa"), F.explode(F.array_distinct("a_sounds")).alias("sound")).join(
+        b.select(F.col("_n").alias("nb"), "b", F.filter("b_sounds", lambda x: x != "").alias("sb"), F.explode(F.array_distinct("b_sounds")).alias("sound")), "sound"
+    ).filter("sound <> ''").dropDuplicates(["na", "nb"])
+    phonetic = F.size(F.filter("sa", lambda x: F.array_contains("sb", x))) / F.greatest(F.size("sa"), F.size("sb"))
+    alike = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
+    best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: alike(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(xs)
+    fuzzy = (best("a", "b") + best("b", "a")) / 2
+    scored = met.select("na", "nb", phonetic.alias("p"), fuzzy.alias("f")).select("na", "nb", (0.5 * F.col("p") + 0.5 * F.col("f")).alias("s"), F.when(F.col("p") >= F.col("f"), "phonetic").otherwise("fuzzy").alias("method"))
+    equal = a.select(F.col("_n").alias("na")).join(b.select(F.col("_n").alias("nb")), F.col("na") == F.col("nb")).filter("na <> ''").select("na", "nb", F.lit(1.0).alias("s"), F.lit("exact").alias("method"))
+    pairs = scored.filter(F.col("s") >= least).filter("na <> nb").unionByName(equal)
+    left = people.select(F.col("_n").alias("na"), "q", F.substring("dob", 1, 10).alias("d1"), F.substring(F.lower("country"), 1, 2).alias("c1"))
+    right = list_.select(F.col("_n").alias("nb"), "id", F.substring("dob", 1, 10).alias("d2"), F.substring(F.lower("country"), 1, 2).alias("c2"))
+    joined = pairs.join(left, "na").join(right, "nb")
+    known = (F.length("d1") >= 4) & (F.length("d2") >= 4) & (F.col("d1") != F.col("d2"))
+    gate = F.when(F.coalesce(known, F.lit(False)), 0.65).otherwise(1.0) * F.when(F.coalesce(F.col("c1") != F.col("c2"), F.lit(False)), 0.85).otherwise(1.0)
+    gated = joined.withColumn("score", F.when(F.col("method") == "exact", F.col("s")).otherwise(F.col("s") * gate)).filter(F.col("score") >= least)
+    return gated.groupBy("q", "id").agg(F.max("score").alias("score"), F.max_by("method", "score").alias("method"))
+
+
 def fuzzy_pairs(rows: DataFrame, id_col: str, block: Column, score, least: float) -> DataFrame:
     """a, b, score: pairs within a block whose score reaches least. Blocks must be selective."""
     left = rows.select(block.alias("_block"), F.col(id_col).alias("a"), F.struct(*rows.columns).alias("x"))
@@ -49,7 +131,7 @@ def reconcile(rows: DataFrame, key: list[str], amount: str, day: str, authority:
     differs by more than 5 per cent or 14 days, else corroborated if two sources
     or more report it; each further source adds 0.1 of confidence, 0.99 at most.
     """
-    order = F.struct(authority, (-F.unix_date(F.col(day).cast("date"))).alias("early"), source)
+    order = F.struct(authority, (-F.unix_date(F.col(day).cast("date"))).alias("early"), source, amount)
     best = rows.groupBy(*key).agg(F.max_by(F.struct(amount, day), order).alias("b"), F.countDistinct(source).alias("sources"), F.min(amount).alias("lo"), F.max(amount).alias("hi"), F.min(F.col(day).cast("date")).alias("d0"), F.max(F.col(day).cast("date")).alias("d1"))
     value, at = F.col(f"b.{amount}"), F.col(f"b.{day}").cast("date")
     off = F.greatest(F.col("hi") - value, value - F.col("lo")) > 0.05 * F.abs(value)

@@ -30,6 +30,63 @@ def pairs_within(rows: DataFrame, group: str, member: str, most: int | None = No
     return heads.select(group, "a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
 
 
+def pairs_equal_or_unknown(rows: DataFrame, id_col: str, keys: list[str], value: str) -> DataFrame:
+    """a, b with a < b: pairs of equal keys whose values are equal or of which one is null.
+
+    Known values meet by value and unknown ones meet all, so no pair is made and then dropped.
+    """
+    side = lambda df, name: df.select(*keys, F.col(value).alias("_v"), F.col(id_col).alias(name))
+    known, unknown = rows.filter(F.col(value).isNotNull()), rows.filter(F.col(value).isNull())
+    equal = side(known, "a").join(side(known, "b"), [*keys, "_v"]).filter("a < b").select("a", "b")
+    none = side(unknown, "a").join(side(unknown, "b").drop("_v"), keys).filter("a < b").select("a", "b")
+    one = side(unknown, "a").join(side(known, "b").drop("_v"), keys).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.unionByName(none).unionByName(one)
+
+
+def associated(rows: DataFrame, group: str, member: str, pairs: DataFrame, lift: float) -> DataFrame:
+    """Of pairs (a, b, n shared groups) those that share at least `lift` times the groups that independent members would."""
+    each = rows.select(group, member).distinct()
+    sizes = each.groupBy(member).agg(F.count("*").alias("_n"))
+    total = each.agg(F.countDistinct(group).alias("_total"))
+    joined = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b").crossJoin(F.broadcast(total))  # one row
+    return joined.filter(F.col("n") * F.col("_total") >= lift * F.col("_na") * F.col("_nb")).select("a", "b", "n")
+
+
+def set_similarities(rows: DataFrame, owner: str, element: str) -> DataFrame:
+    """a, b, shared, jaccard with a < b: all pairs of owners that share an element, by joins on the elements.
+
+    The work is that of the pairs of owners of each element: elements that very many have should be left out before.
+    """
+    each = rows.select(F.col(owner).alias("o"), F.col(element).alias("e")).distinct()
+    sizes = each.groupBy("o").agg(F.count("*").alias("n"))
+    shared = each.toDF("a", "e").join(each.toDF("b", "e"), "e").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    joined = shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return joined.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+def near_hashes(rows: DataFrame, id_col: str, hash_col: str, most: int, prefix_bits: int = 16) -> DataFrame:
+    """a, b, distance of 64-bit hashes: members of an equal hash with its smallest id (0), and such ids with each other (up to most).
+
+    Hashes that differ must share their first bits and differ in `most` others at most. Of most + 1
+    bands of the other bits one then agrees, so representatives meet by prefix and band, and
+    a pair counts where its first agreeing band is; copies never meet each other.
+    """
+    h = F.col(hash_col)
+    reps = rows.groupBy(h.alias("h")).agg(F.min(id_col).alias("rep"))
+    same = rows.select(F.col(id_col).alias("b"), h.alias("h")).join(reps, "h").filter("b <> rep").select(F.col("rep").alias("a"), "b", F.lit(0).alias("distance"))
+    rest, bands = 64 - prefix_bits, most + 1
+    cuts = [rest * k // bands for k in range(bands + 1)]
+    band = lambda x, k: F.shiftright(x, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    prefix = F.shiftrightunsigned(F.col("h"), rest)
+    keyed = reps.select("rep", "h", prefix.alias("p"), F.posexplode(F.array(*(band(F.col("h"), k) for k in range(bands)))).alias("k", "v"))
+    x, y = keyed.toDF("a", "ha", "p", "k", "v"), keyed.toDF("b", "hb", "p", "k", "v")
+    met = x.join(y, ["p", "k", "v"]).filter("a < b")
+    both = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*(F.when(band(both, k) == 0, k) for k in range(bands)))
+    near = met.withColumn("distance", F.bit_count(both)).filter((F.col("distance") <= most) & (first == F.col("k"))).select("a", "b", "distance")
+    return same.unionByName(near)
+
+
 def near_in_time(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, days: int, left_id: str) -> DataFrame:
     """For each left row the right row of the same key that is nearest in time within days, ties by time.
 
@@ -57,10 +114,15 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b", *carry: str) -> Dat
 
 
 def two_hop(edges: DataFrame) -> DataFrame:
-    """src, dst, via, paths: distinct middles of pairs that are not neighbours. edges: src, dst in both directions."""
+    """src, dst, via, paths: distinct middles of pairs that are not neighbours. edges: src, dst in both directions.
+
+    Edges are made distinct first, so middles need no distinct count and sum up before the shuffle;
+    a middle with very many neighbours is split by AQE's skew join.
+    """
+    edges = edges.select("src", "dst").distinct()
     first, second = edges.select("src", F.col("dst").alias("mid")), edges.select(F.col("src").alias("mid"), "dst")
-    hops = first.join(second, "mid").filter("src <> dst").groupBy("src", "dst").agg(F.countDistinct("mid").alias("paths"), F.min("mid").alias("via"))
-    return hops.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    hops = first.join(second, "mid").filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("paths"), F.min("mid").alias("via"))
+    return hops.join(edges, ["src", "dst"], "left_anti")
 
 
 def overlay(facts: DataFrame, overrides: DataFrame, keys: list[str], value: str) -> DataFrame:

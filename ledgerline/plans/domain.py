@@ -14,13 +14,8 @@ from .registry import query
 _MARKS = "translate(%s, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')"
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(lower({_MARKS % 'left(text, 60)'}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
-def text_slug(t):
-    return t.documents.select("doc_id", tx.slug(F.substring("text", 1, 60)).alias("slug"))
-
-
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(lower({_MARKS % 'text'}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents")
-def text_slug_full(t):
+def text_slug(t):
     return t.documents.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
@@ -32,7 +27,7 @@ def canonical_keys(t):
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '') AS host, regexp_replace(regexp_replace(regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1), '/+', '/', 'g'), '/$', '') AS path,
-list_sort(list_filter(string_split(lower(regexp_extract(url, '\?([^#]*)', 1)), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'igshid', 'hsctatracking', '_hsenc', '_hsmi'))) AS kept FROM pages)
+list_sort(list_filter(string_split(lower(regexp_extract(url, '\?([^#]*)', 1)), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'utm_name', 'fbclid', 'gclid', 'dclid', 'msclkid', 'yclid', 'mc_cid', 'mc_eid', 'ref', 'ref_src', 'ref_url', '_hsenc', '_hsmi', 'hsctatracking', 'vero_conv', 'vero_id', 'wickedid', 'igshid'))) AS kept FROM pages)
 SELECT page_id, host, 'https://' || host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM p""")
 def url_canonical(t):
     return t.pages.select("page_id", tx.host(F.col("url")).alias("host"), tx.canonical_url(F.col("url")).alias("url"))
@@ -111,17 +106,28 @@ def entity_summary(t):
     return s.select("user_id", "tags", F.round(quality, 4).alias("quality"))
 
 
-_PEOPLE = """WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS email, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || c_nationkey END AS firm, c_nationkey AS city FROM customer WHERE c_custkey % 7 = 0),
-k AS (SELECT s_suppkey AS known, CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, 'Supplier', 'Customer') END AS email, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END || s_nationkey AS firm, s_nationkey AS city, s_acctbal AS created FROM supplier) """
+_PEOPLE = """WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS email, CASE WHEN c_custkey % 11 < 4 THEN 'in/' || c_custkey END AS linkedin, CASE WHEN c_custkey % 5 < 2 THEN CAST(c_custkey AS VARCHAR) END AS phone,
+c_mktsegment || c_custkey % 10 || '|' || c_nationkey AS name_firm, c_custkey % 10 || '|' || c_nationkey AS name_city FROM customer),
+k AS (SELECT s_suppkey AS known, CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, 'Supplier', 'Customer') END AS email, CASE WHEN s_suppkey % 3 > 0 THEN 'in/' || s_suppkey * 7 END AS linkedin, CASE WHEN s_suppkey % 7 < 5 THEN CAST(s_suppkey * 13 AS VARCHAR) END AS phone,
+CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE 'FURNITURE' END || s_suppkey % 10 || '|' || s_nationkey AS name_firm, s_suppkey % 10 || '|' || s_nationkey AS name_city, s_acctbal AS created FROM supplier) """
 
 
-@query(_PEOPLE + """, u AS (SELECT id, known, created, 'email' AS key, 1.0 AS score FROM n JOIN k USING (email) UNION ALL SELECT id, known, created, 'firm', 0.75 FROM n JOIN k USING (firm) UNION ALL SELECT id, known, created, 'city', 0.65 FROM n JOIN k USING (city))
+@query(_PEOPLE + """, u AS (SELECT id, known, created, 'email' AS key, 1.0 AS score FROM n JOIN k USING (email) UNION ALL SELECT id, known, created, 'linkedin', 0.95 FROM n JOIN k USING (linkedin) UNION ALL SELECT id, known, created, 'phone', 0.9 FROM n JOIN k USING (phone)
+UNION ALL SELECT id, known, created, 'name_firm', 0.75 FROM n JOIN k USING (name_firm) UNION ALL SELECT id, known, created, 'name_city', 0.65 FROM n JOIN k USING (name_city))
 SELECT id, known, key, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.85 THEN 'merge' WHEN score >= 0.6 THEN 'review' ELSE 'new' END AS decision FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, created DESC, known) = 1""")
 def identity_cascade(t):
-    new = t.customer.filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).alias("email"), F.when(F.col("c_custkey") % 4 != 0, F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))).alias("firm"), F.col("c_nationkey").alias("city"))
-    sector = F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").when(F.col("s_suppkey") % 3 == 1, "MACHINERY").otherwise("FURNITURE")
-    known = t.supplier.select(F.col("s_suppkey").alias("known"), F.when(F.col("s_suppkey") % 2 == 0, F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("email"), F.concat(sector, F.col("s_nationkey").cast("string")).alias("firm"), F.col("s_nationkey").alias("city"), F.col("s_acctbal").alias("created"))
-    found = identity.cascade(new, known, [("email", 1.0), ("firm", 0.75), ("city", 0.65)], "id", "known", "created")
+    """All customers against all suppliers."""
+    c, s, text = F.col("c_custkey"), F.col("s_suppkey"), lambda x: x.cast("string")
+    new = t.customer.select(
+        c.alias("id"), F.when(c % 3 == 0, F.col("c_name")).alias("email"), F.when(c % 11 < 4, F.concat(F.lit("in/"), text(c))).alias("linkedin"), F.when(c % 5 < 2, text(c)).alias("phone"),
+        F.concat("c_mktsegment", text(c % 10), F.lit("|"), text(F.col("c_nationkey"))).alias("name_firm"), F.concat(text(c % 10), F.lit("|"), text(F.col("c_nationkey"))).alias("name_city"),
+    )
+    sector = F.when(s % 3 == 0, "BUILDING").when(s % 3 == 1, "MACHINERY").otherwise("FURNITURE")
+    known = t.supplier.select(
+        s.alias("known"), F.when(s % 2 == 0, F.replace("s_name", F.lit("Supplier"), F.lit("Customer"))).alias("email"), F.when(s % 3 > 0, F.concat(F.lit("in/"), text(s * 7))).alias("linkedin"), F.when(s % 7 < 5, text(s * 13)).alias("phone"),
+        F.concat(sector, text(s % 10), F.lit("|"), text(F.col("s_nationkey"))).alias("name_firm"), F.concat(text(s % 10), F.lit("|"), text(F.col("s_nationkey"))).alias("name_city"), F.col("s_acctbal").alias("created"),
+    )
+    found = identity.cascade(new, known, identity.KEYS, "id", "known", "created")
     return found.withColumn("decision", identity.decide(F.col("score")))
 
 
@@ -138,15 +144,13 @@ def dedupe_key_groups(t):
     return t.orders.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
-@query("""WITH r AS (SELECT l_orderkey AS deal, l_quantity AS amount, CAST(l_shipdate AS DATE) AS day, l_tax AS authority, l_suppkey AS source FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'),
-g AS (SELECT deal, arg_max((amount, day), (authority, -(day - DATE '1970-01-01'), source, amount)) AS b, count(DISTINCT source) AS sources, min(amount) AS lo, max(amount) AS hi, min(day) AS d0, max(day) AS d1 FROM r GROUP BY 1 HAVING count(*) = count(DISTINCT source))
+@query("""WITH r AS (SELECT l_orderkey AS deal, l_quantity AS amount, CAST(l_shipdate AS DATE) AS day, l_tax AS authority, l_suppkey AS source FROM lineitem),
+g AS (SELECT deal, arg_max((amount, day), (authority, -(day - DATE '1970-01-01'), source, amount)) AS b, count(DISTINCT source) AS sources, min(amount) AS lo, max(amount) AS hi, min(day) AS d0, max(day) AS d1 FROM r GROUP BY 1)
 SELECT deal, b[1] AS amount, CAST(b[2] AS VARCHAR) AS day, sources, CASE WHEN greatest(hi - b[1], b[1] - lo) > 0.05 * abs(b[1]) OR greatest(d1 - b[2], b[2] - d0) > 14 THEN 'disputed' WHEN sources >= 2 THEN 'corroborated' ELSE 'single' END AS status,
 round(least(0.99, 0.6 + 0.1 * (sources - 1)), 4)::DOUBLE AS confidence FROM g""")
 def reconcile_sources(t):
-    rows = t.lineitem.filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select(F.col("l_orderkey").alias("deal"), F.col("l_quantity").alias("amount"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_tax").alias("authority"), F.col("l_suppkey").alias("source"))
-    # A source reports a deal once.
-    once = rows.groupBy("deal").agg((F.count("*") == F.countDistinct("source")).alias("once")).filter("once").select("deal")
-    return identity.reconcile(rows.join(once, "deal", "left_semi"), ["deal"], "amount", "day", "authority", "source", 0.6)
+    rows = t.lineitem.select(F.col("l_orderkey").alias("deal"), F.col("l_quantity").alias("amount"), F.col("l_shipdate").cast("date").alias("day"), F.col("l_tax").alias("authority"), F.col("l_suppkey").alias("source"))
+    return identity.reconcile(rows, ["deal"], "amount", "day", "authority", "source", 0.6)
 
 
 @query("""WITH p AS (SELECT p_partkey, p_name, left(p_name, 3) || p_brand AS b FROM part)
@@ -238,19 +242,8 @@ def garbage_names(t):
     return t.documents.select("doc_id", name.alias("n")).select("doc_id", first_failure(checks).alias("garbage"))
 
 
-@query(r"""WITH c AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(left(text, 200)), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) >= 3)) AS w FROM documents WHERE doc_id < 40)
-SELECT item_id, doc_id, round(len(list_intersect(c.w, d.w)) / len(c.w), 4) AS share FROM c, d WHERE len(list_intersect(c.w, d.w)) / len(c.w) >= 0.15""")
-def span_verify(t):
-    claims = t.benchmark.select("item_id", tx.tokens(F.substring("text", 1, 200)).alias("c"))
-    rows = t.documents.filter("doc_id < 40").select("doc_id", tx.tokens(F.col("text")).alias("d"))
-    # Claims and texts meet on shared tokens, not all with all.
-    a, b = claims.select("item_id", F.size("c").alias("n"), F.explode("c").alias("w")), rows.select("doc_id", F.explode("d").alias("w"))
-    shared = a.join(b, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("k"))
-    return shared.filter(F.col("k") / F.col("n") >= 0.15).select("item_id", "doc_id", F.round(F.col("k") / F.col("n"), 4).alias("share"))
-
-
 @query()
-def span_verify_full(t):
+def span_verify(t):
     """Whole benchmark texts, as claims and spans, against all documents."""
     from ..operators.search import verify_spans
 

@@ -112,13 +112,11 @@ def pairs_capped(t):
     return joins.pairs_within(rows, "o_custkey", "v", 5).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal < 2000 THEN NULL ELSE CAST(s_acctbal // 2000 AS INTEGER) END AS y FROM supplier)
+@query("""WITH d AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal < 2000 THEN NULL ELSE CAST(floor(s_acctbal / 2000) AS INTEGER) END AS y FROM supplier)
 SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM d a JOIN d b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND (a.y = b.y OR a.y IS NULL OR b.y IS NULL)""")
 def pairs_null_tolerant(t):
     year = F.when(F.col("s_acctbal") >= 2000, F.floor(F.col("s_acctbal") / 2000))
-    d = t.supplier.select("s_suppkey", "s_nationkey", year.alias("y"))
-    a, b = d.toDF("a", "nation", "ya"), d.toDF("b", "nation", "yb")
-    return a.join(b, "nation").filter((F.col("a") < F.col("b")) & ((F.col("ya") == F.col("yb")) | F.col("ya").isNull() | F.col("yb").isNull())).select("a", "b")
+    return joins.pairs_equal_or_unknown(t.supplier.select("s_suppkey", "s_nationkey", year.alias("y")), "s_suppkey", ["s_nationkey"], "y")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 490000)")
@@ -192,44 +190,33 @@ def name_containment(t):
     return t.pages.join(F.broadcast(names), F.contains("url", path)).select("page_id", "name", hits.cast("int").alias("hits"))
 
 
-_PAIRS = """WITH pd AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), pp AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM pd a JOIN pd b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
-t AS (SELECT a, b, n FROM pp WHERE (a * 31 + b * 17) % 11 = 0), e AS (SELECT a AS src, b AS dst, n FROM t UNION ALL SELECT b, a, n FROM t) """
-
-
-#: The same for all pairs.
-_ALL_PAIRS = _PAIRS.replace("WHERE (a * 31 + b * 17) % 11 = 0", "")
-_NEIGHBOURS = "SELECT src, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight FROM e GROUP BY 1"
-_TWO_HOP = """SELECT x.src, y.dst, count(DISTINCT x.dst) AS paths, min(x.dst) AS via FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2"""
-
-
-def all_supplier_pairs(t):
-    """a, b, n: pairs of suppliers, and how many orders they share."""
-    return joins.pairs_within(t.lineitem, "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
+_PAIRS = """WITH pd AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM pd a JOIN pd b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
+e AS (SELECT a AS src, b AS dst, n FROM t UNION ALL SELECT b, a, n FROM t) """
+#: A pair is associated if it shares so many times the orders that independence would give.
+LIFT = 0.95
+_ASSOCIATED = f"""WITH pd AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), pp AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM pd a JOIN pd b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
+dc AS (SELECT l_suppkey, count(*) AS deals FROM pd GROUP BY 1), t AS (SELECT a, b, n FROM pp JOIN dc x ON x.l_suppkey = a JOIN dc y ON y.l_suppkey = b WHERE n * (SELECT count(DISTINCT l_orderkey) FROM pd) >= {LIFT} * x.deals * y.deals),
+e AS (SELECT a AS src, b AS dst, n FROM t UNION ALL SELECT b, a, n FROM t) """
 
 
 def supplier_pairs(t):
-    """A fixed eleventh of all_supplier_pairs, chosen by their ids."""
-    return all_supplier_pairs(t).filter((F.col("a") * 31 + F.col("b") * 17) % 11 == 0)
-
-
-@query(_PAIRS + _NEIGHBOURS)
-def neighbours_bidirectional(t, pairs=supplier_pairs):
-    return joins.undirected(pairs(t), "a", "b", "n").groupBy("src").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
+    """a, b, n: all pairs of suppliers that share orders, and how many."""
+    return joins.pairs_within(t.lineitem, "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query(_ALL_PAIRS + _NEIGHBOURS)
-def neighbours_bidirectional_full(t):
-    return neighbours_bidirectional(t, all_supplier_pairs)
+def associated_pairs(t):
+    """Of supplier_pairs those that share LIFT times the orders that independent suppliers would, at least."""
+    return joins.associated(t.lineitem, "l_orderkey", "l_suppkey", supplier_pairs(t), LIFT)
 
 
-@query(_PAIRS + _TWO_HOP)
-def two_hop_candidates(t, pairs=supplier_pairs):
-    return joins.two_hop(joins.undirected(pairs(t)))
+@query(_PAIRS + "SELECT src, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight FROM e GROUP BY 1")
+def neighbours_bidirectional(t):
+    return joins.undirected(supplier_pairs(t), "a", "b", "n").groupBy("src").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
 
 
-@query(_ALL_PAIRS + _TWO_HOP)
-def two_hop_candidates_full(t):
-    return two_hop_candidates(t, all_supplier_pairs)
+@query(_ASSOCIATED + """SELECT x.src, y.dst, count(DISTINCT x.dst) AS paths, min(x.dst) AS via FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2""")
+def two_hop_candidates(t):
+    return joins.two_hop(joins.undirected(associated_pairs(t)))
 
 
 @query("""SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer""")
@@ -247,14 +234,23 @@ def override_overlay(t):
     return joins.overlay(facts, manual.unionByName(extra), ["entity"], "value")
 
 
-@query("""WITH h AS (SELECT doc_id, left(md5(text), 2) AS p, ('0x' || substr(md5(text), 3, 4))::BIGINT AS b FROM documents) SELECT x.doc_id AS a, y.doc_id AS b, CAST(bit_count(xor(x.b, y.b)) AS INTEGER) AS distance FROM h x JOIN h y ON x.p = y.p AND x.doc_id < y.doc_id WHERE bit_count(xor(x.b, y.b)) BETWEEN 1 AND 3""")
+#: Cells of a text's profile: how often each occurs.
+CELLS = (*"abcdefghijklmnopqrstuvwxyz", *"th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic".split())
+_PROFILE = f"""WITH c AS (SELECT doc_id, list_transform({list(CELLS)}, lambda p: (length(text) - length(replace(text, p, ''))) / length(p)) AS c FROM documents WHERE text <> ''),
+h AS (SELECT doc_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN c[i] * 64 > list_sum(c) THEN 1::UBIGINT << (64 - i) ELSE 0 END))::UBIGINT AS h FROM c),
+g AS (SELECT h, min(doc_id) AS rep FROM h GROUP BY 1) """
+
+
+@query(_PROFILE + """SELECT g.rep AS a, doc_id AS b, 0 AS distance FROM h JOIN g USING (h) WHERE doc_id <> g.rep
+UNION ALL SELECT least(x.rep, y.rep), greatest(x.rep, y.rep), CAST(bit_count(xor(x.h, y.h)) AS INTEGER) FROM g x JOIN g y ON x.h >> 48 = y.h >> 48 AND x.rep < y.rep WHERE bit_count(xor(x.h, y.h)) <= 6""")
 def hash_prefix_hamming(t):
-    h = t.documents.select("doc_id", F.substring(F.md5("text"), 1, 2).alias("p"), F.conv(F.substring(F.md5("text"), 3, 4), 16, 10).cast("long").alias("b"))
-    # One row for each value of a block: copies of a text would else meet each other.
-    x = h.select(F.col("doc_id").alias("i"), "p", F.col("b").alias("bi"))
-    y = h.select(F.col("doc_id").alias("j"), "p", F.col("b").alias("bj"))
-    distance = F.bit_count(F.col("bi").bitwiseXOR(F.col("bj")))
-    return x.join(y, "p").filter((F.col("i") < F.col("j")) & distance.between(1, 3)).select(F.col("i").alias("a"), F.col("j").alias("b"), distance.alias("distance"))
+    """Documents of equal profiles with their first one (distance 0), and first ones of like profiles with each other."""
+    text, cells = F.col("text"), F.array(*map(F.lit, CELLS))
+    counts = F.transform(cells, lambda p: (F.length(text) - F.length(F.replace(text, p))) / F.length(p))
+    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
+    bits = F.aggregate(F.transform("c", lambda x: (x * 64 > F.col("total")).cast("long")), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(x))
+    rows = t.documents.filter("text <> ''").select("doc_id", counts.alias("c")).select("doc_id", "c", total.alias("total")).select("doc_id", bits.alias("h"))
+    return joins.near_hashes(rows, "doc_id", "h", 6)
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
@@ -372,11 +368,9 @@ def ci_array_union(t):
     return t.part.select("p_partkey", F.array_join(union_ignoring_case(words, more), "|").alias("merged"))
 
 
-@query("""WITH s AS (SELECT l_suppkey, list(DISTINCT year(l_shipdate) * 100 + month(l_shipdate)) AS m FROM lineitem WHERE l_quantity > 48 GROUP BY 1)
-SELECT a.l_suppkey AS a, b.l_suppkey AS b, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m))), 6) AS jaccard FROM s a JOIN s b ON b.l_suppkey = a.l_suppkey + 1""")
+@query("""WITH s AS (SELECT l_suppkey, list(DISTINCT l_partkey) AS m FROM lineitem GROUP BY 1), p AS (SELECT s_suppkey, s_nationkey, m FROM supplier JOIN s ON l_suppkey = s_suppkey)
+SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(len(list_intersect(a.m, b.m)) / len(list_distinct(list_concat(a.m, b.m))), 6) AS jaccard FROM p a JOIN p b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE len(list_intersect(a.m, b.m)) > 0""")
 def jaccard_sets(t):
-    from ..functions.arrays import jaccard
-
-    months = t.lineitem.filter("l_quantity > 48").groupBy("l_suppkey").agg(F.collect_set(F.year("l_shipdate") * 100 + F.month("l_shipdate")).alias("m"))
-    following = months.select((F.col("l_suppkey") - 1).alias("l_suppkey"), F.col("m").alias("m2"))
-    return months.join(following, "l_suppkey").select(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + 1).alias("b"), F.round(jaccard(F.col("m"), F.col("m2")), 6).alias("jaccard"))
+    """Jaccard similarity of the parts that two suppliers of a nation deliver, where it is above 0."""
+    sets = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", F.struct("s_nationkey", "l_partkey").alias("part"))
+    return joins.set_similarities(sets, "s_suppkey", "part").select("a", "b", F.round("jaccard", 6).alias("jaccard"))

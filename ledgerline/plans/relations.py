@@ -5,40 +5,74 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, log_scale
-from ..operators import joins, metrics, relations, scores
+from ..operators import funds, identity, metrics, relations, scores
 from .registry import query
 
 
-@query("""WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey, l_shipdate FROM lineitem WHERE l_quantity > 44), co AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, greatest(a.l_shipdate, b.l_shipdate) AS seen FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),
-n AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, TIMESTAMP '1999-01-01' AS seen FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey),
-u AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, 'co_investor' AS kind, 0.5 AS base FROM co UNION ALL SELECT least(a, b), greatest(a, b), 'same_place', 0.3 FROM n)
+@query("""WITH l AS (SELECT l_orderkey, l_suppkey, max(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2), r AS (SELECT l_partkey % 100 AS panel, l_suppkey, max(l_shipdate) AS seen FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+u AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, 'co_invested_with' AS kind, 0.9 AS base, greatest(a.seen, b.seen) AS seen FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey
+UNION ALL SELECT x.s_suppkey, y.s_suppkey, 'school_with', 0.55, NULL FROM supplier x JOIN supplier y ON x.s_nationkey = y.s_nationkey AND x.s_suppkey < y.s_suppkey
+UNION ALL SELECT x.l_suppkey, y.l_suppkey, 'publicly_mentioned_with', 0.4, greatest(x.seen, y.seen) FROM r x JOIN r y ON x.panel = y.panel AND x.l_suppkey < y.l_suppkey)
 SELECT src, dst, kind, count(*) AS evidence, round(least(1.0, any_value(base) + 0.05 * (count(*) - 1)), 4)::DOUBLE AS quality FROM u GROUP BY 1, 2, 3""")
 def edge_infer(t):
-    lines = t.lineitem.filter("l_quantity > 44").select("l_orderkey", "l_suppkey", "l_shipdate").distinct()
-    a, b = lines.toDF("k", "a", "sa"), lines.toDF("k", "b", "sb")
-    together = a.join(b, "k").filter("a < b").select("a", "b", F.greatest("sa", "sb").alias("seen"))
-    here = t.supplier.select("s_nationkey", "s_suppkey")
-    near = here.toDF("n", "a").join(here.toDF("n", "b"), "n").filter("a < b").select("a", "b", F.lit("1999-01-01").cast("timestamp_ntz").alias("seen"))
-    return relations.infer_edges({"co_investor": (together, 0.5), "same_place": (near, 0.3)}).drop("seen")
-
-
-@query("""WITH g AS (SELECT l_suppkey, count(*) AS n, max(CASE WHEN l_returnflag = 'R' THEN l_shipdate END) AS seen, avg(CASE WHEN l_linenumber = 1 THEN l_discount END) AS d FROM lineitem WHERE l_quantity > 49 GROUP BY 1),
-s AS (SELECT *, least(1.0, ln(1 + n) / ln(1 + 100.0)) AS a, CASE WHEN seen IS NOT NULL THEN CASE WHEN date_diff('day', CAST(seen AS DATE), DATE '2001-12-31') > 300 THEN 0.4 ELSE 0.8 END END AS b, least(1.0, d * 10) AS c FROM g)
-SELECT l_suppkey, round((coalesce(1.25 * a, 0) + coalesce(b, 0) + coalesce(0.75 * c, 0)) / (1.25 + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 0.75 END), 4) AS quality FROM s""")
+    """Edges of suppliers: orders in common, the same nation, returns in the same panel of parts."""
+    lines = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("seen"))
+    panels = t.lineitem.filter("l_returnflag = 'R'").groupBy((F.col("l_partkey") % 100).alias("panel"), "l_suppkey").agg(F.max("l_shipdate").alias("seen"))
+    parts = {
+        "co_invested_with": (relations.together(lines, "l_orderkey", "l_suppkey", "seen"), relations.baseline("co_invested_with", "deal")),
+        "school_with": (relations.together(t.supplier.withColumn("seen", F.lit(None).cast("timestamp_ntz")), "s_nationkey", "s_suppkey", "seen"), relations.baseline("school_with", "overlap")),
+        "publicly_mentioned_with": (relations.together(panels, "panel", "l_suppkey", "seen"), relations.baseline("publicly_mentioned_with", "news")),
+    }
+    return relations.infer_edges(parts).drop("seen")
+
+
+_EDGES = """WITH pd AS (SELECT l_orderkey, l_suppkey, min(l_linenumber) AS line FROM lineitem GROUP BY 1, 2), dc AS (SELECT l_suppkey, count(*) AS deals FROM pd GROUP BY 1),
+pp AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM pd a JOIN pd b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
+e AS (SELECT a, b FROM pp JOIN dc x ON x.l_suppkey = a JOIN dc y ON y.l_suppkey = b WHERE n * (SELECT count(DISTINCT l_orderkey) FROM pd) >= 0.95 * x.deals * y.deals),
+co AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n, max(o_orderdate) AS seen FROM pd x JOIN pd y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey JOIN orders ON o_orderkey = x.l_orderkey WHERE o_orderdate >= TIMESTAMP '1996-12-31' GROUP BY 1, 2),
+pt AS (SELECT l_partkey, l_suppkey, max(l_shipdate) AS seen FROM lineitem GROUP BY 1, 2), cm AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n, max(greatest(x.seen, y.seen)) AS seen FROM pt x JOIN pt y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2),
+sp AS (SELECT p_brand, l_suppkey, min(l_shipdate)::DATE AS s, max(l_shipdate)::DATE AS f FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+bo AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, sum(greatest(0.0, date_diff('day', greatest(x.s, y.s), least(x.f, y.f)) / 30.44)) AS n, max(greatest(x.f, y.f)) AS seen FROM sp x JOIN sp y ON x.p_brand = y.p_brand AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2),
+rp AS (SELECT l_orderkey, l_suppkey, max(l_shipdate) AS seen FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), tw AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n, max(greatest(x.seen, y.seen)) AS seen FROM rp x JOIN rp y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2),
+en AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n, max(o_orderdate) AS seen FROM pd x JOIN pd y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey AND x.line < y.line JOIN orders ON o_orderkey = x.l_orderkey GROUP BY 1, 2),
+yr AS (SELECT DISTINCT l_partkey % 50 AS panel, year(l_shipdate) AS y, l_suppkey FROM lineitem WHERE l_linenumber = 1), jp AS (SELECT p.l_suppkey AS a, q.l_suppkey AS b, count(*) AS n, make_date(max(p.y), 1, 1) AS seen FROM yr p JOIN yr q ON p.panel = q.panel AND p.y = q.y AND p.l_suppkey < q.l_suppkey GROUP BY 1, 2),
+nb AS (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT i, count(*) AS d FROM nb GROUP BY 1), mu AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM nb x JOIN nb y ON x.j = y.j AND x.i < y.i GROUP BY 1, 2),
+v AS (SELECT e.a, e.b, least(1.0, ln(1 + co.n) / ln(11.0)) AS v1, co.seen::DATE AS d1, least(1.0, ln(1 + cm.n) / ln(9.0)) AS v2, cm.seen::DATE AS d2, CASE WHEN bo.n > 0 THEN least(1.0, ln(1 + bo.n) / ln(37.0)) END AS v3, bo.seen AS d3, least(1.0, ln(1 + tw.n) / ln(21.0)) AS v4, tw.seen::DATE AS d4,
+least(1.0, ln(1 + en.n) / ln(6.0)) AS v5, en.seen::DATE AS d5, least(1.0, ln(1 + jp.n) / ln(6.0)) AS v6, jp.seen AS d6, CASE WHEN x.s_nationkey = y.s_nationkey THEN 1 / 3.0 END AS v7, mu.n / (p.d + q.d - 2 - mu.n) AS v8
+FROM e JOIN supplier x ON x.s_suppkey = e.a JOIN supplier y ON y.s_suppkey = e.b JOIN dg p ON p.i = e.a JOIN dg q ON q.i = e.b LEFT JOIN co ON co.a = e.a AND co.b = e.b LEFT JOIN cm ON cm.a = e.a AND cm.b = e.b LEFT JOIN bo ON bo.a = e.a AND bo.b = e.b LEFT JOIN tw ON tw.a = e.a AND tw.b = e.b
+LEFT JOIN en ON en.a = e.a AND en.b = e.b LEFT JOIN jp ON jp.a = e.a AND jp.b = e.b LEFT JOIN mu ON mu.a = e.a AND mu.b = e.b),
+s AS (SELECT a, b, unnest([{'w': 1.25, 'v': v1, 'd': d1}, {'w': 1.0, 'v': v2, 'd': d2}, {'w': 1.25, 'v': v3, 'd': d3}, {'w': 0.75, 'v': v4, 'd': d4}, {'w': 1.0, 'v': v5, 'd': d5}, {'w': 0.75, 'v': v6, 'd': d6}, {'w': 1.0, 'v': v7, 'd': NULL}, {'w': 1.0, 'v': v8, 'd': NULL}]) AS x FROM v) """
+
+
+@query(_EDGES + """SELECT a, b, count(x.v) AS signals, round(sum(x.w * x.v * CASE WHEN date_diff('day', x.d, DATE '2001-12-31') > 730.5 THEN 0.5 ELSE 1 END) / sum(CASE WHEN x.v IS NOT NULL THEN x.w END), 3) AS quality FROM s GROUP BY 1, 2 HAVING count(x.v) > 0""")
 def edge_quality(t):
-    returned = F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))
-    g = t.lineitem.filter("l_quantity > 49").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max(returned).alias("seen"), F.avg(F.when(F.col("l_linenumber") == 1, F.col("l_discount"))).alias("d"))
+    """All eight signals of the associated pairs of suppliers."""
+    from .relational import associated_pairs
+
+    edges = associated_pairs(t).select("a", "b")
+    pd = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("line"))
+    dated = pd.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    parts = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.max("l_shipdate").alias("seen"))
+    brands = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand", "l_suppkey").agg(F.min("l_shipdate").cast("date").alias("started"), F.max("l_shipdate").cast("date").alias("ended"))
+    returned = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_shipdate").alias("seen"))
+    panels = t.lineitem.filter("l_linenumber = 1").select(F.struct((F.col("l_partkey") % 50).alias("panel"), F.year("l_shipdate").alias("year")).alias("panel"), "l_suppkey", F.make_date(F.year("l_shipdate"), F.lit(1), F.lit(1)).alias("seen")).distinct()
+    recent = dated.filter(F.col("o_orderdate") >= F.lit("1996-12-31").cast("timestamp_ntz"))
     signals = {
-        "deals": (log_scale(F.col("n"), 100), None, 1.25),
-        "returned": (F.when(F.col("seen").isNotNull(), 0.8), F.col("seen").cast("date"), 1.0),
-        "lead": (F.least(F.lit(1.0), F.col("d") * 10), None, 0.75),
+        "co_investment_5y": relations.shared_signal(recent, "l_orderkey", "l_suppkey", "o_orderdate", 10),
+        "public_co_mentions": relations.shared_signal(parts, "l_partkey", "l_suppkey", "seen", 8),
+        "board_time_overlap": relations.overlap_signal(brands, "p_brand", "l_suppkey", "started", "ended", 36),
+        "twitter_reply_rate": relations.shared_signal(returned, "l_orderkey", "l_suppkey", "seen", 20),
+        "linkedin_endorsements": relations.shared_signal(dated, "l_orderkey", "l_suppkey", "o_orderdate", 5, before="line"),
+        "joint_panels": relations.shared_signal(panels, "panel", "l_suppkey", "seen", 5),
+        "same_firm_or_school": relations.attribute_signal(edges, t.supplier, "s_suppkey", ["s_nationkey"], 3),
+        "mutual_jaccard": relations.mutual_signal(edges),
     }
-    return g.select("l_suppkey", relations.edge_quality(signals, F.lit("2001-12-31").cast("date"), 300).alias("quality"))
+    return relations.edge_scores(edges, signals, F.lit("2001-12-31").cast("date"))
 
 
-@query("""SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(avg(l_discount * 50), 4) END AS mean, CASE WHEN count(*) >= 5 THEN round(median(l_discount * 50), 4) END AS median FROM lineitem WHERE l_quantity = 50 GROUP BY 1""")
+@query("""SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(avg(l_discount * 50), 4) END AS mean, CASE WHEN count(*) >= 5 THEN round(median(l_discount * 50), 4) END AS median FROM lineitem GROUP BY 1""")
 def investor_reputation(t):
-    return relations.reputation(t.lineitem.filter("l_quantity = 50").withColumn("rating", F.col("l_discount") * 50), "l_suppkey", "rating", 5)
+    return relations.reputation(t.lineitem.withColumn("rating", F.col("l_discount") * 50), "l_suppkey", "rating", 5)
 
 
 @query("""WITH l AS (SELECT o_orderkey, o_totalprice AS after, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before, o_orderpriority AS p FROM orders)
@@ -53,13 +87,14 @@ def rule_evaluation(t):
     return relations.evaluate_rules(changes, rules).select("o_orderkey", "rule", "severity")
 
 
-@query("""WITH p AS (SELECT n_nationkey AS k, n_nationkey * 7 - 80.0 AS lat, n_nationkey * 14 - 170.0 AS lon FROM nation)
-SELECT a.k AS a, b.k AS b, round(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS km, round(exp(-(2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))) / 500), 6) AS fit FROM p a JOIN p b ON b.k = a.k + 1""")
+@query("""WITH p AS (SELECT n_nationkey AS k, n_regionkey AS r, n_nationkey * 7 - 80.0 AS lat, n_nationkey * 14 - 170.0 AS lon FROM nation),
+d AS (SELECT a.k AS a, b.k AS b, 2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km FROM p a JOIN p b ON a.r = b.r AND a.k < b.k) SELECT a, b, round(km, 3) AS km, round(exp(-km / 500), 6) AS fit FROM d""")
 def geo_fit(t):
-    p = t.nation.select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 7 - 80.0).alias("lat"), (F.col("n_nationkey") * 14 - 170.0).alias("lon"))
-    q = p.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    """All pairs of nations of a region."""
+    p = t.nation.select("n_regionkey", F.col("n_nationkey").alias("k"), (F.col("n_nationkey") * 7 - 80.0).alias("lat"), (F.col("n_nationkey") * 14 - 170.0).alias("lon"))
+    q = p.toDF("n_regionkey", "k2", "lat2", "lon2")
     km = relations.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    return p.join(q, "k").select(F.col("k").alias("a"), (F.col("k") + 1).alias("b"), F.round(km, 3).alias("km"), F.round(F.exp(-km / 500), 6).alias("fit"))
+    return p.join(q, "n_regionkey").filter("k < k2").select(F.col("k").alias("a"), F.col("k2").alias("b"), F.round(km, 3).alias("km"), F.round(F.exp(-km / 500), 6).alias("fit"))
 
 
 @query("""WITH c AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.0 WHEN 'MACHINERY' THEN 0.7 ELSE 0 END AS seg, greatest(0.0, 1 - abs(c_nationkey - 10) * 0.25) AS geo, least(1.0, greatest(0.0, c_acctbal / 9000)) AS size FROM customer WHERE c_nationkey < 20)
@@ -111,14 +146,11 @@ def calibration_grading(t):
     return t.lineitem.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.round(F.avg(grade), 6).alias("grade"))
 
 
-@query("""WITH e AS (SELECT l_suppkey, l_shipdate, l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 48), c AS (SELECT a.l_suppkey, a.l_orderkey, count(DISTINCT b.l_orderkey) AS n FROM e a JOIN e b ON a.l_suppkey = b.l_suppkey AND b.l_shipdate BETWEEN a.l_shipdate AND a.l_shipdate + INTERVAL 60 DAY GROUP BY 1, 2)
+@query("""WITH e AS (SELECT l_suppkey, l_orderkey, min(l_shipdate) AS d FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), c AS (SELECT l_suppkey, count(*) OVER (PARTITION BY l_suppkey ORDER BY d RANGE BETWEEN CURRENT ROW AND INTERVAL 60 DAY FOLLOWING) AS n FROM e)
 SELECT l_suppkey, max(n) AS largest, count(*) FILTER (n >= 2) AS anchors FROM c GROUP BY 1""")
 def spinout_clusters(t):
-    e = t.lineitem.filter("l_returnflag = 'R' and l_quantity > 48").select("l_suppkey", "l_shipdate", "l_orderkey")
-    following = e.select("l_suppkey", F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("other"))
-    near = e.join(following, "l_suppkey").filter(F.col("at").between(F.col("l_shipdate"), F.col("l_shipdate") + F.expr("INTERVAL 60 DAY")))
-    per_anchor = near.groupBy("l_suppkey", "l_orderkey").agg(F.countDistinct("other").alias("n"))
-    return per_anchor.groupBy("l_suppkey").agg(F.max("n").alias("largest"), F.count_if(F.col("n") >= 2).alias("anchors"))
+    e = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_shipdate").alias("d"))
+    return funds.clusters(e, ["l_suppkey"], "d", 60, 1).groupBy("l_suppkey").agg(F.max("n").alias("largest"), F.count_if(F.col("n") >= 2).alias("anchors"))
 
 
 @query("""WITH s AS (SELECT o_custkey, o_orderdate, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders)
@@ -141,17 +173,22 @@ def portfolio_pacing(t):
     return g.withColumn("pct", F.round(100.0 * F.col("deals") / F.sum("deals").over(Window.partitionBy("year", "quarter")), 4))
 
 
-@query("""WITH n AS (SELECT p_partkey, lower(p_name) AS n FROM part WHERE p_partkey < 60), q AS (SELECT p_partkey AS q, lower(replace(p_name, 'e', 'a')) AS m FROM part WHERE p_partkey >= 60 AND p_partkey < 100),
-s AS (SELECT q, p_partkey, CASE WHEN n = m THEN 1.0 ELSE 1 - levenshtein(n, m) / greatest(length(n), length(m)) END AS score FROM n JOIN q ON left(n, 1) = left(m, 1))
-SELECT q, p_partkey AS best, round(score, 4) AS score FROM s WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, p_partkey) = 1""")
-def fund_resolver(t):
-    from ..functions.text import name_similarity
+_FUND = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower(%s), '\b(l\.?p\.?|llc|l\.?l\.?c\.?|ltd\.?|limited|inc\.?|incorporated|corp\.?|corporation|gmbh|s\.?a\.?|n\.?v\.?|plc|fund|funds|partners|partnership)\b', '', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g'))"""
+
 
-    known = t.part.filter("p_partkey < 60").select(F.col("p_partkey").alias("best"), F.col("p_name").alias("n"))
-    asked = t.part.filter("p_partkey >= 60 and p_partkey < 100").select(F.col("p_partkey").alias("q"), F.replace("p_name", F.lit("e"), F.lit("a")).alias("m"))
-    block = lambda c: F.lower(F.substring(c, 1, 1)).alias("block")
-    scored = known.select("*", block("n")).join(asked.select("*", block("m")), "block").withColumn("score", name_similarity(F.col("n"), F.col("m"))).filter("score >= 0.6")
-    return joins.latest_by(scored, ["q"], F.desc("score"), F.asc("best")).select("q", "best", F.round("score", 4).alias("score"))
+@query(f"""WITH k AS (SELECT p_partkey AS id, {_FUND % "p_name || ' ' || p_brand || ' Fund LP'"} AS n, p_size AS vintage, p_type AS firm FROM part),
+q AS (SELECT p_partkey AS q, {_FUND % "CASE p_partkey // 50 % 4 WHEN 0 THEN upper(p_name || ' ' || p_brand) WHEN 1 THEN p_name || ' ' || p_brand || ' 9 Limited' WHEN 2 THEN split_part(p_name, ' ', 1) ELSE 'unheard of ' || p_partkey END"} AS n, p_size + 1 AS vintage, CASE WHEN p_partkey // 50 % 8 < 4 THEN p_type END AS firm FROM part WHERE p_partkey % 50 = 0),
+m AS (SELECT q, id, CASE WHEN k.n = q.n THEN CASE WHEN abs(k.vintage - q.vintage) <= 1 THEN 0.95 ELSE 0.85 END WHEN starts_with(k.n, q.n) OR starts_with(q.n, k.n) THEN 0.7 WHEN k.firm = q.firm THEN 0.65 END AS score FROM q JOIN k ON k.n = q.n OR starts_with(k.n, q.n) OR starts_with(q.n, k.n) OR k.firm = q.firm),
+b AS (SELECT q, id, score FROM m QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, id) = 1)
+SELECT q.q, id AS best, CAST(coalesce(score, 0.5) AS DOUBLE) AS score, CASE score WHEN 0.95 THEN 'exact_name+vintage' WHEN 0.85 THEN 'exact_name' WHEN 0.7 THEN 'prefix' WHEN 0.65 THEN 'gp+suffix' ELSE 'created' END AS matched_by FROM q LEFT JOIN b ON b.q = q.q""")
+def fund_resolver(t):
+    """Every fiftieth part's name, as written by others, against all parts' names."""
+    name = F.concat("p_name", F.lit(" "), "p_brand")
+    known = t.part.select(F.col("p_partkey").alias("id"), F.concat(name, F.lit(" Fund LP")).alias("name"), F.col("p_size").alias("vintage"), F.col("p_type").alias("firm"))
+    turn = F.floor(F.col("p_partkey") / 50)
+    written = F.when(turn % 4 == 0, F.upper(name)).when(turn % 4 == 1, F.concat(name, F.lit(" 9 Limited"))).when(turn % 4 == 2, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.concat(F.lit("unheard of "), F.col("p_partkey").cast("string")))
+    asked = t.part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), written.alias("name"), (F.col("p_size") + 1).alias("vintage"), F.when(turn % 8 < 4, F.col("p_type")).alias("firm"))
+    return identity.resolve_funds(asked, known)
 
 
 @query("""WITH e AS (SELECT user_id, event_type AS kind, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT a.kind AS from_kind, b.kind AS to_kind, count(*) AS n, round(avg(epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 3) AS mean_gap FROM e a JOIN e b ON a.user_id = b.user_id AND b.i = a.i + 1 GROUP BY 1, 2""")

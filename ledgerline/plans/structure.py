@@ -7,88 +7,85 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import discrete_percentile
 from ..operators import funds, graph, joins, sequences
-from .registry import ORACLE_SQL, query
-from .relational import _ALL_PAIRS, _PAIRS, all_supplier_pairs, supplier_pairs
+from .registry import query
+from .relational import _ASSOCIATED, _PAIRS, associated_pairs, supplier_pairs
 
 
-def _weighted(t, pairs=supplier_pairs):
-    return pairs(t).select("a", "b", F.least(F.lit(1.0), F.col("n") / 10).alias("weight"))
+def _weighted(pairs):
+    return pairs.select("a", "b", F.least(F.lit(1.0), F.col("n") / 10).alias("weight"))
 
 
-def _of_all(name: str) -> str:
-    """The SQL of a query of a part of the pairs, for all of them."""
-    return ORACLE_SQL[name].replace(_PAIRS, _ALL_PAIRS)
+def _rank_sql(edges: str, key: str = "") -> str:
+    """30 rounds over edges (src, dst, weight and the key of their graph, if any); every node has an edge out."""
+    g, on = (f"{key}, ", f" AND {{0}}.{key} = {{1}}.{key}") if key else ("", "")
+    sizes = f"SELECT {g}count(DISTINCT src) AS n FROM w" + (f" GROUP BY {key}" if key else "")
+    first = f", w AS ({edges}), o AS (SELECT {g}src, sum(weight) AS total FROM w GROUP BY {g}src), l AS (SELECT {'w.' + g if key else ''}w.src, dst, weight / total AS part FROM w JOIN o ON o.src = w.src{on.format('o', 'w')}), v AS ({sizes}), r0 AS (SELECT DISTINCT {'w.' + g if key else ''}src AS id, 1.0 / n AS rank FROM w JOIN v ON true{on.format('v', 'w')})"
+    step = lambda i: f", r{i + 1} AS MATERIALIZED (SELECT {'l.' + g if key else ''}l.dst AS id, 0.15 / any_value(n) + 0.85 * sum(rank * part) AS rank FROM l JOIN r{i} ON r{i}.id = l.src{on.format(f'r{i}', 'l')} JOIN v ON true{on.format('v', 'l')} GROUP BY {'l.' + g if key else ''}l.dst)"
+    return first + "".join(map(step, range(30))) + f" SELECT {g}id, round(rank, 6) AS rank FROM r30"
 
 
-_RANKS = _PAIRS + """, w AS (SELECT src, dst, least(1.0, n / 10) AS weight FROM e), o AS (SELECT src, sum(weight) AS total FROM w GROUP BY 1), l AS (SELECT w.src, dst, weight / total AS part FROM w JOIN o USING (src)), v AS (SELECT count(DISTINCT src) AS n FROM w),
-r0 AS (SELECT DISTINCT src AS id, 1.0 / n AS rank FROM w, v)"""
+@query(_PAIRS + _rank_sql("SELECT src, dst, least(1.0, n / 10) AS weight FROM e"))
+def pagerank(t):
+    ranks = graph.pagerank(joins.undirected(_weighted(supplier_pairs(t)), "a", "b", "weight"))
+    return ranks.select("id", F.round("rank", 6).alias("rank"))
 
 
-def _rounds(k: int) -> str:
-    return _RANKS + "".join(f", r{i + 1} AS MATERIALIZED (SELECT l.dst AS id, 0.15 / any_value(n) + 0.85 * sum(rank * part) AS rank FROM l JOIN r{i} ON r{i}.id = l.src, v GROUP BY 1)" for i in range(k))
-
-
-@query(_rounds(8) + " SELECT id, round(rank, 7) AS rank FROM r8")
-def pagerank(t, pairs=supplier_pairs):
-    ranks = graph.pagerank(joins.undirected(_weighted(t, pairs), "a", "b", "weight"), rounds=8, tolerance=0.0)
-    return ranks.select("id", F.round("rank", 7).alias("rank"))
-
-
-@query(_of_all("pagerank"))
-def pagerank_full(t):
-    return pagerank(t, all_supplier_pairs)
-
-
-@query()
+@query(_PAIRS + _rank_sql("SELECT s_nationkey % 5 AS sector, src, dst, least(1.0, n / 10) AS weight FROM e JOIN supplier ON s_suppkey = src WHERE s_nationkey % 5 = (SELECT x.s_nationkey % 5 FROM supplier x WHERE x.s_suppkey = dst)", "sector"))
 def sector_pagerank(t):
     nations = t.supplier.select(F.col("s_suppkey").alias("src"), (F.col("s_nationkey") % 5).alias("sector"))
     other = nations.toDF("dst", "other")
-    edges = joins.undirected(_weighted(t, all_supplier_pairs), "a", "b", "weight").join(nations, "src").join(other, "dst").filter("sector = other").select("sector", "src", "dst", "weight")
-    return graph.pagerank(edges, keys=("sector",)).select("sector", "id", F.round("rank", 5).alias("rank"))
+    edges = joins.undirected(_weighted(supplier_pairs(t)), "a", "b", "weight").join(nations, "src").join(other, "dst").filter("sector = other").select("sector", "src", "dst", "weight")
+    return graph.pagerank(edges, keys=("sector",)).select("sector", "id", F.round("rank", 6).alias("rank"))
 
 
-@query(_PAIRS + """, b AS (SELECT src AS i, dst AS j, least(1.0, n / 10) AS w FROM e), t2 AS (SELECT i, sum(w) AS total, count(*) AS d FROM b GROUP BY 1), p AS (SELECT b.i, j, d, w / total AS p FROM b JOIN t2 USING (i)),
+@query(_ASSOCIATED + """, b AS (SELECT src AS i, dst AS j, least(1.0, n / 10) AS w FROM e), t2 AS (SELECT i, sum(w) AS total, count(*) AS d FROM b GROUP BY 1), p AS (SELECT b.i, j, d, w / total AS p FROM b JOIN t2 USING (i)),
 v AS (SELECT x.i, y.j, sum(x.p * y.p) AS q FROM p x JOIN p y ON y.i = x.j WHERE x.i <> y.j GROUP BY 1, 2)
 SELECT p.i AS id, round(CASE WHEN max(d) >= 2 THEN 1 - least(1.0, sum(pow(p + coalesce(q, 0), 2))) ELSE 0 END, 6) AS broker FROM p LEFT JOIN v ON v.i = p.i AND v.j = p.j GROUP BY 1""")
-def broker_score(t, pairs=supplier_pairs):
-    return graph.constraint(_weighted(t, pairs)).select("id", F.round("broker", 6).alias("broker"))
-
-
-@query(_of_all("broker_score"))
-def broker_score_full(t):
-    return broker_score(t, all_supplier_pairs)
+def broker_score(t):
+    return graph.constraint(_weighted(associated_pairs(t))).select("id", F.round("broker", 6).alias("broker"))
 
 
-@query(_PAIRS + ", d AS (SELECT src AS id, count(*) AS degree, round(sum(least(1.0, n / 10)), 4) AS strength FROM e GROUP BY 1) SELECT id, degree, strength FROM d QUALIFY row_number() OVER (PARTITION BY id % 5 ORDER BY degree DESC, strength DESC, id) <= 5")
-def degrees_power(t, pairs=supplier_pairs):
-    d = graph.degrees(_weighted(t, pairs)).withColumn("strength", F.round("strength", 4))
+@query(_PAIRS + ", d AS (SELECT src AS id, count(*) AS degree, round(sum(least(1.0, n / 10)), 4) AS strength FROM e GROUP BY 1) SELECT id, degree, strength FROM d QUALIFY row_number() OVER (PARTITION BY id % 5 ORDER BY degree DESC, strength DESC, id) <= 50")
+def degrees_power(t):
+    d = graph.degrees(_weighted(supplier_pairs(t))).withColumn("strength", F.round("strength", 4))
     first = F.row_number().over(Window.partitionBy(F.col("id") % 5).orderBy(F.desc("degree"), F.desc("strength"), "id"))
-    return d.withColumn("r", first).filter("r <= 5").drop("r")
+    return d.withColumn("r", first).filter("r <= 50").drop("r")
 
 
-@query(_of_all("degrees_power"))
-def degrees_power_full(t):
-    return degrees_power(t, all_supplier_pairs)
-
-
-@query(_PAIRS + """, s AS (SELECT src, dst, 1 / (n / 20 + 0.1) AS w FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY n / 20 DESC, dst) <= 6),
-p1 AS (SELECT src, dst AS at1, [src, dst] AS path, w AS cost FROM s WHERE src < 3), p2 AS (SELECT p.src, s.dst AS at1, list_append(path, s.dst) AS path, cost + w AS cost FROM p1 p JOIN s ON s.src = p.at1 WHERE NOT list_contains(path, s.dst)),
+@query(_ASSOCIATED + """, q AS (SELECT src, dst, n / (SELECT max(n) FROM e) AS quality FROM e), s AS (SELECT src, dst, 1 / (quality + 0.1) AS w FROM q QUALIFY row_number() OVER (PARTITION BY src ORDER BY quality DESC, dst) <= 200),
+p1 AS (SELECT src, dst AS at1, [src, dst] AS path, w AS cost FROM s WHERE src % 50 = 0), p2 AS (SELECT p.src, s.dst AS at1, list_append(path, s.dst) AS path, cost + w AS cost FROM p1 p JOIN s ON s.src = p.at1 WHERE NOT list_contains(path, s.dst)),
 p3 AS (SELECT p.src, s.dst AS at1, list_append(path, s.dst) AS path, cost + w AS cost FROM p2 p JOIN s ON s.src = p.at1 WHERE NOT list_contains(path, s.dst)), f AS (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3)
-SELECT src, at1 AS dst, array_to_string(path, '-') AS path, round(cost, 6) AS cost FROM f WHERE at1 % 4 = 1 QUALIFY row_number() OVER (PARTITION BY src, at1 ORDER BY cost, len(path), path) <= 3""")
+SELECT src, at1 AS dst, array_to_string(path, '-') AS path, round(cost, 6) AS cost FROM f QUALIFY row_number() OVER (PARTITION BY src, at1 ORDER BY round(cost, 9), len(path), path) <= 5""")
 def k_paths_3hop(t):
-    edges = joins.undirected(supplier_pairs(t), "a", "b", "n").withColumn("quality", F.col("n") / 20)
-    sources = t.supplier.filter("s_suppkey < 3").select(F.col("s_suppkey").alias("id"))
-    found = graph.best_paths(edges, sources, F.col("dst") % 4 == 1, 3, 3, 6)
+    sources = t.supplier.filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"))
+    found = graph.best_paths(_qualities(associated_pairs(t)), sources, F.lit(True), 3, 5, 200)
     return found.select("src", "dst", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), F.round("cost", 6).alias("cost"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, (s_suppkey * 7 + 1) % (SELECT count(*) FROM supplier) AS dst FROM supplier UNION ALL SELECT (s_suppkey * 7 + 1) % (SELECT count(*) FROM supplier), s_suppkey FROM supplier),
-r AS (SELECT s_suppkey AS src, s_suppkey AS id, 0 AS d FROM supplier WHERE s_suppkey < 5 UNION SELECT r.src, e.dst, d + 1 FROM r JOIN e ON e.src = r.id WHERE d < 4) SELECT src, id, CAST(min(d) AS INTEGER) AS distance FROM r GROUP BY 1, 2""")
+def _qualities(pairs):
+    """Both directions with quality: shared orders over the most that any pair shares."""
+    most = pairs.agg(F.max("n").alias("most"))  # one row
+    return joins.undirected(pairs, "a", "b", "n").crossJoin(F.broadcast(most)).select("src", "dst", (F.col("n") / F.col("most")).alias("quality"))
+
+
+@query(_ASSOCIATED + """, q AS (SELECT src, dst, n / (SELECT max(n) FROM e) AS quality FROM e),
+p1 AS (SELECT src, dst AS at1, [src, dst] AS path, quality AS total FROM q WHERE src % 50 = 0), p2 AS (SELECT p.src, q.dst AS at1, list_append(path, q.dst) AS path, total + quality AS total FROM p1 p JOIN q ON q.src = p.at1 WHERE NOT list_contains(path, q.dst)),
+p3 AS (SELECT p.src, q.dst AS at1, list_append(path, q.dst) AS path, total + quality AS total FROM p2 p JOIN q ON q.src = p.at1 WHERE NOT list_contains(path, q.dst)),
+d AS (SELECT src, at1, min(len(path)) AS hops FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3) GROUP BY 1, 2), f AS (SELECT x.* FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3) x JOIN d ON d.src = x.src AND d.at1 = x.at1 AND len(path) = hops)
+SELECT src, at1 AS dst, len(path) - 1 AS hops, array_to_string(path, '-') AS path, round(total, 6) AS quality FROM f QUALIFY row_number() OVER (PARTITION BY src, at1 ORDER BY round(total, 9) DESC, path) <= 5""")
 def bfs_4hop(t):
-    n = t.supplier.count()
-    edges = t.supplier.select(F.col("s_suppkey").alias("a"), ((F.col("s_suppkey") * 7 + 1) % n).alias("b"))
-    sources = t.supplier.filter("s_suppkey < 5").select(F.col("s_suppkey").alias("id"))
-    return graph.distances(joins.undirected(edges), sources, 4)
+    """The five best of the shortest paths, of at most 4 hops, from every fiftieth supplier to all others."""
+    sources = t.supplier.filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"))
+    found = graph.shortest_paths(_qualities(associated_pairs(t)), sources, 4, 5)
+    return found.select("src", "dst", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"), F.round("quality", 6).alias("quality"))
+
+
+@query(_ASSOCIATED + """, r1 AS (SELECT DISTINCT src, dst AS id FROM e WHERE src % 50 = 0), r2 AS (SELECT DISTINCT r1.src, e.dst AS id FROM r1 JOIN e ON e.src = r1.id WHERE e.dst <> r1.src),
+r3 AS (SELECT DISTINCT r2.src, e.dst AS id FROM r2 JOIN e ON e.src = r2.id WHERE e.dst <> r2.src), u AS (SELECT s_suppkey AS src, s_suppkey AS id, 0 AS d FROM supplier WHERE s_suppkey % 50 = 0 UNION ALL SELECT *, 1 FROM r1 UNION ALL SELECT *, 2 FROM r2 UNION ALL SELECT *, 3 FROM r3)
+SELECT src, id, min(d) AS distance FROM u GROUP BY 1, 2""")
+def neighbourhood_3hop(t):
+    sources = t.supplier.filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"))
+    return graph.distances(joins.undirected(associated_pairs(t)), sources, 3)
 
 
 @query("SELECT c_custkey, round(1 / (1 + exp(-(-1.0 + 0.0002 * c_acctbal + 0.05 * c_nationkey))), 6) AS p FROM customer")
@@ -96,10 +93,13 @@ def intro_predict(t):
     return t.customer.select("c_custkey", F.round(graph.sigmoid(-1.0 + 0.0002 * F.col("c_acctbal") + 0.05 * F.col("c_nationkey")), 6).alias("p"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT o_totalprice / 500000 AS x, CAST(left(o_orderpriority, 1) AS DOUBLE) / 5 AS p, CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders),
+w AS (SELECT 0 AS epoch, 0::DOUBLE AS w0, 0::DOUBLE AS w1, 0::DOUBLE AS w2 UNION ALL
+SELECT epoch + 1, w0 - 0.1 * avg(1 / (1 + exp(-(w0 + w1 * x + w2 * p))) - y), w1 - 0.1 * (avg((1 / (1 + exp(-(w0 + w1 * x + w2 * p))) - y) * x) + 0.01 * w1), w2 - 0.1 * (avg((1 / (1 + exp(-(w0 + w1 * x + w2 * p))) - y) * p) + 0.01 * w2) FROM w, r WHERE epoch < 200 GROUP BY epoch, w0, w1, w2)
+SELECT position, round(CASE position WHEN 0 THEN w0 WHEN 1 THEN w1 ELSE w2 END, 4) AS weight FROM w, (SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS position) WHERE epoch = 200""")
 def intro_train(t):
     rows = t.orders.select((F.col("o_totalprice") / 500000).alias("x"), (F.substring("o_orderpriority", 1, 1).cast("double") / 5).alias("p"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
-    weights = graph.fit_logistic(rows, ["x", "p"], "y", epochs=5)
+    weights = graph.fit_logistic(rows, ["x", "p"], "y")
     return t.spark.createDataFrame([(i, round(w, 4)) for i, w in enumerate(weights or [])], "position int, weight double")
 
 
@@ -181,11 +181,11 @@ def team_diff(t):
     return funds.member_changes(m, ["firm"], "period", "member", 1)
 
 
-@query("""WITH c AS (SELECT l_suppkey, year(l_shipdate) * 12 + month(l_shipdate) AS m, list(DISTINCT p_brand) AS c FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40 GROUP BY 1, 2),
+@query("""WITH c AS (SELECT l_suppkey, year(l_shipdate) * 12 + month(l_shipdate) AS m, list(DISTINCT p_brand) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
 w AS (SELECT l_suppkey, m, list_distinct(flatten(list(c) OVER (PARTITION BY l_suppkey ORDER BY m RANGE BETWEEN 5 PRECEDING AND CURRENT ROW))) AS a, coalesce(list_distinct(flatten(list(c) OVER (PARTITION BY l_suppkey ORDER BY m RANGE BETWEEN 11 PRECEDING AND 6 PRECEDING))), []) AS b FROM c)
 SELECT l_suppkey, m AS month, round(1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS drift FROM w""")
 def strategy_drift(t):
-    rows = t.lineitem.filter("l_quantity > 40").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month"), "p_brand")
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("month"), "p_brand")
     return funds.rolling_drift(rows, ["l_suppkey"], "month", "p_brand").withColumn("drift", F.round("drift", 6))
 
 
@@ -203,17 +203,12 @@ def angel_class(t):
 
 
 @query(_PAIRS + ", c AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS deals FROM lineitem GROUP BY 1) SELECT a, b, n, round(n / least(x.deals, y.deals), 6) AS overlap FROM t JOIN c x ON x.l_suppkey = a JOIN c y ON y.l_suppkey = b")
-def syndicate_overlap(t, pairs=supplier_pairs):
+def syndicate_overlap(t):
     deals = t.lineitem.groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("deals"))
-    joined = pairs(t).join(deals.toDF("a", "da"), "a").join(deals.toDF("b", "db"), "b")
+    joined = supplier_pairs(t).join(deals.toDF("a", "da"), "a").join(deals.toDF("b", "db"), "b")
     return joined.select("a", "b", "n", F.round(F.col("n") / F.least("da", "db"), 6).alias("overlap"))
 
 
-@query(_of_all("syndicate_overlap"))
-def syndicate_overlap_full(t):
-    return syndicate_overlap(t, all_supplier_pairs)
-
-
 @query("SELECT user_id, round(sum(value) / 3600.0 * 0.5 + sum(CAST(json_extract(props, '$.k') AS INTEGER)) / 1000.0 * 0.02, 6) AS cost FROM events GROUP BY 1")
 def compute_cost(t):
     units = F.get_json_object("props", "$.k").cast("int")
@@ -255,7 +250,12 @@ def session_windows(t):
     return sequences.sessions(t.events, ["user_id"], "ts", "2 hours").select("user_id", text("started"), text("ended"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS moment, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 'start' AS state, []::BIGINT[] AS recent, NULL::BIGINT AS until FROM events GROUP BY 1 UNION ALL
+SELECT o.user_id, o.i, o.event_id, CASE WHEN moment < until THEN 'open' ELSE 'closed' END,
+CASE WHEN moment < until THEN recent WHEN NOT failed THEN [] WHEN len(list_filter(recent, lambda x: moment - x <= 86400000000)) + 1 >= 2 THEN [] ELSE list_append(list_filter(recent, lambda x: moment - x <= 86400000000), moment) END,
+CASE WHEN moment < until THEN until WHEN failed AND len(list_filter(recent, lambda x: moment - x <= 86400000000)) + 1 >= 2 THEN moment + 43200000000 ELSE until END FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1)
+SELECT event_id, state FROM s WHERE i > 0""")
 def circuit_breaker(t):
     rows = t.events.withColumn("failed", F.col("event_type") == "error")
     return sequences.breaker(rows, ["user_id"], "ts", "event_id", "failed", 2, 86400, 43200).select("event_id", "state")
