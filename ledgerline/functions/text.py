@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters with marks and their plain forms, position by position.
@@ -138,9 +138,12 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.lit("https://"), host(url), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
 def strip_html(html: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
@@ -153,13 +156,18 @@ def anchors(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))
 
 
-def count_pii(c: Column) -> list[Column]:
-    """A count per kind; a kind sees the text after the kinds before it are replaced."""
-    counts = []
+def pii_counts(rows: DataFrame, text: str) -> DataFrame:
+    """rows with a count per kind in place of the text; a kind sees the text after the kinds before it are replaced.
+
+    A kind's marks are what its replacement leaves, so each text is rewritten once a kind and searched once at the end; marks that
+    stand in the text beforehand are taken off.
+    """
+    known = rows
     for kind, pattern in PII:
-        counts.append(F.regexp_count(c, F.lit(pattern)).alias(kind))
-        c = F.regexp_replace(c, pattern, f"[{kind}]")
-    return counts
+        before = F.regexp_count(F.col("_t") if "_t" in known.columns else F.coalesce(text, F.lit("")), F.lit(rf"\[{kind}\]"))
+        now = F.col("_t") if "_t" in known.columns else F.coalesce(text, F.lit(""))
+        known = known.withColumn(f"_{kind}", before).withColumn("_t", F.regexp_replace(now, pattern, f"[{kind}]")).withColumn(kind, F.regexp_count("_t", F.lit(rf"\[{kind}\]")) - F.col(f"_{kind}"))
+    return known.drop(text, "_t", *(f"_{kind}" for kind, _ in PII))
 
 
 def redact_pii(c: Column) -> Column:

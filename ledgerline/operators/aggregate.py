@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import RULES
+
 
 def count_where(**predicates: Column) -> list[Column]:
     """One conditional count per name, all in one pass."""
@@ -91,3 +93,16 @@ def trailing_share(rows: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """Each row's share of its keys' positive total."""
     positive = F.sum(F.greatest(amount, F.lit(0.0))).over(Window.partitionBy(*keys))
     return rows.withColumn("share", F.try_divide(F.col(amount), positive))
+
+
+def index_percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """keys, n and for each name of wanted the value at an index rule's place (numbers.RULES) among the key's non-null values.
+
+    Equal values are counted before the shuffle, and a running count over a key's distinct values finds the
+    places, so no key's values are ever one row.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    key = Window.partitionBy(*keys)
+    placed = counts.withColumn("_n", F.sum("_c").over(key)).withColumn("_upto", F.sum("_c").over(key.orderBy("_v")))
+    here = lambda p, rule: RULES[rule](F.col("_n"), F.lit(p)).between(F.col("_upto") - F.col("_c"), F.col("_upto") - 1)
+    return placed.groupBy(*keys).agg(F.max("_n").alias("n"), *(F.max(F.when(here(p, rule), F.col("_v"))).alias(name) for name, (p, rule) in wanted.items()))

@@ -111,11 +111,19 @@ def watchlist(asked: DataFrame, listed: DataFrame, least: float = 0.85) -> DataF
     return gated.groupBy("q", "id").agg(F.max("score").alias("score"), F.max_by("method", "score").alias("method"))
 
 
-def fuzzy_pairs(rows: DataFrame, id_col: str, block: Column, score, least: float) -> DataFrame:
-    """a, b, score: pairs within a block whose score reaches least. Blocks must be selective."""
-    left = rows.select(block.alias("_block"), F.col(id_col).alias("a"), F.struct(*rows.columns).alias("x"))
-    right = rows.select(block.alias("_block"), F.col(id_col).alias("b"), F.struct(*rows.columns).alias("y"))
-    return left.join(right, "_block").filter("a < b").select("a", "b", score(F.col("x"), F.col("y")).alias("score")).filter(F.col("score") >= least)
+def fuzzy_names(rows: DataFrame, id_col: str, block: Column, name: str, least: float) -> DataFrame:
+    """a, b, score: within a block, rows of one name with its first row (score 1), and first rows of like names with each other.
+
+    Names are compared once however many rows bear them, and only where their lengths allow the score.
+    """
+    named = rows.select(block.alias("block"), F.col(id_col).alias("id"), F.col(name).alias("name"))
+    classes = named.groupBy("block", "name").agg(F.min("id").alias("rep"))
+    same = named.join(classes, ["block", "name"]).filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    x, y = classes.toDF("block", "na", "a"), classes.toDF("block", "nb", "b")
+    la, lb = F.length("na"), F.length("nb")
+    met = x.join(y, "block").filter(F.col("a") < F.col("b")).filter(F.abs(la - lb) <= (1 - least) * F.greatest(la, lb) + 1e-9)
+    like = met.select("a", "b", tx.name_similarity(F.col("na"), F.col("nb")).alias("score")).filter(F.col("score") >= least)
+    return same.unionByName(like)
 
 
 def merge_fields(rows: DataFrame, key: str, fields: list[str], priority: Column, tie: str) -> DataFrame:

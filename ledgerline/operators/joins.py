@@ -21,13 +21,13 @@ def latest_with_ties(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
 def pairs_within(rows: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
     """group, a, b with a < b: pairs of a group's distinct members, of its first `most` if given.
 
-    Members of a group stand in one row; groups must be bounded (an order's
-    lines, a firm's partners), or be capped.
+    A self-join on the group, so no group is ever one row; AQE splits one that very many members have.
     """
-    members = F.array_sort(F.collect_set(member))
-    grouped = rows.groupBy(group).agg((F.slice(members, 1, most) if most else members).alias("m"))
-    heads = grouped.select(group, "m", F.posexplode("m").alias("i", "a"))
-    return heads.select(group, "a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    each = rows.select(group, member).distinct()
+    if most:
+        first = F.row_number().over(Window.partitionBy(group).orderBy(member))
+        each = each.withColumn("_r", first).filter(F.col("_r") <= most).drop("_r")
+    return each.toDF(group, "a").join(each.toDF(group, "b"), group).filter("a < b")
 
 
 def pairs_equal_or_unknown(rows: DataFrame, id_col: str, keys: list[str], value: str) -> DataFrame:
@@ -141,17 +141,18 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query, id, cosine: the k nearest others of each query by cosine, ties by id.
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", blocks: int = 64) -> DataFrame:
+    """query, id, cosine: the k nearest others of each query by cosine, ties by id; exact.
 
-    Queries are a stated set that is compared with all rows in blocks; the k best
-    of each block of rows are found before the blocks of a query meet.
+    Queries are a stated set that is compared with all rows, in blocks of rows: every block gets all queries by
+    an equi-join, so neither side is broadcast whatever its size, and the k best of each block are found before the
+    blocks of a query meet.
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
-    probes = queries.select(F.col(id_col).alias("query"), unit(F.col(vector)).alias("q"))
-    rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(64)).alias("block"))
-    scored = rows.join(probes, F.col("id") != F.col("query")).select("query", "id", "block", dot(F.col("q"), F.col("v")).alias("cosine"))
+    probes = queries.select(F.col(id_col).alias("query"), unit(F.col(vector)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block"))
+    scored = rows.join(probes, "block").filter("id <> query").select("query", "id", "block", dot(F.col("q"), F.col("v")).alias("cosine"))
     best = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "id"))
     near = scored.withColumn("r", best(["query", "block"])).filter(F.col("r") <= k)
     return near.withColumn("r", best(["query"])).filter(F.col("r") <= k).select("query", "id", "cosine")

@@ -264,3 +264,42 @@ def weighted_mean(parts: dict[str, tuple[Column, float]]) -> tuple[Column, Colum
     mean = total(c * w for c, w in parts.values()) / sum(w for _, w in parts.values())
     entries = F.array(*(F.struct((-c * w).alias("v"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, (c, w)) in enumerate(parts.items())))
     return mean, F.array_join(F.transform(F.slice(F.array_sort(entries), 1, 3), lambda e: e["n"]), ",")
+
+
+def _percent(c: Column) -> Column:
+    return clamp(F.coalesce(c.cast("double"), F.lit(0.0)), 0.0, 100.0)
+
+
+def overlay(audience: str, project: dict) -> Column:
+    """What one audience looks for in a candidate, 0 to 100.
+
+    customer: intent, recent (signals); investor: stages, sectors, check_min, check_max against the project's status, industries and
+    funding target; partner: is_competitor, shared_icp; hire: shared_industries, seniority_match; design_partner: a customer's, and early_adopter.
+    """
+    customer = 0.6 * _percent(F.col("intent")) + 0.4 * _percent(F.least(F.coalesce("recent", F.lit(0)), F.lit(10)) * 10)
+    if audience == "customer":
+        return customer
+    if audience == "design_partner":
+        return 0.6 * customer + 0.4 * _percent(F.col("early_adopter"))
+    if audience == "partner":
+        return 0.5 * F.when(F.coalesce("is_competitor", F.lit(False)), 0.0).otherwise(100.0) + 0.5 * _percent(F.least(F.coalesce("shared_icp", F.lit(0)), F.lit(5)) * 20)
+    if audience == "hire":
+        return 0.5 * _percent(F.least(F.coalesce("shared_industries", F.lit(0)), F.lit(3)) * 33) + 0.5 * F.when(F.coalesce("seniority_match", F.lit(False)), 100.0).otherwise(40.0)
+    none = F.array().cast("array<string>")
+    stages, sectors, wanted = F.coalesce("stages", none), F.coalesce("sectors", none), project["industries"]
+    stage = F.when(F.array_contains(stages, project["status"]) if project.get("status") else F.lit(False), 100.0).when(F.size(stages) > 0, 30.0).otherwise(50.0)
+    sector = 100.0 * F.size(F.array_intersect(F.array(*map(F.lit, wanted)), sectors)) / len(wanted) if wanted else F.lit(50.0)
+    ideal = project.get("funding_target", 0) / 10
+    low, high = F.col("check_min"), F.col("check_max")
+    off = F.when(low > ideal, (low - ideal) / low).otherwise((ideal - high) / high)
+    check = F.when((low > 0) & (high > 0), F.when((low <= ideal) & (high >= ideal), 100.0).otherwise(100 - clamp(off) * 100)).otherwise(50.0) if ideal > 0 else F.lit(50.0)
+    return 0.4 * stage + 0.3 * sector + 0.3 * F.coalesce(check, F.lit(50.0))
+
+
+AUDIENCES = ("customer", "investor", "partner", "hire", "design_partner")
+
+
+def audience_fit(persona: Column, cosine: Column, audience: str, project: dict) -> Column:
+    """0.4 of a persona score, 0.4 of a cosine (0.45 is 0, 0.85 is 100) and 0.2 of the audience's overlay."""
+    semantic = _percent((cosine - 0.45) / 0.4 * 100)
+    return clamp(0.4 * _percent(persona) + 0.4 * semantic + 0.2 * overlay(audience, project), 0.0, 100.0)

@@ -48,3 +48,50 @@ def verified(citations: DataFrame, fact: str, as_of: Column) -> DataFrame:
         + 0.10 * F.max(recent) + 0.05 * F.count_if(F.col("sentiment") > 0.2) - 0.10 * F.count_if(F.col("contradicts"))
     )
     return citations.groupBy(fact).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)).alias("verified"))
+
+
+def fuse_hits(hits: DataFrame, keys: list[str], caps: dict[str, float], strong: list[str], default_cap: float = 0.9, auto: float = 0.95) -> DataFrame:
+    """keys, method (of the best hit), confidence, methods, auto_link of hits (keys, method, confidence).
+
+    A hit counts up to its method's cap; each further method adds 0.07, 0.99 at most. Strong methods link on their own from the
+    threshold on, others with a second method.
+    """
+    cap = F.coalesce(*(F.when(F.col("method") == m, v) for m, v in caps.items()), F.lit(default_cap))
+    each = hits.groupBy(*keys, "method").agg(F.max(F.least(F.col("confidence"), cap)).alias("c"))
+    best = F.max(F.struct("c", "method"))
+    g = each.groupBy(*keys).agg(best.alias("b"), F.count("*").alias("methods"))
+    fused = F.when(F.col("methods") >= 2, F.least(F.lit(0.99), F.col("b.c") + 0.07 * (F.col("methods") - 1))).otherwise(F.col("b.c"))
+    scored = g.select(*keys, F.col("b.method").alias("method"), fused.alias("confidence"), "methods")
+    return scored.withColumn("auto_link", (F.col("confidence") >= auto) & (F.col("method").isin(*strong) | (F.col("methods") >= 2)))
+
+
+def graded(shape: Column) -> tuple[Column, Column]:
+    """(predicted, actual) of a prediction by its shape, for calibration; columns value, threshold, label, probability, tolerance, outcome, outcome_label.
+
+    scalar_threshold: right if both are on one side, with the margin as confidence; categorical_match: labels agree; numeric_proximity: within the
+    tolerance; any other is boolean, with an outcome above 0.5.
+    """
+    value, outcome, threshold = F.col("value"), F.coalesce("outcome", F.lit(0.0)), F.coalesce("threshold", F.lit(0.0))
+    inside = (F.abs(value - outcome) <= F.coalesce("tolerance", F.lit(0.0))).cast("double")
+    side = ((value >= threshold) == (outcome >= threshold)).cast("double")
+    sure = F.least(F.lit(1.0), 0.5 + F.abs(value - threshold) / F.greatest(F.abs(threshold), F.lit(1.0)))
+    alike = (F.lower(F.coalesce("label", F.lit(""))) == F.lower(F.coalesce("outcome_label", F.lit("")))).cast("double")
+    unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    predicted = F.when(shape == "scalar_threshold", F.when(side == 1, sure).otherwise(1 - sure)).when(shape == "categorical_match", unit(F.coalesce("probability", "value", alike)))
+    predicted = predicted.when(shape == "numeric_proximity", unit(F.coalesce("probability", F.when(inside == 1, 0.85).otherwise(0.15)))).otherwise(unit(value))
+    actual = F.when(shape == "scalar_threshold", side).when(shape == "categorical_match", alike).when(shape == "numeric_proximity", inside).otherwise((outcome > 0.5).cast("double"))
+    return predicted, actual
+
+
+# How much each reason for following a link weighs.
+REASONS = {
+    "linked_team_member": 1.0, "linked_portfolio_company": 1.0, "linked_social_handle": 0.9, "linked_publication": 0.6, "same_domain_about_page": 0.6,
+    "mentioned_email_domain": 0.5, "linked_external_press": 0.3,
+}
+
+
+def frontier(reason: Column, authority: Column, age_days: Column) -> Column:
+    """Priority of a link: its reason's weight times the source's authority (0.05 to 1) times its novelty, 1 if never seen and half after a week."""
+    weight = F.coalesce(*(F.when(reason == r, w) for r, w in REASONS.items()))
+    novelty = F.coalesce(F.greatest(F.lit(0.05), 1 / (1 + F.greatest(age_days, F.lit(0)) / 7)), F.lit(1.0))
+    return F.round(weight * F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.coalesce(authority, F.lit(0.5)))) * novelty, 4)

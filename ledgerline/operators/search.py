@@ -20,6 +20,7 @@ TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "first": lambda c: F.element_at(F.split(c, r"[,|]"), 1),
     "pipe_join": lambda c: F.regexp_replace(c, r"\s*,\s*", "|"),
     "digits": lambda c: F.regexp_replace(c, r"\D", ""),
+    "e164": tx.phone_key,
 }
 
 
@@ -48,6 +49,11 @@ def filters(q: str | None = None, q_columns: tuple[str, ...] = (), one_of: dict[
     )
 
 
+def json_array(c: Column) -> Column:
+    """The elements of a JSON array as strings; an empty array where it is none."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
 def overlaps(low: str, high: str, from_: float, to: float) -> Column:
     """Whether [low, high] and [from_, to] share a value."""
     return (F.col(high) >= from_) & (F.col(low) <= to)

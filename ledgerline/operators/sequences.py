@@ -43,6 +43,26 @@ def illegal_transitions(rows: DataFrame, keys: list[str], order: list[str], stat
     return rows.withColumn("before", before).filter(F.col("before").isNotNull() & ~allowed)
 
 
+def retries(rows: DataFrame, keys: list[str], at: str, tie: str, failed: Column, most: int = 3, base: float = 30) -> DataFrame:
+    """Failed rows with attempt, state and due: the n-th failure in a row is tried again after base * 2 ** n seconds, until the `most`-th is dead.
+
+    A row that did not fail starts the count anew. due is null for dead ones.
+    """
+    w = Window.partitionBy(*keys).orderBy(at, tie)
+    runs = rows.withColumn("_failed", failed).withColumn("_run", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(w)).filter("_failed")
+    attempt = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(at, tie))
+    tried = runs.withColumn("attempt", attempt).drop("_failed", "_run")
+    alive = F.col("attempt") < most
+    due = F.timestamp_micros((F.unix_micros(F.col(at).cast("timestamp")) + F.pow(F.lit(2.0), F.col("attempt")) * F.lit(base * 1e6)).cast("long"))
+    return tried.withColumn("state", F.when(alive, "retry").otherwise("dead")).withColumn("due", F.when(alive, due))
+
+
+def dead_letters(rows: DataFrame, keys: list[str], order: list[str], failed: Column, most: int = 5) -> DataFrame:
+    """rows with failures (so far) and state: live, or dead_letter from a key's `most`-th failure on."""
+    so_far = F.sum(F.when(failed, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("failures", so_far).withColumn("state", F.when(F.col("failures") >= most, "dead_letter").otherwise("live"))
+
+
 def fixed_window_limit(rows: DataFrame, keys: list[str], at: str, window: str, limit: int, tie: str) -> DataFrame:
     """rows with allowed: the first `limit` rows of each key and fixed window."""
     rank = F.row_number().over(Window.partitionBy(*keys, F.window(at, window)).orderBy(at, tie))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp, discrete_percentile, half_up, ratio, saturate
+from ..functions.numbers import clamp, half_up, ratio, saturate
 from ..operators import aggregate as agg
+from ..operators.aggregate import index_percentiles
 from .registry import query
 
 EVENTS_AS_OF = "2024-01-31"
@@ -159,25 +160,25 @@ def median_true(t):
 
 @query("SELECT p_brand, list_sort(list(p_retailprice))[CAST(floor(count(*) / 2.0) AS INTEGER) + 1] AS median FROM part GROUP BY 1")
 def median_upper(t):
-    return t.part.groupBy("p_brand").agg(discrete_percentile(F.col("p_retailprice"), 0.5, "upper_median").alias("median"))
+    return index_percentiles(t.part, ["p_brand"], "p_retailprice", {"median": (0.5, "upper_median")}).drop("n")
 
 
 @query("SELECT p_type, list_sort(list(p_retailprice))[CAST(floor((count(*) - 1) * 0.75) AS INTEGER) + 1] AS p75 FROM part GROUP BY 1")
 def pct_floor_nm1(t):
-    return t.part.groupBy("p_type").agg(discrete_percentile(F.col("p_retailprice"), 0.75, "floor_nm1").alias("p75"))
+    return index_percentiles(t.part, ["p_type"], "p_retailprice", {"p75": (0.75, "floor_nm1")}).drop("n")
 
 
 @query("SELECT p_type, list_sort(list(p_retailprice))[CAST(least(count(*) - 1, floor(count(*) * 0.9)) AS INTEGER) + 1] AS p90 FROM part GROUP BY 1")
 def pct_floor_n(t):
-    return t.part.groupBy("p_type").agg(discrete_percentile(F.col("p_retailprice"), 0.9, "floor_n").alias("p90"))
+    return index_percentiles(t.part, ["p_type"], "p_retailprice", {"p90": (0.9, "floor_n")}).drop("n")
 
 
 @query("""WITH s AS (SELECT year(o_orderdate) AS vintage, o_orderpriority AS strategy, list_sort(list(o_totalprice)) AS l, count(*) AS n FROM orders GROUP BY 1, 2)
 SELECT vintage, strategy, n, l[1] AS p0, l[CAST(least(n - 1, floor(n * 0.25)) AS INTEGER) + 1] AS p25, l[CAST(least(n - 1, floor(n * 0.5)) AS INTEGER) + 1] AS p50,
 l[CAST(least(n - 1, floor(n * 0.75)) AS INTEGER) + 1] AS p75, l[n] AS p100 FROM s""")
 def five_number(t):
-    p = lambda q: discrete_percentile(F.col("o_totalprice"), q, "floor_n")
-    return t.orders.groupBy(F.year("o_orderdate").alias("vintage"), F.col("o_orderpriority").alias("strategy")).agg(F.count("*").alias("n"), F.min("o_totalprice").alias("p0"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max("o_totalprice").alias("p100"))
+    rows = t.orders.select(F.year("o_orderdate").alias("vintage"), F.col("o_orderpriority").alias("strategy"), "o_totalprice")
+    return index_percentiles(rows, ["vintage", "strategy"], "o_totalprice", {f"p{round(100 * q)}": (q, "floor_n") for q in (0.0, 0.25, 0.5, 0.75, 1.0)})
 
 
 @query("""SELECT c_custkey, round((rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1) / count(*) OVER (PARTITION BY c_nationkey), 6) AS below FROM customer""")
@@ -311,7 +312,9 @@ def geo_flow(t):
     suppliers, buyers = t.supplier.join(n1, "s_nationkey"), t.orders.join(t.customer.join(n2, "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     flows = t.lineitem.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
     by_name = flows.groupBy("from_geo", "to_geo", "s_name").agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("usd"))
-    return by_name.groupBy("from_geo", "to_geo").agg(F.sum("n").alias("n"), F.round(F.sum("usd"), 2).alias("usd"), F.array_join(F.slice(F.array_sort(F.collect_list("s_name")), 1, 8), "|").alias("names"))
+    first = F.row_number().over(Window.partitionBy("from_geo", "to_geo").orderBy("s_name"))
+    eight = F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= 8, F.col("s_name")))), "|")
+    return by_name.withColumn("r", first).groupBy("from_geo", "to_geo").agg(F.sum("n").alias("n"), F.round(F.sum("usd"), 2).alias("usd"), eight.alias("names"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_type, avg(l_extendedprice / p_retailprice) AS roi FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)

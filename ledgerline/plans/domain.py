@@ -51,7 +51,7 @@ b AS (SELECT *, regexp_replace(t1, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{
 @query(_PII + r"""SELECT doc_id, len(regexp_extract_all(t0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS email, len(regexp_extract_all(t1, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b')) AS ip,
 len(regexp_extract_all(t2, '\+[0-9]{1,3} ?\(?[0-9]{3}\)? ?[0-9]{3}-[0-9]{4}')) AS phone, len(regexp_extract_all(t3, '\b[0-9]{16}\b')) AS card FROM c""")
 def pii_redact_counts(t):
-    return t.documents.select("doc_id", *tx.count_pii(F.col("text")))
+    return tx.pii_counts(t.documents.select("doc_id", "text"), "text")
 
 
 @query(_PII + r"SELECT doc_id, md5(regexp_replace(t3, '\b[0-9]{16}\b', '[card]', 'g')) AS redacted_md5 FROM c")
@@ -153,12 +153,10 @@ def reconcile_sources(t):
     return identity.reconcile(rows, ["deal"], "amount", "day", "authority", "source", 0.6)
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, left(p_name, 3) || p_brand AS b FROM part)
-SELECT x.p_partkey AS a, y.p_partkey AS b, round(1 - levenshtein(lower(x.p_name), lower(y.p_name)) / greatest(length(x.p_name), length(y.p_name), 1), 4) AS score FROM p x JOIN p y ON x.b = y.b AND x.p_partkey < y.p_partkey
-WHERE 1 - levenshtein(lower(x.p_name), lower(y.p_name)) / greatest(length(x.p_name), length(y.p_name), 1) >= 0.8""")
+@query("""WITH p AS (SELECT left(p_name, 3) || p_brand AS b, p_name, min(p_partkey) AS rep FROM part GROUP BY 1, 2), s AS (SELECT x.rep AS a, y.rep AS b, 1 - levenshtein(lower(x.p_name), lower(y.p_name)) / greatest(length(x.p_name), length(y.p_name), 1) AS score FROM p x JOIN p y ON x.b = y.b AND x.rep < y.rep)
+SELECT a, b, round(score, 4) AS score FROM s WHERE score >= 0.8 UNION ALL SELECT rep, p_partkey, 1.0 FROM part JOIN p ON p.b = left(part.p_name, 3) || p_brand AND p.p_name = part.p_name WHERE p_partkey <> rep""")
 def name_match_fuzzy(t):
-    score = lambda x, y: tx.name_similarity(x["p_name"], y["p_name"])
-    found = identity.fuzzy_pairs(t.part.select("p_partkey", "p_name", "p_brand"), "p_partkey", F.concat(F.substring("p_name", 1, 3), F.col("p_brand")), score, 0.8)
+    found = identity.fuzzy_names(t.part, "p_partkey", F.concat(F.substring("p_name", 1, 3), F.col("p_brand")), "p_name", 0.8)
     return found.withColumn("score", F.round("score", 4))
 
 

@@ -246,3 +246,76 @@ def phone_keys(t):
     turn = F.col("c_custkey") % 6
     raw = F.when(turn == 0, F.concat(F.lit("+1 (555) 010-"), number)).when(turn == 1, F.concat(F.lit("555.010."), number)).when(turn == 2, F.concat(F.lit("1-555-010-"), number)).when(turn == 3, "12345").when(turn == 4, F.concat(F.lit("+44 20 "), F.col("c_custkey").cast("string"), F.lit(" ext")))
     return t.customer.select("c_custkey", tx.phone_key(raw).alias("phone"))
+
+
+_FACTS = """SELECT concat('s', CAST(l_suppkey AS {text})) AS entity, CASE l_orderkey % 10 WHEN 0 THEN 'career' WHEN 1 THEN 'past_career' WHEN 2 THEN 'education' WHEN 3 THEN 'board_seat' WHEN 4 THEN 'advisory' WHEN 5 THEN 'investment' WHEN 6 THEN 'portfolio' WHEN 7 THEN 'family' WHEN 8 THEN 'publication' ELSE 'mention' END AS predicate,
+concat('p', CAST(l_partkey AS {text})) AS object, CASE l_returnflag WHEN 'R' THEN 'sec.form4.x' WHEN 'A' THEN 'press' ELSE 'tweet' END AS source, CAST(l_shipdate AS DATE) AS started, CASE WHEN l_quantity > 10 THEN CAST(l_shipdate AS DATE) + INTERVAL '400' DAY END AS ended FROM {lineitem}"""
+
+
+@query("WITH f AS (" + _FACTS.replace("{text}", "VARCHAR").replace("{lineitem}", "lineitem") + """), s AS (SELECT entity AS src, object AS dst, CASE predicate WHEN 'career' THEN 'works_at' WHEN 'past_career' THEN 'worked_at' WHEN 'education' THEN 'studied_at' WHEN 'board_seat' THEN 'board_member_at' WHEN 'advisory' THEN 'advises' WHEN 'investment' THEN 'invested_in' WHEN 'portfolio' THEN 'portfolio_of' WHEN 'family' THEN 'family_of' END AS kind,
+CASE predicate WHEN 'career' THEN 0.85 WHEN 'past_career' THEN 0.8 WHEN 'education' THEN 0.7 WHEN 'board_seat' THEN CASE source WHEN 'sec.form4.x' THEN 0.95 ELSE 0.85 END WHEN 'advisory' THEN 0.7 WHEN 'investment' THEN CASE source WHEN 'sec.form4.x' THEN 0.95 WHEN 'press' THEN 0.7 ELSE 0.8 END WHEN 'portfolio' THEN 0.9 ELSE 0.6 END AS base FROM f WHERE predicate NOT IN ('publication', 'mention')),
+e AS (SELECT predicate, object, entity, min(started) AS s, max(coalesce(ended, DATE '9999-12-31')) AS e FROM f WHERE predicate IN ('career', 'education', 'investment', 'publication', 'mention') GROUP BY 1, 2, 3),
+m AS (SELECT a.entity AS src, b.entity AS dst, a.predicate AS p FROM e a JOIN e b ON a.predicate = b.predicate AND a.object = b.object AND a.entity < b.entity WHERE (a.s <= b.e AND b.s <= a.e) OR a.predicate IN ('investment', 'publication', 'mention')),
+u AS (FROM s UNION ALL SELECT src, dst, CASE p WHEN 'career' THEN 'colleague_of' WHEN 'education' THEN 'school_with' WHEN 'investment' THEN 'co_invested_with' WHEN 'publication' THEN 'co_authored_with' ELSE 'publicly_mentioned_with' END, CASE p WHEN 'career' THEN 0.7 WHEN 'education' THEN 0.55 WHEN 'investment' THEN 0.9 WHEN 'publication' THEN 0.75 ELSE 0.4 END FROM m)
+SELECT src, dst, kind, count(*) AS evidence, round(least(1.0, max(base) + 0.05 * (count(*) - 1)), 4)::DOUBLE AS quality FROM u GROUP BY 1, 2, 3""")
+def edge_extract(t):
+    """All thirteen kinds of edges: lines stand for facts of suppliers about parts."""
+    from ..operators.relations import extract_edges
+
+    return extract_edges(_view(t, _FACTS.replace("{text}", "STRING"), "lineitem"))
+
+
+_PROJECT = {"status": "a", "industries": ["BUILDING", "MACHINERY"], "funding_target": 30000}
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, least(100, greatest(0, c_acctbal / 80)) AS persona, 0.4::DOUBLE + c_nationkey / 50 AS cosine, c_custkey % 120 AS intent, c_custkey % 14 AS recent, c_mktsegment AS seg, CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS stg, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 9 * 1000.0 + 500 END AS lo,
+c_custkey % 5 = 0 AS rival, c_custkey % 7 AS icp, c_custkey % 4 AS ind, c_custkey % 2 = 0 AS sen, c_custkey % 101 AS early FROM customer), k AS (SELECT *, 0.6 * least(100, intent) + 0.4 * least(10, recent) * 10 AS cust FROM c),
+o AS (SELECT id, persona, least(100, greatest(0, (cosine - 0.45) / 0.4 * 100)) AS sem, unnest([{'a': 'customer', 'o': cust}, {'a': 'investor', 'o': 0.4 * CASE stg WHEN 'a' THEN 100 WHEN 'b' THEN 30 ELSE 50 END + 0.3 * CASE WHEN seg IN ('BUILDING', 'MACHINERY') THEN 50 ELSE 0 END + 0.3 * CASE WHEN lo IS NULL THEN 50 WHEN lo > 3000 THEN 100 - least(1, (lo - 3000) / lo) * 100 WHEN 2 * lo < 3000 THEN 100 - least(1, (3000 - 2 * lo) / (2 * lo)) * 100 ELSE 100 END},
+{'a': 'partner', 'o': 0.5 * CASE WHEN rival THEN 0 ELSE 100 END + 0.5 * least(5, icp) * 20}, {'a': 'hire', 'o': 0.5 * least(3, ind) * 33 + 0.5 * CASE WHEN sen THEN 100 ELSE 40 END}, {'a': 'design_partner', 'o': 0.6 * cust + 0.4 * least(100, early)}]) AS x FROM k)
+SELECT id, x.a AS audience, round(least(100, 0.4 * persona + 0.4 * sem + 0.2 * x.o), 6) AS fit FROM o""")
+def audience_scores(t):
+    """All five audiences for every customer."""
+    key = F.col("c_custkey")
+    low = F.when(key % 4 > 0, key % 9 * 1000.0 + 500)
+    rows = t.customer.select(
+        key.alias("id"), (F.col("c_acctbal") / 80).alias("persona"), (0.4 + F.col("c_nationkey") / 50.0).alias("cosine"), (key % 120).alias("intent"), (key % 14).alias("recent"), F.array("c_mktsegment").alias("sectors"),
+        F.when(key % 3 == 0, F.array(F.lit("a"))).when(key % 3 == 1, F.array(F.lit("b"))).alias("stages"), low.alias("check_min"), (low * 2).alias("check_max"), (key % 5 == 0).alias("is_competitor"), (key % 7).alias("shared_icp"),
+        (key % 4).alias("shared_industries"), (key % 2 == 0).alias("seniority_match"), (key % 101).alias("early_adopter"),
+    )
+    fits = F.array(*(F.struct(F.lit(a).alias("audience"), F.round(profiles.audience_fit(F.col("persona"), F.col("cosine"), a, _PROJECT), 6).alias("fit")) for a in profiles.AUDIENCES))
+    return rows.select("id", F.explode(fits).alias("f")).select("id", "f.*")
+
+
+@query("""WITH e AS (SELECT user_id, lower(event_type) AS method, max(least(0.3 + value / 50, CASE event_type WHEN 'purchase' THEN 0.98 WHEN 'view' THEN 0.6 WHEN 'click' THEN 0.75 ELSE 0.9 END)) AS c FROM events WHERE user_id % 2 = 0 OR event_type IN ('purchase', 'view') GROUP BY 1, 2), g AS (SELECT user_id, max((c, method)) AS b, count(*) AS n FROM e GROUP BY 1),
+f AS (SELECT user_id, b[2] AS method, CASE WHEN n >= 2 THEN least(0.99, b[1] + 0.07 * (n - 1)) ELSE b[1] END AS confidence, n AS methods FROM g) SELECT user_id, method, round(confidence, 6) AS confidence, methods, confidence >= 0.95 AND (method = 'purchase' OR methods >= 2) AS auto_link FROM f""".replace(" WHERE user_id % 2 = 0 OR event_type IN ('purchase', 'view')", ""))
+def hit_fusion_caps(t):
+    hits = t.events.select("user_id", F.lower("event_type").alias("method"), (0.3 + F.col("value") / 50).alias("confidence"))
+    found = scores.fuse_hits(hits, ["user_id"], {"purchase": 0.98, "view": 0.6, "click": 0.75}, ["purchase"])
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("""WITH p AS (SELECT l_orderkey % 4 AS k, l_quantity / 50 AS v, l_discount * 10 AS o, l_returnflag AS a, l_linestatus AS b FROM lineitem), g AS (SELECT ['boolean', 'scalar_threshold', 'categorical_match', 'numeric_proximity'][k + 1] AS shape,
+CASE k WHEN 0 THEN least(1, v) WHEN 1 THEN CASE WHEN (v >= 0.4) = (o >= 0.4) THEN least(1, 0.5 + abs(v - 0.4)) ELSE 1 - least(1, 0.5 + abs(v - 0.4)) END WHEN 2 THEN least(1, v) ELSE CASE WHEN abs(v - o) <= 0.2 THEN 0.85 ELSE 0.15 END END AS predicted,
+CASE k WHEN 0 THEN o > 0.5 WHEN 1 THEN (v >= 0.4) = (o >= 0.4) WHEN 2 THEN (a = 'R') = (b = 'F') ELSE abs(v - o) <= 0.2 END AS actual FROM p)
+SELECT shape, count(*) AS n, round(avg(predicted), 6) AS predicted, round(avg(actual::INTEGER), 6) AS actual, round(avg(pow(predicted - actual::INTEGER, 2)), 6) AS brier FROM g GROUP BY 1""")
+def calibration_shapes(t):
+    """Brier score of each of four outcome shapes."""
+    k, value = F.col("l_orderkey") % 4, F.col("l_quantity") / 50
+    shape = F.when(k == 0, "boolean").when(k == 1, "scalar_threshold").when(k == 2, "categorical_match").otherwise("numeric_proximity")
+    rows = t.lineitem.select(
+        shape.alias("shape"), value.alias("value"), F.lit(0.4).alias("threshold"), (F.col("l_discount") * 10).alias("outcome"), F.lit(0.2).alias("tolerance"), F.when(F.col("l_returnflag") == "R", "yes").otherwise("no").alias("label"),
+        F.when(F.col("l_linestatus") == "F", "YES").otherwise("NO").alias("outcome_label"), F.when(k == 2, value).alias("probability"),
+    )
+    predicted, actual = scores.graded(F.col("shape"))
+    graded = rows.select("shape", predicted.alias("p"), actual.alias("a"))
+    return graded.groupBy("shape").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("predicted"), F.round(F.avg("a"), 6).alias("actual"), F.round(F.avg(F.pow(F.col("p") - F.col("a"), 2)), 6).alias("brier"))
+
+
+@query("""WITH p AS (SELECT page_id, ['linked_team_member', 'linked_portfolio_company', 'linked_social_handle', 'linked_publication', 'same_domain_about_page', 'mentioned_email_domain', 'linked_external_press'][page_id % 7 + 1] AS reason, length(html) % 120 / 100.0 AS authority, CASE WHEN page_id % 3 > 0 THEN page_id % 40 END AS age FROM pages)
+SELECT page_id, reason, round(CASE reason WHEN 'linked_social_handle' THEN 0.9 WHEN 'linked_publication' THEN 0.6 WHEN 'same_domain_about_page' THEN 0.6 WHEN 'mentioned_email_domain' THEN 0.5 WHEN 'linked_external_press' THEN 0.3 ELSE 1.0 END * greatest(0.05, least(1, authority)) * CASE WHEN age IS NULL THEN 1 ELSE greatest(0.05, 1 / (1 + age / 7)) END, 4)::DOUBLE AS priority FROM p""")
+def frontier_reasons(t):
+    names = F.array(*map(F.lit, scores.REASONS))
+    key = F.col("page_id")
+    reason = F.get(names, (key % 7).cast("int"))
+    rows = t.pages.select("page_id", reason.alias("reason"), (F.length("html") % 120 / 100.0).alias("authority"), F.when(key % 3 > 0, key % 40).alias("age"))
+    return rows.select("page_id", "reason", scores.frontier(F.col("reason"), F.col("authority"), F.col("age")).alias("priority"))

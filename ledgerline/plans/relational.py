@@ -40,6 +40,16 @@ def json_contains(t):
     return t.events.select("event_id", k.alias("k")).filter(F.array_contains(F.array(F.lit(7), F.lit(42)).cast("array<bigint>"), F.col("k")))
 
 
+@query("""WITH a AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders GROUP BY 1) SELECT o_custkey, len(p) AS kinds FROM a WHERE list_contains(p, '1-URGENT') AND EXISTS (SELECT 1 FROM (SELECT unnest(p) AS x) WHERE x LIKE '%LOW')""")
+def json_array_contains(t):
+    """Membership and an existential test on a JSON array's elements."""
+    from ..operators.search import json_array
+
+    as_json = t.orders.groupBy("o_custkey").agg(F.to_json(F.array_sort(F.collect_set("o_orderpriority"))).alias("j"))
+    values = as_json.select("o_custkey", json_array(F.col("j")).alias("p"))
+    return values.filter(F.array_contains("p", "1-URGENT") & F.exists("p", lambda x: x.endswith("LOW"))).select("o_custkey", F.size("p").cast("long").alias("kinds"))
+
+
 @query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND list_has_any(string_split(lower(p_name), ' '), ['widget', 'bolt'])")
 def tags_all_any(t):
     tags = F.split(F.lower("p_name"), " ")
@@ -298,10 +308,10 @@ def share_of_total(t):
 @query("""WITH c AS (SELECT p_type, list_sort(list(p_retailprice)) AS l, count(*) AS n FROM part GROUP BY 1)
 SELECT p_partkey, CASE WHEN p_retailprice >= l[CAST(floor((n - 1) * 0.75) AS INTEGER) + 1] THEN 1 WHEN p_retailprice >= l[CAST(floor((n - 1) * 0.5) AS INTEGER) + 1] THEN 2 WHEN p_retailprice >= l[CAST(floor((n - 1) * 0.25) AS INTEGER) + 1] THEN 3 ELSE 4 END AS quartile FROM part JOIN c USING (p_type)""")
 def cohort_quartile(t):
-    from ..functions.numbers import discrete_percentile
+    from ..operators.aggregate import index_percentiles
 
     price = F.col("p_retailprice")
-    cuts = t.part.groupBy("p_type").agg(*(discrete_percentile(price, q, "floor_nm1").alias(n) for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))))
+    cuts = index_percentiles(t.part, ["p_type"], "p_retailprice", {n: (q, "floor_nm1") for q, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))})
     return t.part.join(cuts, "p_type").select("p_partkey", F.when(price >= F.col("q3"), 1).when(price >= F.col("q2"), 2).when(price >= F.col("q1"), 3).otherwise(4).alias("quartile"))
 
 

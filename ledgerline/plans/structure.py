@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import discrete_percentile
 from ..operators import funds, graph, joins, sequences
+from ..operators.aggregate import index_percentiles
 from .registry import query
 from .relational import _ASSOCIATED, _PAIRS, associated_pairs, supplier_pairs
 
@@ -149,7 +149,7 @@ def bias_calibration(t):
 @query("""WITH q AS (SELECT p_brand, p_type, count(*) AS peers, list_sort(list(p_retailprice / p_size))[CAST(least(count(*) - 1, floor(count(*) * 0.5)) AS INTEGER) + 1] AS multiple FROM part GROUP BY 1, 2)
 SELECT p_partkey, round(CASE WHEN peers >= 3 THEN p_size * multiple WHEN p_size % 2 = 0 THEN p_retailprice END, 4) AS value, CASE WHEN peers >= 3 THEN 'peers' WHEN p_size % 2 = 0 THEN 'mark' ELSE 'none' END AS method FROM part JOIN q USING (p_brand, p_type)""")
 def implied_valuation(t):
-    panel = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("peers"), discrete_percentile(F.col("p_retailprice") / F.col("p_size"), 0.5, "floor_n").alias("multiple"))
+    panel = index_percentiles(t.part.withColumn("m", F.col("p_retailprice") / F.col("p_size")), ["p_brand", "p_type"], "m", {"multiple": (0.5, "floor_n")}).withColumnRenamed("n", "peers")
     value, method = funds.implied_value(F.col("p_size"), F.col("peers"), F.col("multiple"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice")))
     return t.part.join(panel, ["p_brand", "p_type"]).select("p_partkey", F.round(value, 4).alias("value"), method.alias("method"))
 
@@ -229,6 +229,18 @@ def fsm_violations(t):
     return sequences.illegal_transitions(t.events, ["user_id"], ["ts", "event_id"], "event_type", legal).select("event_id", "before", "event_type")
 
 
+@query("""WITH r AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events), a AS (SELECT event_id, ts, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS attempt FROM r WHERE event_type = 'error')
+SELECT event_id, CAST(attempt AS INTEGER) AS attempt, CASE WHEN attempt < 3 THEN 'retry' ELSE 'dead' END AS state, CASE WHEN attempt < 3 THEN strftime(ts + to_seconds(CAST(30 * pow(2, attempt) AS BIGINT)), '%Y-%m-%d %H:%M:%S') END AS due FROM a""")
+def retry_schedule(t):
+    found = sequences.retries(t.events, ["user_id"], "ts", "event_id", F.col("event_type") == "error")
+    return found.select("event_id", "attempt", "state", F.date_format("due", "yyyy-MM-dd HH:mm:ss").alias("due"))
+
+
+@query("""WITH f AS (SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS failures FROM events) SELECT event_id, failures, CASE WHEN failures >= 5 THEN 'dead_letter' ELSE 'live' END AS state FROM f""")
+def job_dead_letters(t):
+    return sequences.dead_letters(t.events, ["user_id"], ["ts", "event_id"], F.col("event_type") == "error").select("event_id", "failures", "state")
+
+
 @query("""SELECT event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) <= 2 AS allowed FROM events""")
 def rate_limit(t):
     return sequences.fixed_window_limit(t.events, ["user_id"], "ts", "1 day", 2, "event_id").select("event_id", "allowed")

@@ -16,10 +16,16 @@ DELIMITERS = (",", "\t", ";", "|")
 FORMATS = {"csv": "csv", "tsv": "csv", "txt": "text", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc", "xml": "xml", "avro": "avro"}
 
 
-def detect_format(path: str) -> str:
-    """By the extension, under an optional compression suffix; unknown ones are text."""
-    name = re.sub(r"\.(gz|bz2|zst|snappy)$", "", path.lower().rstrip("/"))
-    return FORMATS.get(name.rpartition(".")[2], "text")
+#: Parts of a media type that name a format, in order.
+MEDIA_TYPES = {"tab-separated": "csv", "csv": "csv", "ndjson": "json", "jsonl": "json", "json": "json", "parquet": "parquet", "orc": "orc", "xml": "xml", "avro": "avro"}
+
+
+def detect_format(path: str, media_type: str | None = None) -> str:
+    """By the extension of a path or URL (without its query), under an optional compression suffix, else by the media type; unknown ones are text."""
+    name = re.sub(r"\.(gz|bz2|zst|snappy)$", "", re.sub(r"[?#].*$", "", path.lower()).rstrip("/"))
+    step = name.rpartition("/")[2]
+    known = FORMATS.get(step.rpartition(".")[2]) if "." in step else None
+    return known or next((f for part, f in MEDIA_TYPES.items() if part in (media_type or "").lower()), "text")
 
 
 def sniff_delimiter(lines: list[str]) -> str:
@@ -85,6 +91,26 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def export_json_array(rows: DataFrame, path: str) -> None:
+    """Text files, each of which is one JSON array with a row a line; nulls are written, and rows stream through a partition."""
+
+    def lines(batches):
+        import pyarrow as pa
+
+        before = None
+        for batch in batches:
+            out = []
+            for row in batch.column(0).to_pylist():
+                if before is not None:
+                    out.append(before + ",")
+                before = ("[" if not out and before is None else "") + row
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([before + "]" if before is not None else "[]"], pa.string())], ["value"])
+
+    as_json = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    as_json.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
+
+
 def same_keys(left: str, right: str, keys: list[str]) -> Column:
     """Whether two aliased sides agree in all keys; nulls agree with each other."""
     return reduce(lambda a, b: a & b, (F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys))

@@ -67,6 +67,8 @@ DIALECTS: dict[str, dict[str, str]] = {
     "plain": {"email": "email", "name": "name", "company": "org", "title": "title"},
     "split_names": {"Email": "email", "First Name": "first_name", "Last Name": "last_name", "Company": "org"},
     "crm": {"Email Address": "email", "Full Name": "name", "Account Name": "org", "Lead Source": "=import"},
+    "sequences": {"email": "email", "firstName": "first_name", "lastName": "last_name", "companyName": "org", "jobTitle": "title", "linkedinUrl": "linkedin_url", "phone": "phone"},
+    "sales": {"First Name": "first_name", "Last Name": "last_name", "Title": "title", "Company": "org", "Email": "email", "Phone": "phone", "Person Linkedin Url": "linkedin_url", "Country": "country"},
 }
 
 

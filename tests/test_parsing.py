@@ -59,3 +59,22 @@ def test_campaign(spark):
     rows = layouts.campaign(people, "split_names").collect()
     assert [tuple(r) for r in rows] == [("a@x", "Ann", "B Lee", ""), ("c@x", "Cher", "", "Y")]
     assert layouts.campaign(people, "crm").first()["Lead Source"] == "import"
+
+
+def test_formats():
+    from ledgerline.sources.files import detect_format
+
+    assert [detect_format(*x) for x in (("a/b.CSV.gz",), ("https://x.io/data.tsv?x=.json#a",), ("https://x.io/export", "text/csv; charset=utf-8"), ("https://x.io/v1.2/list", "application/x-ndjson"), ("b", None), ("c.orc/",))] == ["csv", "csv", "csv", "json", "text", "orc"]
+
+
+def test_json_array(spark, tmp_path):
+    import json
+
+    from ledgerline.sources.files import export_json_array
+
+    path = str(tmp_path / "out")
+    export_json_array(spark.range(1000).selectExpr("id", "if(id % 2 = 0, 'x', null) AS v").repartition(3), path)
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part-*")]
+    assert sorted(r["id"] for p in parts for r in p) == list(range(1000)) and all("v" in r for p in parts for r in p)
+    export_json_array(spark.range(0).selectExpr("id"), path)
+    assert all(p.read_text().strip() in ("", "[]") for p in (tmp_path / "out").glob("part-*"))
