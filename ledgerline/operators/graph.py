@@ -20,7 +20,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         folder = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a staged table that nothing will read again, as a loop's last but one."""
+    spark, path = table.sparkSession, getattr(table, "_staged_at", None)
+    if path:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -44,7 +54,8 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, toleranc
         joined = ranks.join(came, [*k, "id"], "left")
         joined = joined.join(lost, k) if k else joined.crossJoin(F.broadcast(lost))
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("came", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        ranks = staged(joined.select(*k, "id", "n", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "rank")
+        before, ranks = ranks, staged(joined.select(*k, "id", "n", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "rank")
+        discard(before)
         worst = ranks.groupBy(*k).agg(F.sum("change").alias("c")).agg(F.max("c")).first()[0]
         if worst is None or worst < tolerance:
             break
@@ -132,7 +143,8 @@ def distances(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     for level in range(1, hops + 1):
         reached = front.join(step, "id").select("src", F.col("to").alias("id")).distinct()
         front = reached.join(seen.select("src", "id"), ["src", "id"], "left_anti").withColumn("distance", F.lit(level))
-        seen = staged(seen.unionByName(front), "reach")
+        before, seen = seen, staged(seen.unionByName(front), "reach")
+        discard(before)
         front = seen.filter(F.col("distance") == level)
     return seen
 

@@ -116,13 +116,14 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b", *carry: str) -> Dat
 def two_hop(edges: DataFrame) -> DataFrame:
     """src, dst, via, paths: distinct middles of pairs that are not neighbours. edges: src, dst in both directions.
 
-    Edges are made distinct first, so middles need no distinct count and sum up before the shuffle;
-    a middle with very many neighbours is split by AQE's skew join.
+    Edges are made distinct first, so middles need no distinct count and sum up before the shuffle. Each pair
+    is found once, as src < dst, and then stands both ways; a middle with very many neighbours is split by AQE's skew join.
     """
     edges = edges.select("src", "dst").distinct()
-    first, second = edges.select("src", F.col("dst").alias("mid")), edges.select(F.col("src").alias("mid"), "dst")
-    hops = first.join(second, "mid").filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("paths"), F.min("mid").alias("via"))
-    return hops.join(edges, ["src", "dst"], "left_anti")
+    first, second = edges.toDF("mid", "a"), edges.toDF("mid", "b")
+    hops = first.join(second, "mid").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("paths"), F.min("mid").alias("via"))
+    apart = hops.join(edges.toDF("a", "b"), ["a", "b"], "left_anti")
+    return apart.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "paths", "via").select("e.*", "paths", "via")
 
 
 def overlay(facts: DataFrame, overrides: DataFrame, keys: list[str], value: str) -> DataFrame:
