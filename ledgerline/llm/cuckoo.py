@@ -6,6 +6,8 @@ from array import array
 
 SLOTS = 4
 KICKS = 200
+#: Contents are kept by these bits of their digest's home.
+HOMES = (1 << 14) - 1
 
 
 class CuckooFilter:
@@ -70,38 +72,61 @@ class CuckooFilter:
 
 
 class LiveDigests:
-    """One bucket of the index: its filter and the stored keys that hits are verified against."""
+    """One bucket of the index: its filter, and the live contents that hits are verified against.
+
+    Contents are kept by the filter bucket that their digest calls home: a miss of the filter looks at none of
+    them, a hit at the few of one bucket. What is verified is the whole digest, with the text's length and
+    another hash of it; contents that differ in any of these are different ones.
+    """
 
     def __init__(self, table: bytes | None = None):
         self.filter = CuckooFilter(table=table)
-        self.keys: dict[bytes, list] = {}
-        self.false_hits = self.resizes = 0
+        self.contents: dict[int, dict[bytes, list]] = {}
+        self.size = self.hits = self.false_hits = self.resizes = 0
+
+    def _home(self, content: bytes) -> dict[bytes, list]:
+        return self.contents.setdefault(int.from_bytes(content[2:10], "little") & HOMES, {})
+
+    def __iter__(self):
+        """(content, smallest id, number of copies)."""
+        for home in self.contents.values():
+            for content, (doc_id, n) in home.items():
+                yield content, doc_id, n
+
+    def load(self, content: bytes, doc_id, n: int) -> None:
+        """A stored content, which the filter knows."""
+        self._home(content)[content] = [doc_id, n]
+        self.size += 1
 
     def _grow(self) -> None:
         buckets = 2 * (self.filter.mask + 1)
         while True:
             self.filter = CuckooFilter(buckets)
-            if all(self.filter.insert(d) for d in self.keys):
+            if all(self.filter.insert(c) for c, _, _ in self):
                 break
             buckets *= 2
         self.resizes += 1
 
-    def insert(self, digest: bytes, doc_id, n: int) -> bool:
-        """True if the digest was not live. A live one gains n copies and the smaller id."""
-        if digest in self.filter:
-            stored = self.keys.get(digest)
+    def insert(self, content: bytes, doc_id, n: int) -> bool:
+        """True if the content was not live. A live one gains n copies and the smaller id."""
+        home = self._home(content)
+        if content in self.filter:
+            self.hits += 1
+            stored = home.get(content)
             if stored is not None:
                 if doc_id is not None and (stored[0] is None or doc_id < stored[0]):
                     stored[0] = doc_id
                 stored[1] += n
                 return False
             self.false_hits += 1
-        self.keys[digest] = [doc_id, n]
-        if not self.filter.insert(digest):
+        home[content] = [doc_id, n]
+        self.size += 1
+        if not self.filter.insert(content):
             self._grow()
         return True
 
-    def delete(self, digest: bytes) -> bool:
-        if digest in self.filter and self.keys.pop(digest, None) is not None:
-            return self.filter.delete(digest)
+    def delete(self, content: bytes) -> bool:
+        if content in self.filter and self._home(content).pop(content, None) is not None:
+            self.size -= 1
+            return self.filter.delete(content)
         return False

@@ -1,34 +1,49 @@
-"""Exact duplicates through an index of live digests kept by cuckoo filters.
+"""Exact duplicates through an index of live contents kept by cuckoo filters.
 
 The index is a table bucketed by digest: one row for each bucket's filter and
-one for each live digest (its smallest document id and number of copies). A
-batch of insertions and deletions is a shuffle of narrow rows to the buckets,
-where each task streams over its bucket: a miss in the filter is a new digest,
-a hit is verified against the bucket's stored digests, an overflow rebuilds a
-larger filter from the stored keys. Copies within an input partition are
-combined before the shuffle, so a text that makes up a third of all rows sends
+one for each live content (its digest, length and second hash, its smallest
+document id and number of copies). A batch of insertions and deletions is a shuffle
+of narrow rows to the buckets, where each task streams over its bucket: a miss in
+the filter is new content, a hit is verified against the bucket's contents, an
+overflow rebuilds a larger filter from the stored keys. Buckets that a batch does
+not touch are neither read by a task of it nor written again. Copies within an input partition
+are combined before the shuffle, so a text that makes up a third of all rows sends
 one row per input partition. The number of buckets follows the number of rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, fresh, stage, table, text_or_empty
 
-#: Live digests a bucket is meant to hold: some 20 MB in a task.
+#: Live contents a bucket is meant to hold: some 30 MB in a task.
 BUCKET_ROWS = 100_000
+#: Changes after which the index is written as one table again.
+COMPACT = 8
 INDEX = "bucket int, filter binary, digest binary, keep_id long, group_size long"
 _FILTER, _STORED, _DELETE, _INSERT = 0, 1, 2, 3
 
 
-def text_digest(text_col: str = "text"):
-    """SHA-256 of the text with each run of white space as one space; null counts as empty."""
-    return F.sha2(F.regexp_replace(text_or_empty(text_col), SPACES, " "), 256)
+def normalised(text_col: str = "text") -> Column:
+    """The text with each run of white space as one space; null counts as empty."""
+    return F.regexp_replace(text_or_empty(text_col), SPACES, " ")
+
+
+def text_digest(text_col: str = "text") -> Column:
+    """SHA-256 of the normalised text, in hexadecimal."""
+    return F.sha2(normalised(text_col), 256)
+
+
+def content_key(text_col: str = "text") -> Column:
+    """44 bytes for a normalised text: its SHA-256, its length in bytes, and another hash of it."""
+    text = normalised(text_col)
+    return F.unhex(F.concat(F.sha2(text, 256), F.lpad(F.hex(F.octet_length(text).cast("long")), 8, "0"), F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
 
 
 def _apply(batches):
@@ -40,7 +55,7 @@ def _apply(batches):
 
     def rows(bucket, live):
         yield bucket, live.filter.table.tobytes(), None, None, None
-        for digest, (doc_id, n) in live.keys.items():
+        for digest, doc_id, n in live:
             yield bucket, None, digest, doc_id, n
 
     def out(found):
@@ -57,7 +72,7 @@ def _apply(batches):
             if kind == _FILTER:
                 live = LiveDigests(bits)
             elif kind == _STORED:
-                live.keys[digest] = [doc_id, n]
+                live.load(digest, doc_id, n)
             elif kind == _DELETE:
                 live.delete(digest)
             else:
@@ -67,66 +82,88 @@ def _apply(batches):
 
 
 class DigestIndex:
-    """A table of live digests. Each change gives a new table; earlier ones stay readable."""
+    """A table of live contents. Each change gives a new one; earlier ones stay readable."""
 
-    def __init__(self, rows: DataFrame, buckets: int):
-        self.rows, self.buckets = rows, buckets
+    def __init__(self, rows: DataFrame, buckets: int, changes: int = 0):
+        self.rows, self.buckets, self.changes = rows, buckets, changes
 
     @staticmethod
     def empty(spark, rows_expected: int) -> DigestIndex:
         return DigestIndex(spark.createDataFrame([], INDEX), max(1, math.ceil(rows_expected / BUCKET_ROWS)))
 
-    def _bucket(self):
+    def _bucket(self) -> Column:
         return F.pmod(F.conv(F.substring(F.hex("digest"), 41, 12), 16, 10).cast("long"), F.lit(self.buckets)).cast("int")
 
     def change(self, insert: DataFrame | None = None, delete: DataFrame | None = None) -> DigestIndex:
-        """insert: (doc_id, digest); delete: (digest). Deletions come first; absent ones do nothing."""
-        parts = [self.rows.select("bucket", F.when(F.col("digest").isNull(), _FILTER).otherwise(_STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"), "filter")]
-        none = F.lit(None).cast("binary").alias("filter")
+        """insert: (doc_id, digest); delete: (digest), as content_key gives them. Deletions come first; absent ones do nothing."""
+        none, parts = F.lit(None).cast("binary").alias("filter"), []
         if delete is not None:
             parts.append(delete.select("digest").distinct().select(self._bucket().alias("bucket"), F.lit(_DELETE).alias("kind"), "digest", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), none))
         if insert is not None:
             # Copies meet first within an input partition; the filter joins those of different ones.
             near = insert.withColumn("part", F.spark_partition_id()).groupBy("digest", "part").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
             parts.append(near.select(self._bucket().alias("bucket"), F.lit(_INSERT).alias("kind"), "digest", "doc_id", "n", none))
-        rows = parts[0]
-        for more in parts[1:]:
-            rows = rows.unionByName(more)
-        dealt = rows.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "digest", "doc_id")
-        return DigestIndex(stage(dealt.mapInArrow(_apply, INDEX), "digest-index"), self.buckets)
+        if not parts:
+            return self
+        new, old, kept = reduce(DataFrame.unionByName, parts), self.rows, None
+        if self.changes:
+            new = stage(new, "digest-changes")
+            touched = new.select("bucket").distinct()  # one row for each bucket at most
+            old, kept = self.rows.join(touched, "bucket", "left_semi"), self.rows.join(touched, "bucket", "left_anti")
+        stored = old.select("bucket", F.when(F.col("digest").isNull(), _FILTER).otherwise(_STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"), "filter")
+        dealt = stored.unionByName(new).repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "digest", "doc_id")
+        rows = stage(dealt.mapInArrow(_apply, INDEX), "digest-index")
+        if kept is not None:
+            rows = kept.select(*rows.columns).unionByName(rows)
+        if (self.changes + 1) % COMPACT == 0:
+            rows = stage(rows, "digest-index")
+        return DigestIndex(rows, self.buckets, self.changes + 1)
 
     def live(self) -> DataFrame:
         """digest, keep_id, group_size."""
         return self.rows.filter(F.col("digest").isNotNull()).select("digest", "keep_id", "group_size")
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest (content_key), keep_id, group_size, first: one row per document; first numbers rows that repeat an id and a text."""
+    digests = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), content_key(text_col).alias("digest")), "digests")
+    index = DigestIndex.empty(docs.sparkSession, digests.count()).change(insert=digests)
+    again = Window.partitionBy("doc_id", "digest").orderBy("digest")
+    return digests.withColumn("again", F.row_number().over(again)).join(index.live(), "digest")
+
+
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty. Of rows that repeat an id and a text only one is
-    kept. Null ids lose to any other id; a group of null ids only keeps nothing
-    by id and so drops all but one of its rows. An empty table gives an empty
-    result; other columns are ignored.
+    kept. Null ids lose to any other id; a group of null ids only keeps one of its
+    rows. An empty table gives an empty result; other columns are ignored. Texts of any
+    length are hashed where they are read and never leave their task.
     """
-    digests = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_digest(text_col)).alias("digest")), "digests")
-    index = DigestIndex.empty(docs.sparkSession, digests.count()).change(insert=digests)
-    again = Window.partitionBy("doc_id", "digest").orderBy(F.lit(1))
-    return digests.withColumn("again", F.row_number().over(again)).join(index.live(), "digest").select(
+    return _marked(docs, id_col, text_col).select(
         "doc_id", "keep_id", "group_size",
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        F.lower(F.substring(F.hex("digest"), 1, 64)).alias("text_sha256"),
     )
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the first row, by id, of each group of equal texts; same columns."""
-    digest, again, keep = fresh("digest", docs), fresh("again", docs), fresh("keep_id", docs)
-    found = mark_duplicates(docs, id_col, text_col)
-    kept = found.filter("kept").select(F.col("doc_id").alias(keep), F.unhex("text_sha256").alias(digest))
-    rows = docs.withColumn(digest, F.unhex(text_digest(text_col)))
-    joined = rows.join(kept.withColumnRenamed(digest, "_" + digest), F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(digest) == F.col("_" + digest)))
-    first = Window.partitionBy(id_col, digest).orderBy(F.lit(1))
-    return joined.withColumn(again, F.row_number().over(first)).filter(F.col(again) == 1).select(*docs.columns)
+    """docs without all but the first row, by id, of each group of equal texts; same columns.
+
+    Null texts count as empty and null ids as the last; of rows that repeat an id and a text one stays. An
+    empty table stays empty; columns of any name may stand beside. Texts go through one shuffle: rows meet
+    the ids that stay, and are told apart from their repeats, by one key of id and content.
+    """
+    key, again, kept_key = fresh("content", docs), fresh("again", docs), fresh("kept_content", docs)
+    # Never null, so that no filter computes the digests once more.
+    of = lambda doc_id, digest: F.coalesce(F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary")), F.lit("").cast("binary"))
+    found = _marked(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1))
+    kept = found.select(of(F.col("doc_id"), F.col("digest")).alias(kept_key))
+    rows = docs.withColumn(key, of(F.col(id_col).cast("long"), content_key(text_col)))
+    joined = rows.join(kept, F.col(key) == F.col(kept_key), "left_semi")
+    # A running count needs no order within a key, so the join's order serves.
+    so_far = F.count(F.lit(1)).over(Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumn(again, so_far).filter(F.col(again) == 1).select(*docs.columns)
 
 
 def op4_exact_dedup(spark, sf_dir):
