@@ -2,17 +2,17 @@
 
 Two first-order character models, of random strings and of ordinary identifiers,
 are trained from labelled samples as pair counts summed by Spark (a table whose
-size depends on the alphabet alone). A run of identifier characters that no
-pattern has matched is reported where the log-likelihood ratio of the two models
-is high in total and per character. Scoring is one pass without a shuffle.
+size depends on the alphabet alone). A run of identifier characters, or what the
+patterns leave of one, is reported where the log-likelihood ratio of the two
+models is high in total and per character; the ratio alone decides, from the
+length on that the models learn from. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Callable
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +26,17 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones fail as a whole
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: Characters of a run that is learnt as random, or scored, at least.
+LEAST = 8
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_-]{4,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 STATES = len(ALPHABET) + 1  # 0: start
-#: Documents the models are trained on, about, and at most.
-SAMPLE, SAMPLE_MAX = 10_000, 20_000
+#: Documents the models are trained on, about.
+SAMPLE = 10_000
+#: Runs whose ratio a task remembers.
+REMEMBERED = 200_000
 BACKOFF = 16.0
 #: A span's ratio, in nats: in total, and for each character.
 TOTAL, PER_CHARACTER = 12.0, 0.6
@@ -46,8 +50,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _overlaps(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
-    """Whether a range overlaps any of the spans, which are sorted; in time logarithmic in their number."""
+def _covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans, which are sorted, cover together."""
     starts, ends = [], []
     for start, _, end in spans:
         if ends and start < ends[-1]:
@@ -55,12 +59,20 @@ def _overlaps(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
         else:
             starts.append(start)
             ends.append(end)
+    return starts, ends
 
-    def overlaps(start: int, end: int) -> bool:
-        i = bisect_left(starts, end) - 1
-        return i >= 0 and ends[i] > start
 
-    return overlaps
+def _left(start: int, end: int, covered: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """What of a range is not covered; in time logarithmic in the covering spans, but for those that it meets."""
+    starts, ends = covered
+    left, i = [], bisect_right(ends, start)
+    while i < len(starts) and starts[i] < end:
+        if starts[i] > start:
+            left.append((start, starts[i]))
+        start, i = ends[i], i + 1
+    if start < end:
+        left.append((start, end))
+    return left
 
 
 def _codes(run: str) -> np.ndarray:
@@ -75,9 +87,9 @@ def labelled_runs(text: str) -> list[tuple[str, bool]]:
         value = text[start:end]
         if kind == 0:
             value = ASSIGN.match(value)[2]
-        found += [(x, True) for x in ORDINARY.findall(value) if len(x) >= 8]
-    overlaps = _overlaps(base)
-    found += [(m[0], False) for m in ORDINARY.finditer(text) if not overlaps(m.start(), m.end())]
+        found += [(x, True) for x in ORDINARY.findall(value) if len(x) >= LEAST]
+    covered = _covered(base)
+    found += [(m[0], False) for m in ORDINARY.finditer(text) if _left(m.start(), m.end(), covered) == [m.span()]]
     return found
 
 
@@ -88,9 +100,13 @@ def _runs(batches):
 
 
 def weak_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """run, secret: from about SAMPLE documents chosen by a hash of the id, SAMPLE_MAX at most."""
+    """run, secret: from about SAMPLE documents.
+
+    They are drawn by a hash of each row's id and place, so ids that repeat do not change their number. Null
+    and empty texts give no runs, and an empty table no samples. A long text is one task's, a run at a time.
+    """
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE_MAX)
+    chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
     return chosen.select(F.col(text_col).alias("text")).mapInArrow(_runs, "run string, secret boolean")
 
 
@@ -120,16 +136,28 @@ def train_markov(samples: DataFrame) -> np.ndarray:
     return p[1] - p[0]
 
 
-def markov_spans(text: str, ratio: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found, overlaps = [], _overlaps(base)
-    for m in RUN.finditer(text):
-        if overlaps(m.start(), m.end()):
-            continue
-        codes = _codes(m[0])
-        total = float(ratio[codes[:-1], codes[1:]].sum())
-        if total >= TOTAL and total >= PER_CHARACTER * len(m[0]):
-            found.append((m.start(), 3, m.end()))
-    return found
+class Scorer:
+    """Whether runs are random, by the ratio of the models; frequent runs are looked up."""
+
+    def __init__(self, ratio: np.ndarray):
+        self.ratio, self.known = ratio, {}
+
+    def __call__(self, run: str) -> bool:
+        found = self.known.get(run)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            codes = _codes(run)
+            total = float(self.ratio[codes[:-1], codes[1:]].sum())
+            found = self.known[run] = total >= TOTAL and total >= PER_CHARACTER * len(run)
+        return found
+
+
+def markov_spans(text: str, random: Scorer, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of runs, and of what base spans leave of them, those that are long enough and random."""
+    covered = _covered(base)
+    runs = (piece for m in RUN.finditer(text) for piece in _left(m.start(), m.end(), covered))
+    return [(start, 3, end) for start, end in runs if end - start >= LEAST and random(text[start:end])]
 
 
 def _written(spans: list[tuple[int, int, int]]) -> str:
@@ -138,12 +166,13 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 
 def _scan(ratio: np.ndarray):
     def run(batches):
+        random = Scorer(ratio)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
-                every = sorted(base + markov_spans(text or "", ratio, base))
+                every = sorted(base + markov_spans(text or "", random, base))
                 rows.append((*n, hashlib.sha256(_written(base).encode()).hexdigest(), _written(every), len(every) - len(base)))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
@@ -157,7 +186,8 @@ def scan_secrets(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", tex
 
     Offsets are code points, ends exclusive; kind:start:end by start, then kind.
     Null texts count as empty, repeated rows and null ids each have a row, an
-    empty table gives an empty result, and other columns are ignored.
+    empty table gives an empty result, and other columns are ignored. Texts are
+    scanned whole, however long.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_scan(ratio), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
