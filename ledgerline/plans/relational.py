@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, search
 from ..operators.aggregate import daily_outer
+from ..operators.graph import staged
 from .registry import query
 
 
@@ -257,9 +258,12 @@ def hash_prefix_hamming(t):
     """Documents of equal profiles with their first one (distance 0), and first ones of like profiles with each other."""
     text, cells = F.col("text"), F.array(*map(F.lit, CELLS))
     counts = F.transform(cells, lambda p: (F.length(text) - F.length(F.replace(text, p))) / F.length(p))
-    total = F.aggregate("c", F.lit(0.0), lambda s, x: s + x)
-    bits = F.aggregate(F.transform("c", lambda x: (x * 64 > F.col("total")).cast("long")), F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(x))
-    rows = t.documents.filter("text <> ''").select("doc_id", counts.alias("c")).select("doc_id", "c", total.alias("total")).select("doc_id", bits.alias("h"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    bits = lambda c, n: F.aggregate(c, F.lit(0).cast("long"), lambda h, x: F.shiftleft(h, 1).bitwiseOR((x * 64 > n).cast("long")))
+    # Arrays of one element bind the counts, and then their sum, so that a text is searched once for each cell.
+    with_total = F.transform(F.array(counts), lambda c: F.struct(c.alias("c"), total(c).alias("n")))
+    profile = F.transform(with_total, lambda s: bits(s["c"], s["n"]))[0]
+    rows = staged(t.documents.filter("text <> ''").select("doc_id", profile.alias("h")), "profiles")
     return joins.near_hashes(rows, "doc_id", "h", 6)
 
 

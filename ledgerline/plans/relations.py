@@ -37,8 +37,8 @@ rp AS (SELECT l_orderkey, l_suppkey, max(l_shipdate) AS seen FROM lineitem WHERE
 en AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n, max(o_orderdate) AS seen FROM pd x JOIN pd y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey AND x.line < y.line JOIN orders ON o_orderkey = x.l_orderkey GROUP BY 1, 2),
 yr AS (SELECT DISTINCT l_partkey % 50 AS panel, year(l_shipdate) AS y, l_suppkey FROM lineitem WHERE l_linenumber = 1), jp AS (SELECT p.l_suppkey AS a, q.l_suppkey AS b, count(*) AS n, make_date(max(p.y), 1, 1) AS seen FROM yr p JOIN yr q ON p.panel = q.panel AND p.y = q.y AND p.l_suppkey < q.l_suppkey GROUP BY 1, 2),
 nb AS (SELECT a AS i, b AS j FROM e UNION ALL SELECT b, a FROM e), dg AS (SELECT i, count(*) AS d FROM nb GROUP BY 1), mu AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM nb x JOIN nb y ON x.j = y.j AND x.i < y.i GROUP BY 1, 2),
-v AS (SELECT e.a, e.b, least(1.0, ln(1 + co.n) / ln(11.0)) AS v1, co.seen::DATE AS d1, least(1.0, ln(1 + cm.n) / ln(9.0)) AS v2, cm.seen::DATE AS d2, CASE WHEN bo.n > 0 THEN least(1.0, ln(1 + bo.n) / ln(37.0)) END AS v3, bo.seen AS d3, least(1.0, ln(1 + tw.n) / ln(21.0)) AS v4, tw.seen::DATE AS d4,
-least(1.0, ln(1 + en.n) / ln(6.0)) AS v5, en.seen::DATE AS d5, least(1.0, ln(1 + jp.n) / ln(6.0)) AS v6, jp.seen AS d6, CASE WHEN x.s_nationkey = y.s_nationkey THEN 1 / 3.0 END AS v7, mu.n / (p.d + q.d - 2 - mu.n) AS v8
+v AS (SELECT e.a, e.b, CASE WHEN co.n > 0 THEN least(1.0, ln(1 + co.n) / ln(11.0)) END AS v1, co.seen::DATE AS d1, CASE WHEN cm.n > 0 THEN least(1.0, ln(1 + cm.n) / ln(9.0)) END AS v2, cm.seen::DATE AS d2, CASE WHEN bo.n > 0 THEN least(1.0, ln(1 + bo.n) / ln(37.0)) END AS v3, bo.seen AS d3, CASE WHEN tw.n > 0 THEN least(1.0, ln(1 + tw.n) / ln(21.0)) END AS v4, tw.seen::DATE AS d4,
+CASE WHEN en.n > 0 THEN least(1.0, ln(1 + en.n) / ln(6.0)) END AS v5, en.seen::DATE AS d5, CASE WHEN jp.n > 0 THEN least(1.0, ln(1 + jp.n) / ln(6.0)) END AS v6, jp.seen AS d6, CASE WHEN x.s_nationkey = y.s_nationkey THEN 1 / 3.0 END AS v7, mu.n / (p.d + q.d - 2 - mu.n) AS v8
 FROM e JOIN supplier x ON x.s_suppkey = e.a JOIN supplier y ON y.s_suppkey = e.b JOIN dg p ON p.i = e.a JOIN dg q ON q.i = e.b LEFT JOIN co ON co.a = e.a AND co.b = e.b LEFT JOIN cm ON cm.a = e.a AND cm.b = e.b LEFT JOIN bo ON bo.a = e.a AND bo.b = e.b LEFT JOIN tw ON tw.a = e.a AND tw.b = e.b
 LEFT JOIN en ON en.a = e.a AND en.b = e.b LEFT JOIN jp ON jp.a = e.a AND jp.b = e.b LEFT JOIN mu ON mu.a = e.a AND mu.b = e.b),
 s AS (SELECT a, b, unnest([{'w': 1.25, 'v': v1, 'd': d1}, {'w': 1.0, 'v': v2, 'd': d2}, {'w': 1.25, 'v': v3, 'd': d3}, {'w': 0.75, 'v': v4, 'd': d4}, {'w': 1.0, 'v': v5, 'd': d5}, {'w': 0.75, 'v': v6, 'd': d6}, {'w': 1.0, 'v': v7, 'd': NULL}, {'w': 1.0, 'v': v8, 'd': NULL}]) AS x FROM v) """
