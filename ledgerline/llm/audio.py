@@ -3,8 +3,9 @@
 A payload is written as a WAV file in a table's binary column, read back, and
 turned into features in one pass without a shuffle: polyphase resampling by a
 windowed sinc, overlapped frames, log-mel filterbanks, and segments by hysteresis
-on frame energy. Features have a fixed shape (POOLED x BANDS), a list column that
-`tensors` views as Arrow's fixed-shape tensor type without copying.
+on frame energy. Features are stored in blocks of Arrow's stream format, whose tensor
+column has Arrow's fixed-shape tensor type (POOLED x BANDS), beside the segments' time
+spans, and are read back from there.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, table
+from .tokens import slices
 
-RATE, UP, DOWN, TAPS = 16_000, 1, 2, 16
+RATE, UP, DOWN, TAPS = 16_000, 2, 3, 16
 FRAME, HOP, BANDS, POOLED = 256, 128, 16, 8
 #: Segments open where a frame's energy is above the mean by OPEN deviations and close below CLOSE.
 OPEN, CLOSE = 0.5, -0.25
@@ -129,50 +131,84 @@ def pool(mel: np.ndarray, rows: int = POOLED) -> np.ndarray:
 
 def _encode(batches):
     for batch in batches:
-        texts = [t or b"" for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([to_wav(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in slices(batch):
+            texts = [t or b"" for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array([to_wav(payload(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_texts_as_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Writes doc_id, n_bytes, media (a WAV file) as a table and returns what is read back.
 
     Null texts count as empty, and an empty text is 64 zero samples. Repeated
-    rows and null ids each have a row; other columns are ignored.
+    rows and null ids each have a row; an empty table gives an empty result; other columns are ignored. A long
+    text is one row, which a task holds with a few MB of others.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return stage(rows.mapInArrow(_encode, "doc_id long, n_bytes long, media binary"), "audio", path=path)
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, tensor array<float>, starts array<double>, ends array<double>"
+BLOCKS = "first_id long, last_id long, n long, features binary"
+#: The type that a document's features are stored as.
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (POOLED, BANDS), dim_names=("time", "mel"))
+_NAMES = [c.split()[0] for c in FEATURES.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), TENSOR, pa.list_(pa.float64()), pa.list_(pa.float64())]
+
+
+def features(media: bytes) -> tuple:
+    """All of FEATURES of a stored file but the first two; the tensor flat."""
+    rate, samples = from_wav(media)
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    mel, energy = log_mel(resample(x), rate * UP / DOWN)
+    spans, seconds = segments(energy), HOP / (rate * UP / DOWN)
+    return (
+        len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-MULTIPLE:]), len(media), hashlib.sha256(media).hexdigest(), len(mel),
+        pool(mel).astype(np.float32).ravel(), [s * seconds for s, _ in spans], [e * seconds for _, e in spans],
+    )
+
+
+def _feature_blocks(batches):
+    for batch in batches:
+        for part in slices(batch, "media", 256):
+            columns = list(zip(*map(features, part.column("media").to_pylist()), strict=True))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(columns[6])), POOLED * BANDS)
+            arrays = [part.column("doc_id"), part.column("n_bytes"), *(pa.ExtensionArray.from_storage(TENSOR, flat) if t is TENSOR else pa.array(c, t) for c, t in zip(columns, _TYPES[2:], strict=True))]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema(list(zip(_NAMES, _TYPES, strict=True)))) as stream:
+                stream.write_batch(pa.RecordBatch.from_arrays(arrays, _NAMES))
+            ids = [i for i in part.column("doc_id").to_pylist() if i is not None]
+            row = [[min(ids, default=None)], [max(ids, default=None)], [part.num_rows], [sink.getvalue().to_pybytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["first_id", "last_id", "n", "features"])
+
+
+def store_features(media: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes BLOCKS of rows doc_id, n_bytes, media as a table and returns what is read back.
+
+    Repeated rows and null ids each have their features; an empty table gives no blocks; other columns are ignored.
+    """
+    return stage(media.select("doc_id", "n_bytes", "media").mapInArrow(_feature_blocks, BLOCKS), "audio-features", path=path)
+
 
+def tensors(block: bytes) -> pa.Table:
+    """A block's rows as Arrow reads them: its tensor column has the type TENSOR."""
+    return pa.ipc.open_stream(block).read_all()
 
-def _features(batches):
+
+def _read_features(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
-            for media in part.column("media").to_pylist():
-                rate, samples = from_wav(media)
-                x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-                mel, energy = log_mel(resample(x), rate * UP / DOWN)
-                spans = segments(energy)
-                seconds = HOP / (rate * UP / DOWN)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-MULTIPLE:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), pool(mel).ravel().tolist(), [s * seconds for s, _ in spans], [e * seconds for _, e in spans]))
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], [c.split()[0] for c in FEATURES.split(", ")])
+        for block in batch.column("features").to_pylist():
+            for part in tensors(block).to_batches():
+                yield pa.RecordBatch.from_arrays([c.storage.cast(pa.list_(pa.float32())) if isinstance(c, pa.FixedShapeTensorArray) else c for c in part.columns], _NAMES)
 
 
-def audio_features(media: DataFrame) -> DataFrame:
-    """FEATURES of rows doc_id, n_bytes, media."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES)
+def read_features(blocks: DataFrame) -> DataFrame:
+    """FEATURES of stored blocks, one row for each document."""
+    return blocks.select("features").mapInArrow(_read_features, FEATURES)
 
 
-def tensors(column: pa.ListArray | pa.ChunkedArray) -> pa.FixedShapeTensorArray:
-    """The tensor column, read with Arrow, as fixed-shape POOLED x BANDS tensors."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().cast(pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), (POOLED, BANDS), dim_names=("time", "mel"))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, POOLED * BANDS))
+def audio_features(media: DataFrame) -> DataFrame:
+    """FEATURES of rows doc_id, n_bytes, media, by way of the stored tensors."""
+    return read_features(store_features(media))
 
 
 def op8_audio(spark, sf_dir):
