@@ -48,7 +48,7 @@ ODD = bytes(c for c in MARKS if c not in COMMON)
 DIM_BITS = 16
 #: Words in which a repeated word counts as one.
 WINDOW = 200
-TRAIN, TRAIN_MAX, SHARD_ROWS, EPOCHS = 12_000, 24_000, 3_000, 8
+TRAIN, SHARD_ROWS, EPOCHS = 12_000, 3_000, 8
 THRESHOLD = 0.5
 
 
@@ -101,29 +101,26 @@ class LabelModel:
         return {name: float(r) for (name, _, _), r in zip(LABELLERS, right, strict=True)}
 
 
-#: Votes that are expected of labellers on bad and on good documents, the share of good ones,
-#: and the most bad votes on good ones: what says which class is which, and keeps them from swapping.
-EXPECTED, PRIOR, MOST_FALSE = ((0.4, 0.6), (0.01, 0.99)), 0.85, 0.02
+#: Where EM starts: votes that are expected of a labeller on bad and on good documents, and the share of good ones. They
+#: say which class is which, and weigh as much as PRIOR_ROWS documents, so that a table of a few has a model too.
+EXPECTED, PRIOR, PRIOR_ROWS = ((0.4, 0.6), (0.01, 0.99)), 0.85, 10.0
 
 
-def fit_label_model(counts: dict[int, int], rounds: int = 200, strength: float = 0.05) -> LabelModel:
-    """EM on pattern counts, with Dirichlet priors worth strength of the rows."""
+def fit_label_model(counts: dict[int, int], rounds: int = 500) -> LabelModel:
+    """EM on pattern counts: every labeller's rates on both classes, and the classes' shares, are estimated and not bounded."""
     patterns, n = np.array(list(counts), np.int64), np.array(list(counts.values()), float)
     expected = np.array(EXPECTED)
     model = LabelModel(PRIOR, np.repeat(expected[None], len(LABELLERS), axis=0))
     if not len(n):
         return model
     total, digits = n.sum(), (patterns[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
-    weight = 1 + strength * total
+    pseudo = PRIOR_ROWS * expected * np.array([1 - PRIOR, PRIOR])[:, None]
     for _ in range(rounds):
         good = model.posterior(patterns)
         split = np.stack([n * (1 - good), n * good])
-        rates = np.stack([[[split[c][digits[:, i] == v].sum() for v in (BAD, GOOD)] for c in (BAD, GOOD)] for i in range(len(LABELLERS))])
-        rates = rates + weight * expected * np.array([1 - PRIOR, 1.0])[None, :, None]
+        rates = np.stack([[[split[c][digits[:, i] == v].sum() for v in (BAD, GOOD)] for c in (BAD, GOOD)] for i in range(len(LABELLERS))]) + pseudo
         rates = rates / rates.sum(axis=2, keepdims=True)
-        rates[:, GOOD, BAD] = np.minimum(rates[:, GOOD, BAD], MOST_FALSE)
-        rates[:, GOOD, GOOD] = 1 - rates[:, GOOD, BAD]
-        new = LabelModel(float((split[GOOD].sum() + PRIOR * weight) / (total + weight)), rates)
+        new = LabelModel(float((split[GOOD].sum() + PRIOR * PRIOR_ROWS) / (total + PRIOR_ROWS)), rates)
         done = abs(new.prior - model.prior) < 1e-9 and np.abs(new.rates - model.rates).max() < 1e-9
         model = new
         if done:
@@ -199,14 +196,20 @@ class QualityModel:
 
 
 def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """The label model of all rows, and a scorer from about TRAIN of them, chosen by a hash of the id."""
+    """The label model of all rows, and a scorer from about TRAIN of them, drawn by a hash of each row's id and place.
+
+    Null and empty texts cast no vote and train nothing; an empty table gives the model's priors and a scorer without weights.
+    Texts that repeat count as often as they stand; ids may repeat or be null; other columns are ignored. Votes
+    and features are of whole texts; of a sampled text only its features, bounded by DIM_BITS, are held.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     counts = texts.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in counts)
     labels = fit_label_model({r.pattern: r.n for r in counts})
     share = min(1.0, TRAIN / max(1, total))
-    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(TRAIN_MAX)
-    shards = chosen.repartition(max(1, round(min(total, TRAIN) / SHARD_ROWS)), F.xxhash64("doc_id")).sortWithinPartitions("doc_id").select("text")
+    place = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    chosen = texts.withColumn("place", place).filter(F.pmod("place", F.lit(1 << 30)) < int(share * (1 << 30)))
+    shards = chosen.repartition(max(1, round(min(total, TRAIN) / SHARD_ROWS)), "place").sortWithinPartitions("doc_id", "place").select("text")
     models = shards.mapInArrow(_train(labels), "n long, at array<long>, w array<double>").collect()
     return QualityModel(labels, mixed(((r.n, r.at, r.w) for r in models), drop=0.0))
 
@@ -214,11 +217,11 @@ def train_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def quality(model: QualityModel, text_col: str = "text") -> Column:
     """A struct column (pattern, posterior, score) of a text; score is 0 for a text without words."""
 
+    dense = np.zeros(1 << DIM_BITS, np.float32)  # 256 KB that every task gets once
+    dense[list(model.weights)] = list(model.weights.values())
+
     @F.arrow_udf("struct<pattern: long, posterior: double, score: double>")
     def score(texts: pa.Array) -> pa.Array:
-        dense = np.zeros(1 << DIM_BITS)
-        for i, v in model.weights.items():
-            dense[i] = v
         found, scores = [], []
         for text in texts.to_pylist():
             found.append(votes(text))
@@ -242,7 +245,10 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores at least the threshold; same columns."""
+    """The rows of docs whose text scores at least the threshold; same columns, whatever their names.
+
+    Null and empty texts score 0 and go; of rows that repeat, all stay or all go. An empty table stays empty.
+    """
     return docs.filter(quality(train_quality(docs, id_col, text_col), text_col)["score"] >= threshold)
 
 
