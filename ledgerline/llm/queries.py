@@ -5,11 +5,11 @@ from __future__ import annotations
 from .audio import op8_audio
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op1_mixing
-from .near_dedup import op7_near_dedup
+from .near_dedup import OP7_SQL, op7_near_dedup
 from .packing import op6_packing
 from .quality import op2_quality
 from .secrets_scan import op5_secrets
-from .sharding import op9_sharding
+from .sharding import OP9_SQL, op9_sharding
 from .token_files import op3_token_files
 from .toxicity import op10_toxicity
 
@@ -27,4 +27,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op7_near_dedup": OP7_SQL,
+    "op9_sharding": OP9_SQL,
 }

@@ -21,7 +21,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     size is the UTF-8 length plus 1, so a null or empty text counts 1. Order is
     by id (nulls first), then size, then checksum; repeated rows are
     interchangeable. A document belongs to the shard that holds its first byte.
-    An empty table gives an empty result; other columns of docs are ignored.
+    An empty table gives an empty result; other columns of docs are ignored. A text
+    of any length is one row of its size and checksum; it never moves.
     """
     keys = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -42,14 +43,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     )
     # One row per range partition: its size is the number of shuffle partitions.
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    located = placed.join(F.broadcast(offsets), "part").select(
+    located = stage(placed.join(F.broadcast(offsets), "part").select(
         "doc_id", "size", "text_crc32",
         (F.col("rows_before") + F.count("*").over(inside)).alias("row"),
         F.least(
             F.floor((F.col("bytes_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))) * F.lit(float(shards)) / F.col("total")),
             F.lit(shards - 1),
         ).cast("int").alias("shard"),
-    )
+    ), "shard-located")
     # At most one row per shard.
     first = located.groupBy("shard").agg(F.min("row").alias("first_row"))
     return located.join(F.broadcast(first), "shard").select(
@@ -64,3 +65,14 @@ def op9_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT list(b ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS b FROM (SELECT unnest(range(256)) AS i))),
+d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+h AS (SELECT doc_id, size, hex(encode(text)) AS h FROM d),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, t),
+o AS (SELECT doc_id, size, text_crc32, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT doc_id, size, text_crc32, CAST(least(7, floor(coalesce(before, 0) * 8.0 / total)) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
