@@ -21,8 +21,8 @@ from .wordhash import LOWER, sequence_hashes, word_hashes
 
 WORD_BITS, PAIR_BITS = 21, 22
 DIMS = (1 << WORD_BITS) + (1 << PAIR_BITS)
-#: Labelled documents the model is trained on, about, and at most; shards of them.
-TRAIN, TRAIN_MAX, SHARD_ROWS = 20_000, 40_000, 10_000
+#: Labelled documents the model is trained on, about; rows of a shard, about.
+TRAIN, SHARD_ROWS = 20_000, 10_000
 EPOCHS, ALPHA, POSITIVE_WEIGHT = 5, 2.0, 4.0
 #: Coordinates are learned where so many of a shard's documents have them, and at most such a share.
 LEAST_DOCS, MOST_SHARE = 4, 0.3
@@ -74,16 +74,18 @@ def _train(batches):
 def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> dict[int, float]:
     """Sparse weights from labelled documents; labels: id_col and label_col (0, 1, null: unlabelled).
 
-    The sample is chosen by a hash of the id to hold about TRAIN rows and holds
-    TRAIN_MAX at most, so it may be broadcast. Without labels the model is empty
-    and every score is 0.5.
+    The sample is chosen by a hash of the labelled ids, which are distinct, to hold about TRAIN rows, so it
+    may be broadcast. Labels of an id that repeats are one, the greatest; null ids meet no document. Without labels, or
+    without documents, the model is empty and every score is 0.5. Of a long text only its distinct coordinates are held.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     n = labels.count()
     share, parts = min(1.0, TRAIN / max(1, n)), max(1, round(min(n, TRAIN) / SHARD_ROWS))
-    chosen = known.filter(F.pmod(F.xxhash64(id_col, F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(TRAIN_MAX)
+    chosen = known.filter(F.pmod(F.xxhash64(id_col, F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "labelled")), F.col("doc_id") == F.col("labelled"))
+    # An id that repeats is one sample, of its least text, so that repeats do not fill a shard.
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(parts)).cast("int").alias("shard"), "doc_id", "text", "label")
     shards = rows.repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "doc_id")
     return mixed((r.n, r.at, r.w) for r in shards.select("shard", "text", "label").mapInArrow(_train, "n long, at array<long>, w array<double>").collect())
@@ -92,8 +94,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 def _score(model):
     def run(batches):
         dense = np.zeros(DIMS, np.float32)
-        for i, v in model.value.items():
-            dense[i] = v
+        dense[list(model.value)] = list(model.value.values())
         bias = model.value.get(0, 0.0)
         for batch in batches:
             scores = []
