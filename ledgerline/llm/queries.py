@@ -10,8 +10,10 @@ from .packing import op6_packing
 from .quality import op2_quality
 from .secrets_scan import op5_secrets
 from .sharding import OP9_SQL, op9_sharding
+from .simhash import op11_simhash
 from .token_files import op3_token_files
 from .toxicity import op10_toxicity
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_audio": op8_audio,
     "op9_sharding": op9_sharding,
     "op10_toxicity": op10_toxicity,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
