@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_alignment
 from .audio import op8_audio
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op1_mixing
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_simhash": op11_simhash,
     "op12_whitening": op12_whitening,
+    "op13_alignment": op13_alignment,
 }
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
