@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 UNEVEN = re.compile(r"\s\s|^ | \Z")
 SPACE = "▁"
 
-BLOCKS = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words array<int>, times array<long>, a int, b int, docs long"
+#: Rows of a block: its documents (k: place), its pairs of ids (k: number; docs: documents of the block that hold it linked), and one with all else.
+BLOCKS = "block long, k int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a int, b int, docs long, rest binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 # Tables a, b: w (word), id, s, e (bytes of the axis).
@@ -62,11 +64,8 @@ LINKED = """
 WITH x AS (SELECT g, w, id, count(*) AS n FROM ga GROUP BY ALL), y AS (SELECT g, id, count(*) AS n FROM gb GROUP BY ALL)
 SELECT x.w, (CAST(x.id AS BIGINT) << 32) + y.id AS pair, CAST(sum(x.n * y.n) AS BIGINT) AS links FROM x JOIN y USING (g) GROUP BY ALL ORDER BY x.w, pair
 """
-# Tables held: d, w (the distinct words of each document); linked: w, pair, links.
-COUNTED = """
-WITH n AS (SELECT pair, count(*) AS docs FROM (SELECT DISTINCT d, pair FROM held JOIN linked USING (w)) GROUP BY pair)
-SELECT pair, any_value(docs) AS docs, list(w) AS words, list(links) AS times FROM linked JOIN n USING (pair) GROUP BY pair
-"""
+# Tables held: d, w (the distinct words of each document); linked: w, k (number of a pair).
+COUNTED = "SELECT k, count(*) AS docs FROM (SELECT DISTINCT d, k FROM held JOIN linked USING (w)) GROUP BY k ORDER BY k"
 
 
 def byte_level() -> dict[str, int]:
@@ -77,13 +76,9 @@ def byte_level() -> dict[str, int]:
 
 
 SPACED = "\u0120"  # a space, as byte-level vocabularies write it
-#: Letters below this are written in one or two bytes, and every release of Unicode calls them letters.
-SIMPLE = "\u0250"
-LETTERS = {c: "".join({b: x for x, b in byte_level().items()}[b] for b in chr(c).encode()) for c in range(128, ord(SIMPLE))}
-
-
-def spell(of: list[bytes], ids: list[int]) -> bytes:
-    return b"".join([of[i] for i in ids])
+#: A word of letters of one or two bytes which every release of Unicode calls letters, and how byte-level vocabularies write them.
+SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+LETTERS = {c: "".join({b: x for x, b in byte_level().items()}[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
 
 def groups_text(w: np.ndarray, g: np.ndarray, side: np.ndarray, ids: np.ndarray) -> list[bytes]:
@@ -138,7 +133,7 @@ class Aligner:
 
         A word of letters is one run for it, so such words need no splitting; a token that starts with the space starts a word.
         """
-        simple = [k for k, w in enumerate(words) if w.isalpha() and w < SIMPLE and max(w) < SIMPLE]
+        simple = [k for k, w in enumerate(words) if SIMPLE(w)]
         ids: list[list[int]] = [[]] * len(words)
         if simple:
             flat = np.array(self.letters.encode_batch_fast(["\n".join(SPACED + words[k].translate(LETTERS) for k in simple)], add_special_tokens=False)[0].ids)
@@ -155,7 +150,7 @@ class Aligner:
         found: dict[str, tuple | None] = dict.fromkeys(words)
         ids_a, ids_b = self._first_ids(words), self.b.encode(words, num_threads=1)
         raws = [b" " + w.encode() for w in words]
-        spelled = [k for k, raw in enumerate(raws) if spell(self.a_bytes, ids_a[k]) == raw == spell(self.b_bytes, ids_b[k])]
+        spelled = [k for k, raw in enumerate(raws) if b"".join([self.a_bytes[i] for i in ids_a[k]]) == raw == b"".join([self.b_bytes[i] for i in ids_b[k]])]
         if not spelled:
             return found
         db = self.db
@@ -186,11 +181,8 @@ class Aligner:
         held = self.align(list(long))
         return [held[w] if w in long else self.words.now[w] for w in words]
 
-    def block(self, texts: list[str | None]) -> tuple[list, pa.Table]:
-        """For texts columns n_a, n_b, n_groups, n_links, groups_sha256, words, times, and the block's pairs (pair, docs, words, times).
-
-        words: numbers of the block's words; times: how often each stands in the text, and how many links of the pair it holds.
-        """
+    def block(self, texts: list[str | None]) -> tuple[list, list[np.ndarray], bytes]:
+        """For texts the columns n_a, n_b, n_groups, n_links, groups_sha256; for the block's pairs their codes and documents; and the rest, packed."""
         self.words.turn()
         cut = [self.cut(t) if t else [] for t in texts]
         while True:
@@ -209,17 +201,41 @@ class Aligner:
         groups = [x[4] for x in found]
         total = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(sums[at], axis=0)))
         columns = list((total[cuts[1:]] - total[cuts[:-1]]).T)
-        shas, own, times = [], [], []
+        shas, own, times = [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             shas.append(hashlib.sha256(b";".join([groups[i] for i in at[p:q].tolist()])).hexdigest() if q > p else "")
             some, often = np.unique(at[p:q], return_counts=True)
             own.append(some)
             times.append(often)
-        sizes = [len(x[5]) // 8 for x in found]
+        n_words, n_pairs = [len(x) for x in own[1:]], [len(x[5]) // 8 for x in found]
+        own, times = np.concatenate(own), np.concatenate(times)
         flat = lambda k: np.frombuffer(b"".join([x[k] for x in found]), np.int64)
-        self.db.register("held", pa.table({"d": np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own]), "w": np.concatenate([np.empty(0, np.int32), *own])}))
-        self.db.register("linked", pa.table({"w": np.repeat(np.arange(len(found), dtype=np.int32), sizes), "pair": flat(5), "links": flat(6)}))
-        return [*columns, shas, own, times], self.db.sql(COUNTED).to_arrow_table()
+        codes, of = np.unique(flat(5), return_inverse=True)
+        self.db.register("held", pa.table({"d": np.repeat(np.arange(len(texts), dtype=np.int32), n_words), "w": own}))
+        self.db.register("linked", pa.table({"w": np.repeat(np.arange(len(found), dtype=np.int32), n_pairs), "k": of.astype(np.int32)}))
+        docs = self.db.execute(COUNTED).fetchnumpy()["docs"]
+        return [*columns, shas], [codes, docs], packed(n_words, own, times, n_pairs, of, flat(6))
+
+
+def packed(*arrays) -> bytes:
+    """Arrays of whole numbers in one compressed value."""
+    import zstandard
+
+    wide = [np.asarray(x, np.int64) for x in arrays]
+    raw = [x.astype(np.uint32 if x.max(initial=0) < 1 << 32 else np.int64) for x in wide]
+    head = np.array([v for x in raw for v in (len(x), x.itemsize)], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(x.tobytes() for x in raw))
+
+
+def unpacked(value: bytes, n: int) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n).reshape(-1, 2).tolist(), 16 * n, []
+    for length, width in head:
+        out.append(np.frombuffer(raw, np.uint32 if width == 4 else np.int64, length, at).astype(np.int64))
+        at += length * width
+    return out
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -234,7 +250,7 @@ def aligner(a: str = A, b: str = B) -> Aligner:
 
 def _batch(n: int, **columns) -> pa.RecordBatch:
     """n rows of BLOCKS; columns that are not given are null."""
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
     names = [c.split() for c in BLOCKS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[kind]) if c in columns else pa.nulls(n, kinds[kind]) for c, kind in names], [c for c, _ in names])
 
@@ -245,33 +261,34 @@ def _blocks(a: str, b: str):
         for batch in batches:
             for part in slices(batch, rows=ROWS, size=SIZE):
                 texts = [t and t.decode("utf-8", "replace") for t in part.column("text").to_pylist()]
-                columns, pairs = aligner(a, b).block(texts)
-                n = len(texts)
-                columns = dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "words", "times"), columns, strict=True))
-                yield _batch(n, block=np.full(n, block), doc_id=part.column("doc_id"), **columns)
-                for some in pairs.to_batches(max_chunksize=20_000):
-                    pair = some.column("pair").to_numpy()
-                    yield _batch(len(pair), block=np.full(len(pair), block), a=pair >> 32, b=pair & 0xFFFFFFFF, docs=some.column("docs"), words=some.column("words"), times=some.column("times"))
+                columns, (codes, docs), rest = aligner(a, b).block(texts)
+                n, m = len(texts), len(codes)
+                named = dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), columns, strict=True))
+                yield _batch(n, block=np.full(n, block), k=np.arange(n), doc_id=part.column("doc_id"), **named)
+                yield _batch(m, block=np.full(m, block), k=np.arange(m), a=codes >> 32, b=codes & 0xFFFFFFFF, docs=docs)
+                yield _batch(1, block=[block], rest=[rest])
                 block += 1
 
     return run
 
 
-def _sums(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-    """A block's documents and its pairs with their counts over all documents -> RESULT."""
-    words, times = (pairs.column(c).combine_chunks() for c in ("within", "links"))
-    each = np.diff(np.asarray(words.offsets)) if len(words) else np.empty(0, np.int64)
-    at, links = np.asarray(words.flatten()), np.asarray(times.flatten())
-    mine, mine_times = (docs.column(c).combine_chunks() for c in ("words", "times"))
-    own, often, cuts = np.asarray(mine.flatten()), np.asarray(mine_times.flatten()), np.asarray(mine.offsets)
-    cuts = cuts - cuts[0]
-    out = {}
-    for name, value in (("n_best", pairs.column("best").to_numpy().astype(np.int64)), ("count_sum", pairs.column("count").to_numpy())):
-        of = np.zeros(max(at.max(initial=-1), own.max(initial=-1)) + 1, np.int64)
-        np.add.at(of, at, links * np.repeat(value, each))
-        total = np.concatenate(([0], np.cumsum(of[own] * often)))
+def _sums(own: pa.Table, pairs: pa.Table) -> pa.Table:
+    """A block's documents and rest, and its pairs with their counts over all documents -> RESULT."""
+    (rest,) = [r for r in own.column("rest").to_pylist() if r is not None]
+    docs = own.filter(pc.is_valid(own.column("k"))).sort_by("k")
+    n_words, words, times, n_pairs, of, links = unpacked(rest, 6)
+    cuts = np.concatenate(([0], np.cumsum(n_words)))
+    word = np.repeat(np.arange(len(n_pairs)), n_pairs)
+    at, out = pairs.column("number").to_numpy(), {}
+    for name in ("best", "count"):
+        value = np.zeros(len(at), np.int64)
+        value[at] = pairs.column(name).cast(pa.int64()).to_numpy()
+        each = np.zeros(len(n_pairs), np.int64)
+        np.add.at(each, word, links * value[of])
+        total = np.concatenate(([0], np.cumsum(each[words] * times)))
         out[name] = total[cuts[1:]] - total[cuts[:-1]]
-    return pa.table({c.split()[0]: out.get(c.split()[0]) if c.split()[0] in out else docs.column(c.split()[0]) for c in RESULT.split(", ")})
+    found = {"n_best": out["best"], "count_sum": out["count"]}
+    return pa.table({c: found[c] if c in found else docs.column(c) for c in (x.split()[0] for x in RESULT.split(", "))})
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -294,8 +311,8 @@ def align_tokenizers(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     blocks = stage(rows.mapInArrow(_blocks(a, b), BLOCKS), "align-blocks")
     counts = pair_counts(blocks)
-    own = blocks.filter("a is not null").select(F.col("block").alias("of"), "a", "b", F.col("words").alias("within"), F.col("times").alias("links"))
-    valued = own.join(counts, ["a", "b"]).select("of", "within", "links", "count", "best")
+    pairs = blocks.filter("a is not null").select(F.col("block").alias("of"), F.col("k").alias("number"), "a", "b")
+    valued = pairs.join(counts, ["a", "b"]).select("of", "number", "count", "best")
     documents = blocks.filter("a is null").drop("a", "b", "docs")
     return documents.groupBy("block").cogroup(valued.groupBy("of")).applyInArrow(_sums, RESULT)
 
