@@ -1,16 +1,19 @@
 """Finds secrets in whole texts: fixed patterns, and random-looking strings by Markov models.
 
-Two first-order character models, of random strings and of ordinary identifiers,
-are trained from labelled samples as pair counts summed by Spark (a table whose
-size depends on the alphabet alone). A run of identifier characters, or what the
-patterns leave of one, is reported where the log-likelihood ratio of the two
-models is high in total and per character; the ratio alone decides, from the
+First-order character models of random strings and of ordinary identifiers are
+trained from labelled samples as pair counts summed by Spark (a table whose
+size depends on the alphabet alone). Ordinary samples are the corpus's own runs; random ones are
+what the patterns match there, and strings drawn from each alphabet that keys are written in, a model each, so
+that what a corpus happens to hold (hex digests mostly) doesn't make other keys unlikely. A run of identifier characters,
+or what the patterns leave of one, is reported where the log-likelihood ratio of the random models, taken as
+equally likely, over the ordinary one is high in total and per character; the ratio alone decides, from the
 length on that the models learn from. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_right
 
@@ -31,8 +34,13 @@ LEAST = 8
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST},}}")
 ORDINARY = re.compile(r"[A-Za-z0-9+/_-]{4,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 STATES = len(ALPHABET) + 1  # 0: start
+UPPER, LOWER, DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: Alphabets that keys are written in, and how many strings of how many characters are drawn from each as samples.
+ALPHABETS = {
+    "base62": UPPER + LOWER + DIGITS, "base64": UPPER + LOWER + DIGITS + "+/", "url64": UPPER + LOWER + DIGITS + "-_", "base32": UPPER + "234567", "upper36": UPPER + DIGITS, "lower36": LOWER + DIGITS, "hex": DIGITS + "abcdef", "HEX": DIGITS + "ABCDEF",
+}
+DRAWN, DRAWN_LENGTH = 4_000, 24
 #: Documents the models are trained on, about.
 SAMPLE = 10_000
 #: Runs whose ratio a task remembers.
@@ -76,7 +84,7 @@ def _left(start: int, end: int, covered: tuple[list[int], list[int]]) -> list[tu
 
 
 def _codes(run: str) -> np.ndarray:
-    return np.array([0, *(CODE[c] for c in run)])
+    return LUT[np.frombuffer(b"\n" + run.encode("ascii"), np.uint8)]
 
 
 def labelled_runs(text: str) -> list[tuple[str, bool]]:
@@ -93,62 +101,94 @@ def labelled_runs(text: str) -> list[tuple[str, bool]]:
     return found
 
 
-def _runs(batches):
+LUT = np.zeros(128, np.int64)  # other characters, a line's end among them, are the start
+LUT[[ord(c) for c in ALPHABET]] = range(1, STATES)
+
+
+def pair_counts(runs: list[str]) -> np.ndarray:
+    """How often each character follows each other one, or begins a run."""
+    codes = LUT[np.frombuffer(("\n" + "\n".join(runs)).encode("ascii"), np.uint8)]
+    pairs = codes[:-1] * STATES + codes[1:]
+    return np.bincount(pairs[codes[1:] > 0], minlength=STATES * STATES)
+
+
+def _rows(counts: np.ndarray) -> pa.RecordBatch:
+    label, pair = np.nonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(label == 1, pa.bool_()), pa.array(pair, pa.int64()), pa.array(counts[label, pair], pa.int64())], ["secret", "pair", "n"])
+
+
+PAIRS = "secret boolean, pair long, n long"
+
+
+def _text_pairs(batches):
+    counts = np.zeros((2, STATES * STATES), np.int64)
     for batch in batches:
         found = [x for t in batch.column("text").to_pylist() for x in labelled_runs(t or "")]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.bool_())], ["run", "secret"])
+        for secret in (False, True):
+            counts[int(secret)] += pair_counts([x for x, y in found if y == secret])
+    yield _rows(counts)
+
+
+def _run_pairs(batches):
+    counts = np.zeros((2, STATES * STATES), np.int64)
+    for batch in batches:
+        found = list(zip(batch.column("run").to_pylist(), batch.column("secret").to_pylist(), strict=True))
+        for secret in (False, True):
+            counts[int(secret)] += pair_counts([x for x, y in found if y == secret])
+    yield _rows(counts)
 
 
 def weak_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """run, secret: from about SAMPLE documents.
+    """secret, pair, n: counts of the runs of about SAMPLE documents, a few rows a task.
 
     They are drawn by a hash of each row's id and place, so ids that repeat do not change their number. Null
-    and empty texts give no runs, and an empty table no samples. A long text is one task's, a run at a time.
+    and empty texts give no runs, and an empty table no samples. A long text is one task's.
     """
     share = min(1.0, SAMPLE / max(1, docs.count()))
     chosen = docs.filter(F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return chosen.select(F.col(text_col).alias("text")).mapInArrow(_runs, "run string, secret boolean")
+    return chosen.select(F.col(text_col).alias("text")).mapInArrow(_text_pairs, PAIRS)
 
 
-def _pairs(batches):
-    counts = np.zeros((2, STATES * STATES), np.int64)
-    for batch in batches:
-        for run, secret in zip(batch.column("run").to_pylist(), batch.column("secret").to_pylist(), strict=True):
-            codes = _codes(run)
-            np.add.at(counts[int(secret)], codes[:-1] * STATES + codes[1:], 1)
-    label, pair = np.nonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(label == 1, pa.bool_()), pa.array(pair, pa.int64()), pa.array(counts[label, pair], pa.int64())], ["secret", "pair", "n"])
+def drawn(alphabet: str, seed: int) -> list[str]:
+    letters = np.random.default_rng(seed).choice(list(alphabet), (DRAWN, DRAWN_LENGTH))
+    return ["".join(row) for row in letters.tolist()]
 
 
-def train_markov(samples: DataFrame) -> np.ndarray:
-    """STATES x STATES log-likelihood ratios, random over ordinary, of (run, secret) rows.
+def train_markov(samples: DataFrame, alphabets: dict[str, str] | None = None) -> np.ndarray:
+    """Log-likelihood ratios, each random model over the ordinary one: models x STATES x STATES.
 
-    A pair's count backs off to how frequent its second character is, with BACKOFF
-    counts, and that to equal shares; so without samples all ratios are 0 and
+    samples: (run, secret) rows, or their counts (secret, pair, n); the secret ones train the first model, drawn strings
+    of each alphabet one more. A pair's count backs off to how frequent its second character is, with BACKOFF
+    counts, and that to equal shares; so without samples and alphabets all ratios are 0 and
     nothing is found. Runs hold characters of ALPHABET only.
     """
-    summed = samples.mapInArrow(_pairs, "secret boolean, pair long, n long").groupBy("secret", "pair").agg(F.sum("n").alias("n"))
-    counts = np.zeros((2, STATES, STATES))
-    for r in summed.collect():  # 2 * STATES ** 2 rows at most
-        counts[int(r.secret)].flat[r.pair] += r.n
+    counted = samples.mapInArrow(_run_pairs, PAIRS) if "run" in samples.columns else samples
+    counts = np.zeros((2, STATES * STATES))
+    for r in counted.groupBy("secret", "pair").agg(F.sum("n").alias("n")).collect():  # 2 * STATES ** 2 rows at most
+        counts[int(r.secret), r.pair] += r.n
+    counts = np.stack([*counts, *(pair_counts(drawn(letters, i)) for i, letters in enumerate((alphabets or {}).values()))]).reshape(-1, STATES, STATES)
     single = counts.sum(axis=1, keepdims=True) + 1
     p = np.log((counts + BACKOFF * single / single.sum(axis=2, keepdims=True)) / (counts.sum(axis=2, keepdims=True) + BACKOFF))
-    return p[1] - p[0]
+    return p[1:] - p[0]
 
 
 class Scorer:
     """Whether runs are random, by the ratio of the models; frequent runs are looked up."""
 
     def __init__(self, ratio: np.ndarray):
-        self.ratio, self.known = ratio, {}
+        self.ratio, self.known = ratio.reshape(-1, STATES, STATES), {}
+
+    def total(self, run: str) -> float:
+        """The ratio of the whole run, the random models being equally likely."""
+        codes = _codes(run)
+        return float(np.logaddexp.reduce(self.ratio[:, codes[:-1], codes[1:]].sum(axis=1))) - math.log(len(self.ratio))
 
     def __call__(self, run: str) -> bool:
         found = self.known.get(run)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            codes = _codes(run)
-            total = float(self.ratio[codes[:-1], codes[1:]].sum())
+            total = self.total(run)
             found = self.known[run] = total >= TOTAL and total >= PER_CHARACTER * len(run)
         return found
 
@@ -206,4 +246,4 @@ def redact(text: str, spans: str) -> str:
 
 def op5_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return scan_secrets(docs, train_markov(weak_samples(docs)))
+    return scan_secrets(docs, train_markov(weak_samples(docs), ALPHABETS))
