@@ -43,15 +43,6 @@ def pairs_equal_or_unknown(rows: DataFrame, id_col: str, keys: list[str], value:
     return equal.unionByName(none).unionByName(one)
 
 
-def associated(rows: DataFrame, group: str, member: str, pairs: DataFrame, lift: float) -> DataFrame:
-    """Of pairs (a, b, n shared groups) those that share at least `lift` times the groups that independent members would."""
-    each = rows.select(group, member).distinct()
-    sizes = each.groupBy(member).agg(F.count("*").alias("_n"))
-    total = each.agg(F.countDistinct(group).alias("_total"))
-    joined = pairs.join(sizes.toDF("a", "_na"), "a").join(sizes.toDF("b", "_nb"), "b").crossJoin(F.broadcast(total))  # one row
-    return joined.filter(F.col("n") * F.col("_total") >= lift * F.col("_na") * F.col("_nb")).select("a", "b", "n")
-
-
 def set_similarities(rows: DataFrame, owner: str, element: str) -> DataFrame:
     """a, b, shared, jaccard with a < b: all pairs of owners that share an element, by joins on the elements.
 
@@ -113,17 +104,16 @@ def undirected(edges: DataFrame, a: str = "a", b: str = "b", *carry: str) -> Dat
     return there.unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst"), *carry))
 
 
-def two_hop(edges: DataFrame) -> DataFrame:
-    """src, dst, via, paths: distinct middles of pairs that are not neighbours. edges: src, dst in both directions.
+def two_hop(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """src, dst, via, paths: for each source (id) those two edges away that are no neighbours, with their distinct middles and the least of them.
 
-    Edges are made distinct first, so middles need no distinct count and sum up before the shuffle. Each pair
-    is found once, as src < dst, and then stands both ways; a middle with very many neighbours is split by AQE's skew join.
+    edges: src, dst in both directions. Only what the sources' neighbours reach is paired, so the work grows with the sources and
+    not with the square of every degree; middles need no distinct count, as edges are made distinct first.
     """
     edges = edges.select("src", "dst").distinct()
-    first, second = edges.toDF("mid", "a"), edges.toDF("mid", "b")
-    hops = first.join(second, "mid").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("paths"), F.min("mid").alias("via"))
-    apart = hops.join(edges.toDF("a", "b"), ["a", "b"], "left_anti")
-    return apart.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "paths", "via").select("e.*", "paths", "via")
+    near = edges.join(sources.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    hops = near.toDF("src", "via").join(edges.toDF("via", "dst"), "via").filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("paths"), F.min("via").alias("via"))
+    return hops.join(near, ["src", "dst"], "left_anti").select("src", "dst", "paths", "via")
 
 
 def overlay(facts: DataFrame, overrides: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins, search
 from ..operators.aggregate import daily_outer
 from ..operators.graph import staged
+from ..operators.mentions import mentions
 from .registry import query
 
 
@@ -194,19 +195,18 @@ def full_outer_daily(t):
 
 @query("""WITH w AS (SELECT DISTINCT lang AS name FROM documents) SELECT page_id, name, CAST((length(html) - length(replace(html, '/' || name || '/', ''))) / (length(name) + 2) AS INTEGER) AS hits FROM pages JOIN w ON contains(url, '/' || name || '/')""")
 def name_containment(t):
-    # A few languages: their number does not grow with the data.
-    names = t.documents.select(F.col("lang").alias("name")).distinct()
-    path = F.concat(F.lit("/"), "name", F.lit("/"))
-    hits = (F.length("html") - F.length(F.replace("html", path))) / (F.length("name") + 2)
-    return t.pages.join(F.broadcast(names), F.contains("url", path)).select("page_id", "name", hits.cast("int").alias("hits"))
+    """Languages as a step of a page's URL, and how often that stands in the page; rows and names meet at rare pieces of the names."""
+    names = t.documents.select("lang", F.concat(F.lit("/"), "lang", F.lit("/")).alias("step")).distinct()
+    every = 2**31 - 1
+    at = mentions(t.pages, names, "page_id", "url", "lang", "step", every).drop("hits")
+    found = mentions(t.pages, names, "page_id", "html", "lang", "step", every)
+    return at.join(found, ["page_id", "lang"], "left").select("page_id", F.col("lang").alias("name"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 _PAIRS = """WITH pd AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), t AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM pd a JOIN pd b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
 e AS (SELECT a AS src, b AS dst, n FROM t UNION ALL SELECT b, a, n FROM t) """
-#: A pair is associated if it shares so many times the orders that independence would give.
-LIFT = 0.95
-_ASSOCIATED = f"""WITH pd AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), pp AS (SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS n FROM pd a JOIN pd b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2),
-dc AS (SELECT l_suppkey, count(*) AS deals FROM pd GROUP BY 1), t AS (SELECT a, b, n FROM pp JOIN dc x ON x.l_suppkey = a JOIN dc y ON y.l_suppkey = b WHERE n * (SELECT count(DISTINCT l_orderkey) FROM pd) >= {LIFT} * x.deals * y.deals),
+#: Suppliers that ship the same part on the same day: about as many pairs for each supplier at every size of the tables.
+_SAME_DAY = """WITH pd AS (SELECT DISTINCT l_partkey, CAST(l_shipdate AS DATE) AS d, l_suppkey FROM lineitem), t AS (SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM pd x JOIN pd y ON x.l_partkey = y.l_partkey AND x.d = y.d AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2),
 e AS (SELECT a AS src, b AS dst, n FROM t UNION ALL SELECT b, a, n FROM t) """
 
 
@@ -215,9 +215,10 @@ def supplier_pairs(t):
     return joins.pairs_within(t.lineitem, "l_orderkey", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def associated_pairs(t):
-    """Of supplier_pairs those that share LIFT times the orders that independent suppliers would, at least."""
-    return joins.associated(t.lineitem, "l_orderkey", "l_suppkey", supplier_pairs(t), LIFT)
+def same_day_pairs(t):
+    """a, b, n: pairs of suppliers that ship the same part on the same day, and how often."""
+    days = t.lineitem.select(F.struct("l_partkey", F.col("l_shipdate").cast("date")).alias("day"), "l_suppkey")
+    return joins.pairs_within(days, "day", "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query(_PAIRS + "SELECT src, count(*) AS degree, CAST(sum(n) AS BIGINT) AS weight FROM e GROUP BY 1")
@@ -225,9 +226,10 @@ def neighbours_bidirectional(t):
     return joins.undirected(supplier_pairs(t), "a", "b", "n").groupBy("src").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
 
 
-@query(_ASSOCIATED + """SELECT x.src, y.dst, count(DISTINCT x.dst) AS paths, min(x.dst) AS via FROM e x JOIN e y ON y.src = x.dst WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2""")
+@query(_SAME_DAY + """SELECT x.src, y.dst, count(DISTINCT x.dst) AS paths, min(x.dst) AS via FROM e x JOIN e y ON y.src = x.dst WHERE x.src % 50 = 0 AND x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM e z WHERE z.src = x.src AND z.dst = y.dst) GROUP BY 1, 2""")
 def two_hop_candidates(t):
-    return joins.two_hop(joins.undirected(associated_pairs(t)))
+    """Of every fiftieth supplier."""
+    return joins.two_hop(joins.undirected(same_day_pairs(t)), t.supplier.filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id")))
 
 
 @query("""SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) AS best FROM customer""")

@@ -107,9 +107,9 @@ def test_stems(spark):
 
 def test_edge_signals(spark):
     rows = spark.createDataFrame([("g1", 1, "2000-01-01"), ("g1", 2, "2001-06-01"), ("g2", 1, "1990-01-01"), ("g2", 2, "1991-01-01"), ("g3", 1, "2001-01-01"), ("g3", 3, None)], "g string, m long, seen string").withColumn("seen", F.col("seen").cast("date"))
-    shared = relations.shared_signal(rows, "g", "m", "seen", 10)
-    assert values(shared, "a", "b") == [(1, 2), (1, 3)] and [str(r.seen) for r in shared.orderBy("b").collect()] == ["2001-06-01", "2001-01-01"]
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4)], "a long, b long")
+    shared = relations.shared_signal(edges, rows, "g", "m", "seen", 10)
+    assert values(shared, "a", "b") == [(1, 2), (1, 3)] and [str(r.seen) for r in shared.orderBy("b").collect()] == ["2001-06-01", "2001-01-01"]
     assert values(relations.mutual_signal(edges), "a", "b", "value") == [(1, 2, 1.0), (1, 3, 0.5), (2, 3, 0.5)]
     scored = relations.edge_scores(edges, {"co_investment_5y": shared, "mutual_jaccard": relations.mutual_signal(edges)}, F.lit("2003-01-15").cast("date"))
     assert values(scored, "a", "b", "signals") == [(1, 2, 2), (1, 3, 2), (2, 3, 1)]
