@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,14 +31,15 @@ from .tokens import Memory, slices, tokenizer_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words whose alignment a worker remembers (a generation of its memory), and their characters at most.
-REMEMBERED, SHORT = 100_000, 64
+REMEMBERED, SHORT = 150_000, 64
 #: Bytes of new words that are aligned at a time, but for single longer ones.
 AT_ONCE = 1 << 18
 #: Rows and bytes of a block.
 ROWS, SIZE = 4_096, 2 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: In a text without this, every space is such a one.
-UNEVEN = re.compile(r"\s\s|^ | \Z")
+#: In a text without this, every space is such a one; the characters that \s means in CUT, for Arrow's regular expressions.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\pZ]"
+UNEVEN = f"{WHITE}{WHITE}|^ | $"
 SPACE = "▁"
 
 #: Rows of a block: its documents (k: place), its pairs of ids (k: number; docs: documents of the block that hold it linked), and one with all else.
@@ -76,19 +78,11 @@ def byte_level() -> dict[str, int]:
 
 
 SPACED = "\u0120"  # a space, as byte-level vocabularies write it
-#: A word of letters of one or two bytes which every release of Unicode calls letters, and how byte-level vocabularies write them.
-SIMPLE = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: A word of letters of one or two bytes which every release of Unicode calls letters, perhaps with ASCII marks behind, and how byte-level vocabularies write the letters.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)").fullmatch
 LETTERS = {c: "".join({b: x for x, b in byte_level().items()}[b] for b in chr(c).encode()) for c in range(0xC0, 0x250)}
 
 
-def groups_text(w: np.ndarray, g: np.ndarray, side: np.ndarray, ids: np.ndarray) -> list[bytes]:
-    """a1,a2|b1;a3|b2 for each word, of tokens in this order."""
-    new = np.flatnonzero(np.diff(w, prepend=-1)).tolist()
-    marks = np.where(np.diff(g, prepend=-1) != 0, ";", np.where(np.diff(side, prepend=0) != 0, "|", ",")).tolist()
-    parts = [m + str(i) for m, i in zip(marks, ids.tolist(), strict=True)]
-    return ["".join(parts[p:q])[1:].encode() for p, q in zip(new, [*new[1:], len(parts)], strict=True)]
-
-
 class Aligner:
     """Alignments of words by two tokenizer files: a byte-level one and one of pieces."""
 
@@ -109,16 +103,28 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_starts = np.array([x.startswith(b" ") for x in self.a_bytes])
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.marks = lru_cache(10_000)(lambda marks: self.a.encode(marks, add_special_tokens=False).ids)
+        self.written = {m: [f"{m}{i}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))] for m in ";|,"}
         self.words = Memory(REMEMBERED)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text; of a null or empty one none."""
+        texts = texts.take(pa.array(np.arange(len(texts))))  # compact: if_else misreads what is a slice of another array
+        texts = pc.if_else(pc.equal(texts, ""), pa.scalar(None, pa.string()), texts)
         if not self.by_word:
-            return [text]
-        return CUT.split(text) if UNEVEN.search(text) else text.split(" ")
+            return pa.array([[] if t is None else [t] for t in texts.to_pylist()], pa.list_(pa.string()))
+        uneven = pc.fill_null(pc.match_substring_regex(texts, UNEVEN), False)
+        even = pc.fill_null(pc.split_pattern(pc.if_else(uneven, pa.scalar(None, pa.string()), texts), " "), pa.scalar([], pa.list_(pa.string())))
+        at = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return even
+        order = np.arange(len(texts))
+        order[at] = len(texts) + np.arange(len(at))
+        return pa.concat_arrays([even, pa.array([CUT.split(t) for t in texts.take(pa.array(at)).to_pylist()], pa.list_(pa.string()))]).take(pa.array(order))
 
     def align(self, words: list[str]) -> dict[str, tuple | None]:
-        """For each word, with a space before it: n_a, n_b, n_groups, n_links, groups, pairs, links; None if its tokens do not spell it."""
+        """For each word, with a space before it: its sums (n_a, n_b, n_groups, n_links), groups, pairs and their links, as bytes; None if its tokens do not spell it."""
         found: dict[str, tuple | None] = {}
         first = size = 0
         for k, w in enumerate(words):
@@ -131,26 +137,39 @@ class Aligner:
     def _first_ids(self, words: list[str]) -> list[list[int]]:
         """Ids by the first tokenizer of a space and each word.
 
-        A word of letters is one run for it, so such words need no splitting; a token that starts with the space starts a word.
+        A word of letters is one run for it, and so are marks behind it, so such words need no splitting; a token that starts with the space starts a word.
         """
-        simple = [k for k, w in enumerate(words) if SIMPLE(w)]
+        parts = [SIMPLE(w) for w in words]
+        simple = [k for k, m in enumerate(parts) if m]
         ids: list[list[int]] = [[]] * len(words)
         if simple:
-            flat = np.array(self.letters.encode_batch_fast(["\n".join(SPACED + words[k].translate(LETTERS) for k in simple)], add_special_tokens=False)[0].ids)
+            flat = np.array(self.letters.encode_batch_fast(["\n".join([SPACED + parts[k][1].translate(LETTERS) for k in simple])], add_special_tokens=False)[0].ids)
             starts = np.flatnonzero(self.a_starts[flat]).tolist()
             flat = flat.tolist()
             for k, p, q in zip(simple, starts, [*starts[1:], len(flat)], strict=True):
-                ids[k] = flat[p:q]
-        other = sorted(set(range(len(words))).difference(simple))
+                ids[k] = flat[p:q] + self.marks(parts[k][2]) if parts[k][2] else flat[p:q]
+        other = [k for k, m in enumerate(parts) if not m]
         for k, e in zip(other, self.a.encode_batch_fast([" " + words[k] for k in other], add_special_tokens=False), strict=True):
             ids[k] = e.ids
         return ids
 
+    def _spell(self, raws: list[bytes], *sides: list[list[int]]) -> bool:
+        """Whether the tokens of both sides spell every word."""
+        for ids, of, sizes in zip(sides, (self.a_bytes, self.b_bytes), (self.a_sizes, self.b_sizes), strict=True):
+            flat = list(chain.from_iterable(ids))
+            ends = np.cumsum([len(x) for x in ids])
+            total = np.concatenate(([0], np.cumsum(sizes[np.array(flat, np.int64)])))[np.concatenate(([0], ends))]
+            if np.diff(total).tolist() != [len(r) for r in raws] or b"".join([of[i] for i in flat]) != b"".join(raws):
+                return False
+        return True
+
     def _some(self, words: list[str]) -> dict[str, tuple | None]:
         found: dict[str, tuple | None] = dict.fromkeys(words)
         ids_a, ids_b = self._first_ids(words), self.b.encode(words, num_threads=1)
         raws = [b" " + w.encode() for w in words]
-        spelled = [k for k, raw in enumerate(raws) if b"".join([self.a_bytes[i] for i in ids_a[k]]) == raw == b"".join([self.b_bytes[i] for i in ids_b[k]])]
+        spelled = range(len(words))
+        if not self._spell(raws, ids_a, ids_b):  # all at once; word by word only if some word fails
+            spelled = [k for k in spelled if self._spell(raws[k : k + 1], ids_a[k : k + 1], ids_b[k : k + 1])]
         if not spelled:
             return found
         db = self.db
@@ -162,14 +181,22 @@ class Aligner:
         db.execute(f"CREATE OR REPLACE TEMP TABLE ga AS {GROUPED_A}")
         db.execute(f"CREATE OR REPLACE TEMP TABLE gb AS {GROUPED_B}")
         numbers, linked, written = (db.execute(q).fetchnumpy() for q in (SUMMED, LINKED, WRITTEN))
-        texts = groups_text(*(written[c] for c in ("w", "g", "side", "id")))
+        texts = self._groups_texts(*(written[c] for c in ("w", "g", "side", "id")))
         at = (8 * np.searchsorted(linked["w"], [*spelled, len(words)])).tolist()
         pairs, links = linked["pair"].tobytes(), linked["links"].tobytes()
-        rows = zip(*(numbers[c].tolist() for c in ("w", "n_a", "n_b", "n_groups", "n_links")), strict=True)
-        for (w, *sums), text, p, q in zip(rows, texts, at[:-1], at[1:], strict=True):
-            found[words[w]] = (*sums, text, pairs[p:q], links[p:q])
+        sums = np.stack([numbers[c] for c in ("n_a", "n_b", "n_groups", "n_links")], axis=1).tobytes()
+        for i, (w, text, p, q) in enumerate(zip(numbers["w"].tolist(), texts, at[:-1], at[1:], strict=True)):
+            found[words[w]] = (sums[32 * i : 32 * i + 32], text, pairs[p:q], links[p:q])
         return found
 
+    def _groups_texts(self, w: np.ndarray, g: np.ndarray, side: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """a1,a2|b1;a3|b2 for each word, of tokens in this order."""
+        new = np.flatnonzero(np.diff(w, prepend=-1)).tolist()
+        marks = np.where(np.diff(g, prepend=-1) != 0, 0, np.where(np.diff(side, prepend=0) != 0, 1, 2)).tolist()
+        written = [self.written[m] for m in ";|,"]
+        parts = [written[m][i] for m, i in zip(marks, ids.tolist(), strict=True)]
+        return ["".join(parts[p:q])[1:].encode() for p, q in zip(new, [*new[1:], len(parts)], strict=True)]
+
     def known(self, words: list[str]) -> list[tuple | None]:
         """Alignments of distinct words; short ones are remembered."""
         long = {w for w in words if len(w) > SHORT}
@@ -181,24 +208,25 @@ class Aligner:
         held = self.align(list(long))
         return [held[w] if w in long else self.words.now[w] for w in words]
 
-    def block(self, texts: list[str | None]) -> tuple[list, list[np.ndarray], bytes]:
+    def block(self, texts: pa.Array) -> tuple[list, list[np.ndarray], bytes]:
         """For texts the columns n_a, n_b, n_groups, n_links, groups_sha256; for the block's pairs their codes and documents; and the rest, packed."""
         self.words.turn()
-        cut = [self.cut(t) if t else [] for t in texts]
+        cut = self.cut(texts)
         while True:
-            coded = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+            coded = cut.flatten().dictionary_encode()
             words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            cuts = np.concatenate(([0], np.cumsum([len(x) for x in cut], dtype=np.int64)))
+            cuts = np.asarray(cut.offsets).astype(np.int64)
+            cuts -= cuts[0]
             found = self.known(words)
             bad = np.array([x is None for x in found], bool)[at] if None in found else np.zeros(len(at), bool)
             # A word that its tokens do not spell may still be part of a text that they do: those texts are taken in whole.
-            broken = sorted(set((np.searchsorted(cuts, np.flatnonzero(bad), "right") - 1).tolist()))
+            broken = set((np.searchsorted(cuts, np.flatnonzero(bad), "right") - 1).tolist())
             if not broken:
                 break
-            for k in broken:
-                cut[k] = [texts[k]] if len(cut[k]) > 1 else []
-        sums = np.array([x[:4] for x in found], np.int64).reshape(-1, 4)
-        groups = [x[4] for x in found]
+            lists = cut.to_pylist()
+            cut = pa.array([([texts[k].as_py()] if len(x) > 1 else []) if k in broken else x for k, x in enumerate(lists)], pa.list_(pa.string()))
+        sums = np.frombuffer(b"".join([x[0] for x in found]), np.int64).reshape(-1, 4)
+        groups = [x[1] for x in found]
         total = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(sums[at], axis=0)))
         columns = list((total[cuts[1:]] - total[cuts[:-1]]).T)
         shas, own, times = [], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
@@ -207,14 +235,14 @@ class Aligner:
             some, often = np.unique(at[p:q], return_counts=True)
             own.append(some)
             times.append(often)
-        n_words, n_pairs = [len(x) for x in own[1:]], [len(x[5]) // 8 for x in found]
+        n_words, n_pairs = [len(x) for x in own[1:]], [len(x[2]) // 8 for x in found]
         own, times = np.concatenate(own), np.concatenate(times)
         flat = lambda k: np.frombuffer(b"".join([x[k] for x in found]), np.int64)
-        codes, of = np.unique(flat(5), return_inverse=True)
+        codes, of = np.unique(flat(2), return_inverse=True)
         self.db.register("held", pa.table({"d": np.repeat(np.arange(len(texts), dtype=np.int32), n_words), "w": own}))
         self.db.register("linked", pa.table({"w": np.repeat(np.arange(len(found), dtype=np.int32), n_pairs), "k": of.astype(np.int32)}))
         docs = self.db.execute(COUNTED).fetchnumpy()["docs"]
-        return [*columns, shas], [codes, docs], packed(n_words, own, times, n_pairs, of, flat(6))
+        return [*columns, shas], [codes, docs], packed(n_words, own, times, n_pairs, of, flat(3))
 
 
 def packed(*arrays) -> bytes:
@@ -255,12 +283,20 @@ def _batch(n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[kind]) if c in columns else pa.nulls(n, kinds[kind]) for c, kind in names], [c for c, _ in names])
 
 
+def utf8(values: pa.Array) -> pa.Array:
+    """Binary values as strings; what isn't UTF-8 in them becomes U+FFFD."""
+    try:
+        return values.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([v and v.decode("utf-8", "replace") for v in values.to_pylist()], pa.string())
+
+
 def _blocks(a: str, b: str):
     def run(batches):
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, rows=ROWS, size=SIZE):
-                texts = [t and t.decode("utf-8", "replace") for t in part.column("text").to_pylist()]
+                texts = utf8(part.column("text"))
                 columns, (codes, docs), rest = aligner(a, b).block(texts)
                 n, m = len(texts), len(codes)
                 named = dict(zip(("n_a", "n_b", "n_groups", "n_links", "groups_sha256"), columns, strict=True))

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from public_tokenizers import path
 from sentencepiece import SentencePieceProcessor
@@ -108,6 +109,6 @@ def test_no_documents(make):
 def test_a_long_text_without_spaces(libraries):
     draw = random.Random(2)
     text = "".join(chr(draw.randrange(97, 123)) for _ in range(400_000))
-    columns, (codes, docs), _ = alignment.aligner().block([text, None, "plain words"])
+    columns, (codes, docs), _ = alignment.aligner().block(pa.array([text, None, "plain words"]))
     assert list(zip(*columns[:5], strict=True)) == [(n[0], n[1], n[2], n[3], n[6]) for n in plain(libraries, [text, None, "plain words"])]
     assert len(codes) == len(docs) > 0
