@@ -50,8 +50,3 @@ def discrete_percentile(values: Column, p: float, rule: str) -> Column:
     """
     ordered = F.array_sort(F.collect_list(values))
     return F.get(ordered, RULES[rule](F.size(ordered), F.lit(p)).cast("int"))
-
-
-def share_below(value: Column, sorted_values: Column) -> Column:
-    """The share of the list that is strictly below value."""
-    return ratio(F.size(F.filter(sorted_values, lambda x: x < value)).cast("double"), F.size(sorted_values))

@@ -57,13 +57,6 @@ def funnel(rows: DataFrame, stages: dict[str, Column]) -> DataFrame:
     return counted.select(F.inline(pairs))
 
 
-def mode_first_seen(rows: DataFrame, keys: list[str], value: str, seen: str) -> DataFrame:
-    """Each key's most frequent value; ties go to the one seen first, then the smaller."""
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(seen).alias("first_seen"))
-    best = F.max_by(value, F.struct("n", (-F.unix_micros(F.col("first_seen").cast("timestamp"))).alias("early")))
-    return counted.groupBy(*keys).agg(best.alias(value), F.max("n").alias("n"))
-
-
 def daily_outer(left: DataFrame, right: DataFrame, key: str, **defaults) -> DataFrame:
     """Two series side by side, with defaults where one has no row."""
     joined = left.join(right, key, "full")

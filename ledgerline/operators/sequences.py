@@ -85,6 +85,26 @@ def suppress_repeats(rows: DataFrame, keys: list[str], at: str, tie: str, second
     return rows.withColumn("emitted", since.isNull() | (since >= seconds))
 
 
+def circuit(at: list[int], failed: list[bool], recent: list[int], until: int | None, threshold: int, window: int, open_for: int) -> tuple[list[str], list[int], int | None]:
+    """States of a key's next rows, and its recent failures and end of rest after them; times are microseconds.
+
+    The breaker of batches and that of streams both go through this.
+    """
+    states = []
+    for now, bad in zip(at, failed, strict=True):
+        if until is not None and now < until:
+            states.append("open")
+            continue
+        states.append("closed")
+        if not bad:
+            recent = []
+            continue
+        recent = [x for x in recent if now - x <= window] + [now]
+        if len(recent) >= threshold:
+            until, recent = now + open_for, []
+    return states, recent, until
+
+
 def breaker(rows: DataFrame, keys: list[str], at: str, tie: str, failed: str, threshold: int, window: float, open_for: float) -> DataFrame:
     """rows with state: closed, or open while a circuit that failed `threshold` times within `window` seconds rests.
 
@@ -92,25 +112,20 @@ def breaker(rows: DataFrame, keys: list[str], at: str, tie: str, failed: str, th
     key's rows go in order through one loop that holds only the recent failures.
     """
     fields = [*keys, at, tie, failed]
+    size, rest = int(window * 1e6), int(open_for * 1e6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent, until = None, [], None
         for batch in batches:
+            names = list(zip(*(batch[k] for k in keys), strict=True))
+            times, bad = batch[at].astype("datetime64[us]").astype("int64").tolist(), batch[failed].tolist()
+            starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]]
             states = []
-            for row in batch.itertuples(index=False):
-                key, now = tuple(row[: len(keys)]), row[len(keys)]
-                if key != current:
-                    current, recent, until = key, [], None
-                if until is not None and now < until:
-                    states.append("open")
-                    continue
-                states.append("closed")
-                if row[-1]:
-                    recent = [x for x in recent if (now - x).total_seconds() <= window] + [now]
-                    if len(recent) >= threshold:
-                        until, recent = now + pd.Timedelta(seconds=open_for), []
-                else:
-                    recent = []
+            for p, q in zip(starts, [*starts[1:], len(names)], strict=True):
+                if names[p] != current:
+                    current, recent, until = names[p], [], None
+                found, recent, until = circuit(times[p:q], bad[p:q], recent, until, threshold, size, rest)
+                states += found
             yield batch.assign(state=states)
 
     narrow = rows.select(*fields)

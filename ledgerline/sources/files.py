@@ -163,14 +163,8 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
     return old.unionByName(first.alias("n").join(old.select(*keys).alias("o"), same_keys("n", "o", keys), "left_anti").select(*old.columns))
 
 
-class TableFolder:
-    """A Parquet table that is replaced as a whole: at every moment its old or its new rows are whole on disk.
-
-    The new rows are written beside it; then the old folder is set aside, the new one takes its
-    place, and the old one goes. A crash between the moves leaves no table but one set aside,
-    which `recover` puts back. Moves of a folder are atomic on HDFS and local disks; on an object store
-    they are not, and a table format should be used there.
-    """
+class Folder:
+    """A folder of any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.path = path.rstrip("/")
@@ -180,6 +174,16 @@ class TableFolder:
     def exists(self) -> bool:
         return self._fs.exists(self._path(self.path))
 
+
+class TableFolder(Folder):
+    """A Parquet table that is replaced as a whole: at every moment its old or its new rows are whole on disk.
+
+    The new rows are written beside it; then the old folder is set aside, the new one takes its
+    place, and the old one goes. A crash between the moves leaves no table but one set aside,
+    which `recover` puts back. Moves of a folder are atomic on HDFS and local disks; on an object store
+    they are not, and a table format should be used there.
+    """
+
     def move(self, source: str, target: str) -> None:
         if not self._fs.rename(self._path(source), self._path(target)):
             raise OSError(f"could not move {source} to {target}")
@@ -209,6 +213,32 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]
     folder.replace(merged(scan_or_empty(spark, path, new.schema), new, keys, how, order))
 
 
+#: Beginning of the name of a table's layout column, which ends in how many parts there are.
+PART_OF = "part_of_"
+
+
+def upsert_parts(spark: SparkSession, path: str, new: DataFrame, keys: list[str], how: dict[str, str] | None = None, order: list[str] | None = None, parts: int = 64) -> None:
+    """merged() into the table at path, reading and rewriting only the parts that new rows fall into.
+
+    The table is laid out by a hash of the keys in so many parts when it is made; later calls keep its number. The parts of a batch are replaced
+    together when its job commits, so a job that fails changes nothing, and writing a batch again gives the same rows.
+    """
+    folder = Folder(spark, path)
+    old = spark.read.parquet(path) if folder.exists() else None
+    column = next((c for c in old.columns if c.startswith(PART_OF)), None) if old is not None else f"{PART_OF}{parts}"
+    if column is None:
+        raise ValueError(f"{path} is not laid out in parts")
+    part = F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(int(column.removeprefix(PART_OF)))).cast("int")
+    placed = new.withColumn(column, part)
+    if old is not None:
+        touched = [r[0] for r in placed.select(column).distinct().collect()]  # a row a part at most
+        before = old.filter(F.col(column).isin(touched)).select(*new.columns)
+        placed = merged(before, new, keys, how, order).withColumn(column, part)
+    else:
+        placed = one_row_per_key(new, keys, how, order).withColumn(column, part)
+    placed.repartition(F.col(column)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
 def rebuild_table(spark: SparkSession, path: str, derived: DataFrame, scope: list[str], touched: DataFrame | None = None) -> None:
     """Derived rows anew: those of the touched scopes (by default, of derived's) go, and derived's come; doing so again changes nothing.
 
@@ -223,13 +253,18 @@ def rebuild_table(spark: SparkSession, path: str, derived: DataFrame, scope: lis
 
 
 def feed_items(pages: DataFrame, xml: str) -> DataFrame:
-    """The other columns of pages with title, link and published of each item of an RSS document."""
-    items = F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))
-    inner = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("item", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
+    """The other columns of pages with title, link, guid, published and description of each item of an RSS document or entry of an Atom one."""
+    items = F.regexp_extract_all(xml, F.lit(r"(?is)<(item|entry)\b[^>]*>(.*?)</\1\s*>"), F.lit(2))
     rows = pages.select(*(c for c in pages.columns if c != xml), F.explode(items).alias("item"))
-    return rows.select("*", inner("title").alias("title"), inner("link").alias("link"), inner("pubDate").alias("published")).drop("item")
-
 
-def union_sources(*parts: DataFrame) -> DataFrame:
-    """Rows of all parts by column name; a column that a part lacks is null there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    def inner(*tags: str) -> Column:
+        """The text of the first of these elements that is there."""
+        texts = (F.regexp_extract("item", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1) for tag in tags)
+        return F.coalesce(*(F.nullif(F.trim(F.regexp_replace(x, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")), F.lit("")) for x in texts))
+
+    # An Atom link is an attribute; the one to the entry itself is 'alternate', or says nothing of its kind.
+    links = F.regexp_extract_all("item", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
+    own = F.filter(links, lambda x: x.rlike(r"(?i)\bhref\s*=") & (~x.rlike(r"(?i)\brel\s*=") | x.rlike(r"""(?i)\brel\s*=\s*["']alternate["']""")))
+    href = F.nullif(F.regexp_extract(F.get(own, 0), r"""(?is)\bhref\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    or_empty = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select("*", or_empty(inner("title")).alias("title"), or_empty(F.coalesce(inner("link"), href)).alias("link"), inner("guid", "id").alias("guid"), or_empty(inner("pubDate", "published", "updated", "dc:date")).alias("published"), inner("description", "summary", "content").alias("description")).drop("item")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.files import upsert_table
+from ..operators.sequences import circuit
+from ..sources.files import upsert_parts, upsert_table
 
 
 def event_time(rows: DataFrame, at: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -84,8 +85,13 @@ def incidents(rows: DataFrame, key: str, bad: str, clean_to_close: int, at: str
     return rows.select(key, tie, at, bad).groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, {at} timestamp, change string", "is_open boolean, clean int", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, how: dict[str, str] | None = None, order: list[str] | None = None) -> StreamingQuery:
-    """Writes each micro-batch over the table at path by key: a repeated batch changes nothing."""
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, how: dict[str, str] | None = None, order: list[str] | None = None, parts: int | None = None) -> StreamingQuery:
+    """Writes each micro-batch over the table at path by key: a repeated batch changes nothing.
+
+    With parts the table is laid out in so many parts by key, and a batch rewrites only those that it touches.
+    """
+    if parts:
+        return for_each_batch(rows, lambda batch: upsert_parts(batch.sparkSession, path, batch, keys, how, order, parts), checkpoint)
     return for_each_batch(rows, lambda batch: upsert_table(batch.sparkSession, path, batch, keys, how, order), checkpoint)
 
 
