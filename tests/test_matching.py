@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import closure, edits, intervals, mentions
+from ledgerline.operators import closure, edits, intervals, mentions, textindex
 
 
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
@@ -98,3 +98,13 @@ def test_a_frequent_key_is_spread_over_time(spark):
     rows = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") * 10).alias("f"), (F.col("id") * 10 + 1).alias("t"))
     other = rows.toDF("g", "j", "p", "q")
     assert intervals.overlaps(rows, other, ["g"], ("f", "t"), ("p", "q")).count() == 1000
+
+
+def test_search_edges(spark):
+    rows = spark.createDataFrame([(1, "Acme Capital", "New York"), (2, "acme", None), (3, None, "acme of acme"), (4, "The Zürich-Fund (II)", "x"), (5, "", "")], "id long, title string, subtitle string")
+    index = textindex.build_index(rows, "id", "title", "subtitle")
+    queries = spark.createDataFrame([(1, "ACME"), (2, "zü fund"), (3, "  "), (4, None), (5, "a% c_"), (6, "nothing here"), (7, "of of")], "q long, phrase string")
+    found = {}
+    for r in textindex.search(index, queries, "q", "phrase", 5).orderBy("q", "place").collect():
+        found.setdefault(r.q, []).append((r.id, r.score))
+    assert found == {1: [(2, 500 + 120 + 40 + 50), (1, 400 + 120 + 40 + 50), (3, 15)], 2: [(4, 120 + 80 + 50)], 5: [(1, 120 + 80 + 50), (2, 80 + 50), (3, 30)], 7: [(3, 30)]}
