@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[app]
 
 
-def stage(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
-    """Writes df once as a Parquet table in the shared folder and reads it back.
+def stage(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Writes df once as a Parquet table in the shared folder, laid out by the columns of `by`, and reads it back.
 
     Cuts lineage in a way that survives lost executors: tasks that fail later
     reread the table instead of recomputing what led to it.
     """
     spark = df.sparkSession
     path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -109,17 +109,16 @@ class LiveDigests:
 
     def insert(self, content: bytes, doc_id, n: int) -> bool:
         """True if the content was not live. A live one gains n copies and the smaller id."""
-        home = self._home(content)
-        if content in self.filter:
+        if content in self.filter:  # a miss needs no look at what is stored
             self.hits += 1
-            stored = home.get(content)
+            stored = self._home(content).get(content)
             if stored is not None:
                 if doc_id is not None and (stored[0] is None or doc_id < stored[0]):
                     stored[0] = doc_id
                 stored[1] += n
                 return False
             self.false_hits += 1
-        home[content] = [doc_id, n]
+        self._home(content)[content] = [doc_id, n]
         self.size += 1
         if not self.filter.insert(content):
             self._grow()

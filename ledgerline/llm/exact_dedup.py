@@ -1,14 +1,15 @@
 """Exact duplicates through an index of live contents kept by cuckoo filters.
 
-The index is a table bucketed by digest: one row for each bucket's filter and
+The index is a table laid out by bucket of the digest: one row for each bucket's filter and
 one for each live content (its digest, length and second hash, its smallest
 document id and number of copies). A batch of insertions and deletions is a shuffle
 of narrow rows to the buckets, where each task streams over its bucket: a miss in
 the filter is new content, a hit is verified against the bucket's contents, an
-overflow rebuilds a larger filter from the stored keys. Buckets that a batch does
-not touch are neither read by a task of it nor written again. Copies within an input partition
+overflow rebuilds a larger filter from the stored keys. The index knows which table holds each bucket's
+rows, so a batch reads the files of the buckets that it touches, and writes only those anew. Copies within an input partition
 are combined before the shuffle, so a text that makes up a third of all rows sends
-one row per input partition. The number of buckets follows the number of rows.
+one row per input partition. The number of buckets follows the number of rows that are expected, and when
+a bucket outgrows its task later, every bucket is split in two from the stored keys.
 """
 
 from __future__ import annotations
@@ -17,14 +18,14 @@ import math
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, fresh, stage, table, text_or_empty
 
 #: Live contents a bucket is meant to hold: some 30 MB in a task.
 BUCKET_ROWS = 100_000
-#: Changes after which the index is written as one table again.
+#: Tables over which the buckets may be spread before they are written as one again.
 COMPACT = 8
 INDEX = "bucket int, filter binary, digest binary, keep_id long, group_size long"
 _FILTER, _STORED, _DELETE, _INSERT = 0, 1, 2, 3
@@ -82,42 +83,74 @@ def _apply(batches):
 
 
 class DigestIndex:
-    """A table of live contents. Each change gives a new one; earlier ones stay readable."""
+    """A table of live contents. Each change gives a new one; earlier ones stay readable.
 
-    def __init__(self, rows: DataFrame, buckets: int, changes: int = 0):
-        self.rows, self.buckets, self.changes = rows, buckets, changes
+    parts: tables laid out by bucket, and the buckets whose current rows are in each.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int, parts: tuple[tuple[DataFrame, frozenset[int]], ...] = ()):
+        self.spark, self.buckets, self.parts = spark, buckets, parts
 
     @staticmethod
-    def empty(spark, rows_expected: int) -> DigestIndex:
-        return DigestIndex(spark.createDataFrame([], INDEX), max(1, math.ceil(rows_expected / BUCKET_ROWS)))
+    def empty(spark: SparkSession, rows_expected: int) -> DigestIndex:
+        return DigestIndex(spark, max(1, math.ceil(rows_expected / BUCKET_ROWS)))
+
+    def _of(self, wanted: frozenset[int] | None = None) -> DataFrame:
+        """Rows of the wanted buckets, or of all; the files of others are not read."""
+        here = [(t, b if wanted is None else b & wanted) for t, b in self.parts]
+        found = [t.filter(F.col("bucket").isin(sorted(b))) for t, b in here if b]
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        return reduce(DataFrame.unionByName, found).select(*names) if found else self.spark.createDataFrame([], INDEX)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._of()
 
     def _bucket(self) -> Column:
         return F.pmod(F.conv(F.substring(F.hex("digest"), 41, 12), 16, 10).cast("long"), F.lit(self.buckets)).cast("int")
 
+    def _deal(self, rows: DataFrame) -> DataFrame:
+        """A table of what the rows (bucket, kind, digest, doc_id, n, filter) make of their buckets."""
+        dealt = rows.repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "digest", "doc_id")
+        return stage(dealt.mapInArrow(_apply, INDEX), "digest-index", by=("bucket",))
+
     def change(self, insert: DataFrame | None = None, delete: DataFrame | None = None) -> DigestIndex:
         """insert: (doc_id, digest); delete: (digest), as content_key gives them. Deletions come first; absent ones do nothing."""
-        none, parts = F.lit(None).cast("binary").alias("filter"), []
+        none, changes = F.lit(None).cast("binary").alias("filter"), []
         if delete is not None:
-            parts.append(delete.select("digest").distinct().select(self._bucket().alias("bucket"), F.lit(_DELETE).alias("kind"), "digest", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), none))
+            changes.append(delete.select("digest").distinct().select(self._bucket().alias("bucket"), F.lit(_DELETE).alias("kind"), "digest", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), none))
         if insert is not None:
             # Copies meet first within an input partition; the filter joins those of different ones.
             near = insert.withColumn("part", F.spark_partition_id()).groupBy("digest", "part").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-            parts.append(near.select(self._bucket().alias("bucket"), F.lit(_INSERT).alias("kind"), "digest", "doc_id", "n", none))
-        if not parts:
+            changes.append(near.select(self._bucket().alias("bucket"), F.lit(_INSERT).alias("kind"), "digest", "doc_id", "n", none))
+        if not changes:
             return self
-        new, old, kept = reduce(DataFrame.unionByName, parts), self.rows, None
-        if self.changes:
+        new, touched = reduce(DataFrame.unionByName, changes), frozenset(range(self.buckets))
+        if self.parts:
             new = stage(new, "digest-changes")
-            touched = new.select("bucket").distinct()  # one row for each bucket at most
-            old, kept = self.rows.join(touched, "bucket", "left_semi"), self.rows.join(touched, "bucket", "left_anti")
-        stored = old.select("bucket", F.when(F.col("digest").isNull(), _FILTER).otherwise(_STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"), "filter")
-        dealt = stored.unionByName(new).repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind", "digest", "doc_id")
-        rows = stage(dealt.mapInArrow(_apply, INDEX), "digest-index")
-        if kept is not None:
-            rows = kept.select(*rows.columns).unionByName(rows)
-        if (self.changes + 1) % COMPACT == 0:
-            rows = stage(rows, "digest-index")
-        return DigestIndex(rows, self.buckets, self.changes + 1)
+            touched = frozenset(r.bucket for r in new.select("bucket").distinct().collect())  # one row for each bucket at most
+            if not touched:
+                return self
+        stored = self._of(touched).select("bucket", F.when(F.col("digest").isNull(), _FILTER).otherwise(_STORED).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"), "filter")
+        table = self._deal(stored.unionByName(new) if self.parts else new)
+        parts = (*((t, b - touched) for t, b in self.parts if b - touched), (table, touched))
+        changed = DigestIndex(self.spark, self.buckets, parts)
+        if self.parts:  # the first batch's rows are those that the number of buckets was made for
+            fullest = table.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+            while fullest > 2 * BUCKET_ROWS:
+                changed, fullest = changed.split(), fullest / 2
+        return changed.compacted() if len(changed.parts) > COMPACT else changed
+
+    def split(self) -> DigestIndex:
+        """Twice as many buckets: each one's contents fall into two, whose filters are made anew from the stored keys."""
+        twice = DigestIndex(self.spark, 2 * self.buckets)
+        kept = self.rows.filter("digest is not null").select(twice._bucket().alias("bucket"), F.lit(_INSERT).alias("kind"), "digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"), F.lit(None).cast("binary").alias("filter"))
+        return DigestIndex(self.spark, twice.buckets, ((twice._deal(kept), frozenset(range(twice.buckets))),))
+
+    def compacted(self) -> DigestIndex:
+        """All buckets in one table."""
+        table = stage(self.rows.repartitionById(self.buckets, F.col("bucket")), "digest-index", by=("bucket",))
+        return DigestIndex(self.spark, self.buckets, ((table, frozenset(range(self.buckets))),))
 
     def live(self) -> DataFrame:
         """digest, keep_id, group_size."""
