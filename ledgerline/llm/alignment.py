@@ -31,9 +31,9 @@ from .tokens import Memory, slices, tokenizer_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words whose alignment a worker remembers (a generation of its memory), and their characters at most.
-REMEMBERED, SHORT = 150_000, 64
+REMEMBERED, SHORT = 100_000, 64
 #: Bytes of new words that are aligned at a time, but for single longer ones.
-AT_ONCE = 1 << 18
+AT_ONCE = 1 << 17
 #: Rows and bytes of a block.
 ROWS, SIZE = 4_096, 2 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -124,7 +124,7 @@ class Aligner:
         return pa.concat_arrays([even, pa.array([CUT.split(t) for t in texts.take(pa.array(at)).to_pylist()], pa.list_(pa.string()))]).take(pa.array(order))
 
     def align(self, words: list[str]) -> dict[str, tuple | None]:
-        """For each word, with a space before it: its sums (n_a, n_b, n_groups, n_links), groups, pairs and their links, as bytes; None if its tokens do not spell it."""
+        """For each word, with a space before it: its sums (n_a, n_b, n_groups, n_links), groups, and pairs with their links, as bytes; None if its tokens do not spell it."""
         found: dict[str, tuple | None] = {}
         first = size = 0
         for k, w in enumerate(words):
@@ -182,11 +182,13 @@ class Aligner:
         db.execute(f"CREATE OR REPLACE TEMP TABLE gb AS {GROUPED_B}")
         numbers, linked, written = (db.execute(q).fetchnumpy() for q in (SUMMED, LINKED, WRITTEN))
         texts = self._groups_texts(*(written[c] for c in ("w", "g", "side", "id")))
-        at = (8 * np.searchsorted(linked["w"], [*spelled, len(words)])).tolist()
-        pairs, links = linked["pair"].tobytes(), linked["links"].tobytes()
+        at = (16 * np.searchsorted(linked["w"], [*spelled, len(words)])).tolist()
+        pairs = np.stack([linked["pair"], linked["links"]], axis=1).tobytes()
         sums = np.stack([numbers[c] for c in ("n_a", "n_b", "n_groups", "n_links")], axis=1).tobytes()
         for i, (w, text, p, q) in enumerate(zip(numbers["w"].tolist(), texts, at[:-1], at[1:], strict=True)):
-            found[words[w]] = (sums[32 * i : 32 * i + 32], text, pairs[p:q], links[p:q])
+            found[words[w]] = (sums[32 * i : 32 * i + 32], text, pairs[p:q])
+        for name in ("spans", "ga", "gb"):
+            db.execute(f"DROP TABLE {name}")
         return found
 
     def _groups_texts(self, w: np.ndarray, g: np.ndarray, side: np.ndarray, ids: np.ndarray) -> list[bytes]:
@@ -235,14 +237,14 @@ class Aligner:
             some, often = np.unique(at[p:q], return_counts=True)
             own.append(some)
             times.append(often)
-        n_words, n_pairs = [len(x) for x in own[1:]], [len(x[2]) // 8 for x in found]
+        n_words, n_pairs = [len(x) for x in own[1:]], [len(x[2]) // 16 for x in found]
         own, times = np.concatenate(own), np.concatenate(times)
-        flat = lambda k: np.frombuffer(b"".join([x[k] for x in found]), np.int64)
-        codes, of = np.unique(flat(2), return_inverse=True)
+        pairs, links = np.frombuffer(b"".join([x[2] for x in found]), np.int64).reshape(-1, 2).T
+        codes, of = np.unique(pairs, return_inverse=True)
         self.db.register("held", pa.table({"d": np.repeat(np.arange(len(texts), dtype=np.int32), n_words), "w": own}))
         self.db.register("linked", pa.table({"w": np.repeat(np.arange(len(found), dtype=np.int32), n_pairs), "k": of.astype(np.int32)}))
         docs = self.db.execute(COUNTED).fetchnumpy()["docs"]
-        return [*columns, shas], [codes, docs], packed(n_words, own, times, n_pairs, of, flat(3))
+        return [*columns, shas], [codes, docs], packed(n_words, own, times, n_pairs, of, links)
 
 
 def packed(*arrays) -> bytes:
@@ -304,6 +306,7 @@ def _blocks(a: str, b: str):
                 yield _batch(m, block=np.full(m, block), k=np.arange(m), a=codes >> 32, b=codes & 0xFFFFFFFF, docs=docs)
                 yield _batch(1, block=[block], rest=[rest])
                 block += 1
+                pa.default_memory_pool().release_unused()
 
     return run
 
