@@ -69,16 +69,21 @@ def fnv_bucket(t):
     return t.customer.select("c_custkey", F.pmod(tx.fnv1a(F.col("c_name")), F.lit(100)).alias("bucket"))
 
 
-@query("""SELECT * FROM (VALUES ('€1.2bn', 1200000000.0), ('500k USD', 500000.0), ('1.234,56', 1234.56), ('1,234,567', 1234567.0), ('N/A', NULL), ('$3.5m', 3500000.0), ('12', 12.0)) AS v(raw, usd)""")
+@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN round(o_totalprice) WHEN 1 THEN round(o_totalprice) * 1000 WHEN 2 THEN round(o_totalprice) WHEN 3 THEN (round(o_totalprice) + 0.5) * 1000000 END AS DOUBLE) AS usd FROM orders""")
 def money_parse(t):
-    raw = t.spark.sql("SELECT explode(array('€1.2bn', '500k USD', '1.234,56', '1,234,567', 'N/A', '$3.5m', '12')) AS raw")
-    return raw.select("raw", tx.money(F.col("raw")).alias("usd"))
+    """Orders' prices as people write them: with signs, units, thousands marks, or not at all."""
+    whole = F.round("o_totalprice").cast("long")
+    text, turn = whole.cast("string"), F.col("o_orderkey") % 5
+    raw = F.when(turn == 0, F.concat(F.lit("€"), text)).when(turn == 1, F.concat(text, F.lit("k USD"))).when(turn == 2, F.format_number(whole, 0)).when(turn == 3, F.concat(F.lit("$"), text, F.lit(".5m"))).otherwise("N/A")
+    return t.orders.select("o_orderkey", tx.money(raw).alias("usd"))
 
 
-@query("SELECT * FROM (VALUES ('Yes', true), ('n', false), ('1', true), ('maybe', NULL), (' X ', true)) AS v(raw, parsed)")
+@query("SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN true WHEN '2' THEN false WHEN '3' THEN true WHEN '5' THEN true END AS parsed FROM orders")
 def bool_parse(t):
-    raw = t.spark.sql("SELECT explode(array('Yes', 'n', '1', 'maybe', ' X ')) AS raw")
-    return raw.select("raw", tx.parse_bool(F.col("raw")).alias("parsed"))
+    """Orders' priorities in words for yes and no."""
+    first = F.left("o_orderpriority", F.lit(1))
+    raw = F.when(first == "1", "Yes").when(first == "2", "n").when(first == "3", "1").when(first == "5", " X ").otherwise("maybe")
+    return t.orders.select("o_orderkey", tx.parse_bool(raw).alias("parsed"))
 
 
 @query(r"""WITH m AS (SELECT event_id, 'failed at ''' || event_type || ''' id ' || sha256(CAST(event_id AS VARCHAR)) || ' after ' || CAST(1000 + event_id % 50 AS VARCHAR) || ' ms ' || user_id % 3 AS msg FROM events WHERE event_type = 'error'),
