@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import filings
+from ..sources import filings, layouts
 from .registry import query
 
 
@@ -81,3 +81,16 @@ def filing_trades(t):
     html = _tag("ownershipDocument", F.concat(_tag("reportingOwner", F.concat(_tag("reportingOwnerId", _tag("rptOwnerCik", F.col("l_orderkey"))), relation)), _tag("nonDerivativeTable", F.col("body"))))
     parsed = _parsed(forms, "form_4", "l_orderkey", html)
     return parsed.select("l_orderkey", "owner_cik", "is_director", "is_other", F.explode("trades").alias("x")).select("l_orderkey", "owner_cik", "is_director", "is_other", F.col("x.traded").cast("timestamp").alias("traded"), "x.code", "x.shares", "x.price")
+
+
+@query("""SELECT l_orderkey, '1998-12-01' AS as_of, l_linenumber AS number, 'Fund ' || l_suppkey || ' of ' || l_returnflag AS fund, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * floor(l_quantity) * 1000 AS committed, l_partkey * 1000.0 AS value FROM lineitem""")
+def disclosure_tables(t):
+    """Text tables of fixed layout, one of each order, whose columns are found."""
+    quantity = F.format_number(F.floor("l_quantity"), 0)
+    signed = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("("), quantity, F.lit(")"))).otherwise(quantity)
+    fund = F.concat(F.lit("Fund "), F.col("l_suppkey").cast("string"), F.lit(" of "), F.col("l_returnflag"))
+    row = F.concat(F.rpad(F.col("l_linenumber").cast("string"), 5, " "), F.rpad(fund, 30, " "), F.lpad(signed, 14, " "), F.lpad(F.concat(F.lit("$"), F.format_number("l_partkey", 0)), 16, " "), F.lit("\n"))
+    bodies = _joined(t.lineitem, "l_orderkey", "l_linenumber", row)
+    head = f"Quarterly report\nAs of 1998-12-01  (in thousands)\n\n{'No':5}{'Fund Name':30}{'Committed':>14}{'Market Value':>16}\n"
+    found = layouts.find_tables(bodies.select("l_orderkey", F.concat(F.lit(head), F.col("body"), F.lit("\nEnd of table\n")).alias("text")), "l_orderkey", "text")
+    return found.select("l_orderkey", "as_of", layouts.cell("no").cast("int").alias("number"), layouts.cell("fund_name").alias("fund"), layouts.amount("committed").alias("committed"), layouts.amount("market_value").alias("value"))

@@ -101,3 +101,29 @@ def test_headers(spark):
     html = "<pre><p>Accession Number: 0000012345-24-000001</p><p>Central Index Key: 12345</p><p>Filed as of date: 20240131</p><p>Conformed period of report: 20231231</p></pre>"
     (r,) = filings.headers(spark.createDataFrame([(1, html)], "id int, html string")).collect()
     assert tuple(r) == (1, "0000012345-24-000001", "0000012345", datetime.date(2024, 1, 31), datetime.date(2023, 12, 31))
+
+
+def test_tables_in_plain_texts(spark):
+    from ledgerline.sources import layouts
+
+    text = """ANNUAL REPORT
+As of June 30, 2024  ($ in millions)
+
+Name                 Vintage      Value
+Alpha  One LP           2001      1,200
+Beta                              (30.5)
+Gamma Fund of Funds     2010          7
+
+just a line of prose
+  and another   one
+
+A1\t10   20
+B2\t30   40
+"""
+    found = layouts.find_tables(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "no  table")], "id int, text string"), "id", "text").orderBy("line").collect()
+    assert [(r.as_of, r.unit, r.names, r.cells) for r in found[:3]] == [
+        ("June 30, 2024", 1_000_000, ["name", "vintage", "value"], ["Alpha  One LP", "2001", "1,200"]), ("June 30, 2024", 1_000_000, ["name", "vintage", "value"], ["Beta", "", "(30.5)"]), ("June 30, 2024", 1_000_000, ["name", "vintage", "value"], ["Gamma Fund of Funds", "2010", "7"]),
+    ]
+    assert [(r.names, r.cells) for r in found[3:]] == [(["col_1", "col_2", "col_3"], ["A1", "10", "20"]), (["col_1", "col_2", "col_3"], ["B2", "30", "40"])]
+    values = layouts.find_tables(spark.createDataFrame([(1, text)], "id int, text string"), "id", "text").select(layouts.amount("value").alias("v"), layouts.cell("nothing").alias("n")).collect()
+    assert sorted(r.v for r in values if r.v is not None) == [-30.5e6, 7e6, 1.2e9] and all(r.n is None for r in values)
