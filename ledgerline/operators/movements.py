@@ -48,3 +48,25 @@ def movements(members: DataFrame, snapshots: DataFrame, firm: str, at: str, memb
     rises = F.coalesce(title_rank(F.col("_title")) > title_rank(F.col("_was")), F.lit(False))
     other = seen.filter(compared & stayed & ~F.col("_was").eqNullSafe(F.col("_title"))).select(firm, member, F.when(rises, "promoted").otherwise("title_change").alias("movement"), at, F.col("_was").alias("from_title"), F.col("_title").alias("to_title"))
     return joined.unionByName(left).unionByName(other)
+
+
+# Titles of partners.
+PARTNERS = ("partner", "gp", "general partner", "managing director", "managing partner")
+
+
+def carry_breadth(members: DataFrame, snapshots: DataFrame, filings: DataFrame, firm: str, at: str, title: str, filed: str, eligible: str) -> DataFrame:
+    """firm, breadth, partner_count, eligible: how widely a firm shares its profits, by its last snapshot and its last filing.
+
+    broad: as many are eligible as there are partners, or more; concentrated: fewer than half of them, rounded up; else, without partners, or with either number
+    unknown: unknown. The last snapshot counts even if it is empty, and of the last filing the number even if it is null; several filings of one day: the least number.
+    """
+    last = snapshots.groupBy(firm).agg(F.max(at).alias(at))
+    partner = F.coalesce(F.col(title).rlike(r"(?i)\b(" + "|".join(PARTNERS) + r")\b"), F.lit(False))
+    counted = members.join(last, [firm, at]).groupBy(firm).agg(F.sum(partner.cast("long")).alias("partner_count"))
+    partners = last.select(firm).join(counted, firm, "left").withColumn("partner_count", F.coalesce("partner_count", F.lit(0)))
+    filed_last = filings.groupBy(firm).agg(F.max_by(F.struct(eligible), F.struct(F.col(filed), -F.col(eligible)))[eligible].alias("eligible"))
+    both = partners.join(filed_last, firm, "full")
+    n, e = F.col("partner_count"), F.col("eligible")
+    known = (n > 0) & e.isNotNull()
+    breadth = F.when(known & (e >= n), "broad").when(known & (e < F.ceil(n / 2)), "concentrated").otherwise("unknown")
+    return both.select(firm, breadth.alias("breadth"), "partner_count", "eligible")

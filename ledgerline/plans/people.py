@@ -63,3 +63,14 @@ def team_movements(t):
     o = t.orders.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("at"), (F.col("o_custkey") % 40).alias("firm"), F.col("o_custkey").alias("member"), "o_orderpriority")
     held = o.filter((F.col("at") + F.col("firm")) % 9 != 0).groupBy("firm", "at", "member").agg(F.expr(_TITLE).alias("title"))
     return moves.movements(held, o.select("firm", "at"), "firm", "at", "member", "title").withColumnRenamed("at", "period")
+
+
+@query(f"""WITH o AS (SELECT *, year(o_orderdate) * 4 + quarter(o_orderdate) AS period, o_custkey % 60 AS firm FROM orders), m AS (SELECT firm, period, o_custkey AS member, {_TITLE} AS title FROM o GROUP BY 1, 2, 3), l AS (SELECT firm, max(period) AS period FROM m GROUP BY 1),
+p AS (SELECT l.firm, count(*) FILTER (regexp_matches(title, '(?i)\\bpartner\\b')) AS partner_count FROM l JOIN m ON m.firm = l.firm AND m.period = l.period GROUP BY 1), f AS (SELECT s_suppkey % 70 AS firm, s_suppkey AS filed, CASE WHEN s_suppkey % 7 > 0 THEN s_suppkey % 8 END AS eligible FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 70 ORDER BY s_suppkey DESC) = 1)
+SELECT firm, CASE WHEN partner_count > 0 AND eligible >= partner_count THEN 'broad' WHEN partner_count > 0 AND eligible < ceil(partner_count / 2) THEN 'concentrated' ELSE 'unknown' END AS breadth, partner_count, eligible FROM p FULL JOIN f USING (firm)""")
+def carry_breadth(t):
+    """Customers' last quarters stand for snapshots of sixty firms, suppliers for filings of seventy."""
+    o = t.orders.select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate")).alias("period"), (F.col("o_custkey") % 60).alias("firm"), F.col("o_custkey").alias("member"), "o_orderpriority")
+    members = o.groupBy("firm", "period", "member").agg(F.expr(_TITLE).alias("title"))
+    filed = t.supplier.select((F.col("s_suppkey") % 70).alias("firm"), F.col("s_suppkey").alias("filed"), F.when(F.col("s_suppkey") % 7 > 0, F.col("s_suppkey") % 8).alias("eligible"))
+    return moves.carry_breadth(members, o.select("firm", "period"), filed, "firm", "period", "title", "filed", "eligible")

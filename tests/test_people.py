@@ -35,3 +35,11 @@ def test_movements(spark):
         ("f", "bob", "joined", 3, None, "Partner"), ("f", "dan", "joined", 4, None, "GP"), ("f", "cat", "left", 3, None, None),
         ("f", "ann", "promoted", 3, "Analyst", "Associate"), ("f", "ann", "title_change", 4, "Associate", "Advisor"), ("f", "ann", "promoted", 7, "Associate", "Partner"), ("f", "dan", "title_change", 7, "GP", "gp of two"),
     }
+
+
+def test_carry_breadth(spark):
+    members = spark.createDataFrame([("a", 1, "Partner"), ("a", 2, "General Partner"), ("a", 2, "gp"), ("a", 2, "Analyst"), ("b", 1, "Partner"), ("c", 1, None), ("e", 1, "Partner"), ("e", 1, "Partner"), ("e", 1, "Partner")], "firm string, at int, title string")
+    snapshots = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("c", 1), ("e", 1)], "firm string, at int")
+    filings = spark.createDataFrame([("a", 1, 9), ("a", 2, 2), ("b", 1, 5), ("c", 1, 1), ("d", 1, 4), ("e", 1, 9), ("e", 2, 1)], "firm string, filed int, eligible int")
+    found = movements.carry_breadth(members, snapshots, filings, "firm", "at", "title", "filed", "eligible")
+    assert {tuple(r) for r in found.collect()} == {("a", "broad", 2, 2), ("b", "unknown", 0, 5), ("c", "unknown", 0, 1), ("d", "unknown", None, 4), ("e", "concentrated", 3, 1)}
