@@ -31,9 +31,9 @@ from .tokens import Memory, slices, tokenizer_path
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Words whose alignment a worker remembers (a generation of its memory), and their characters at most.
-REMEMBERED, SHORT = 100_000, 64
+REMEMBERED, SHORT = 130_000, 64
 #: Bytes of new words that are aligned at a time, but for single longer ones.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 18
 #: Rows and bytes of a block.
 ROWS, SIZE = 4_096, 2 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -52,17 +52,26 @@ SELECT lag(e, 1, 0) OVER (ORDER BY e) AS s, e, CAST(sum(1) OVER (ORDER BY e ROWS
 FROM (SELECT e FROM a SEMI JOIN b USING (e))
 """
 GROUPED_A = "SELECT a.w, a.s, a.id, spans.g FROM a ASOF JOIN spans ON a.e <= spans.e"
-GROUPED_B = "SELECT b.w, b.s, b.id, spans.g FROM b JOIN spans ON b.s >= spans.s AND b.e <= spans.e"
-SUMMED = """
-WITH x AS (SELECT g, any_value(w) AS w, count(*) AS n FROM ga GROUP BY g), y AS (SELECT g, count(*) AS n FROM gb GROUP BY g)
-SELECT w, CAST(sum(x.n) AS BIGINT) AS n_a, CAST(sum(y.n) AS BIGINT) AS n_b, count(*) AS n_groups, CAST(sum(x.n * y.n) AS BIGINT) AS n_links
-FROM x JOIN y USING (g) GROUP BY w ORDER BY w
+# Most tokens of b are a group's only one there and equal it; what is left lies within the groups that are left.
+GROUPED_B = """
+SELECT b.w, b.s, b.id, spans.g FROM b JOIN spans USING (s, e) UNION ALL
+SELECT x.w, x.s, x.id, y.g FROM (SELECT * FROM b ANTI JOIN spans USING (s, e)) x JOIN (SELECT * FROM spans ANTI JOIN b USING (s, e)) y ON x.s >= y.s AND x.e <= y.e
 """
+SIZES = """
+WITH x AS (SELECT g, any_value(w) AS w, count(*) AS n_a FROM ga GROUP BY g), y AS (SELECT g, count(*) AS n_b FROM gb GROUP BY g)
+SELECT g, w, n_a, n_b, n_a * n_b AS n_links FROM x JOIN y USING (g)
+"""
+SUMMED = "SELECT w, CAST(sum(n_a) AS BIGINT) AS n_a, CAST(sum(n_b) AS BIGINT) AS n_b, count(*) AS n_groups, CAST(sum(n_links) AS BIGINT) AS n_links, max(n_links) AS most FROM sizes GROUP BY w ORDER BY w"
 #: Tokens in the order in which a document's groups are written.
 WRITTEN = """
 SELECT w, g, side, id FROM (SELECT w, g, 0 AS side, s, id FROM ga UNION ALL SELECT w, g, 1, s, id FROM gb) ORDER BY g, side, s
 """
 LINKED = """
+SELECT ga.w, (CAST(ga.id AS BIGINT) << 32) + gb.id AS pair, count(*) AS links FROM ga JOIN gb USING (g) GROUP BY ALL ORDER BY ga.w, pair
+"""
+#: Links of a group above which its tokens are first counted by id, so that repetitive texts without shared ends don't make their links one by one.
+DENSE = 4_096
+LINKED_DENSE = """
 WITH x AS (SELECT g, w, id, count(*) AS n FROM ga GROUP BY ALL), y AS (SELECT g, id, count(*) AS n FROM gb GROUP BY ALL)
 SELECT x.w, (CAST(x.id AS BIGINT) << 32) + y.id AS pair, CAST(sum(x.n * y.n) AS BIGINT) AS links FROM x JOIN y USING (g) GROUP BY ALL ORDER BY x.w, pair
 """
@@ -180,14 +189,16 @@ class Aligner:
         db.execute(f"CREATE OR REPLACE TEMP TABLE spans AS {SPANS}")
         db.execute(f"CREATE OR REPLACE TEMP TABLE ga AS {GROUPED_A}")
         db.execute(f"CREATE OR REPLACE TEMP TABLE gb AS {GROUPED_B}")
-        numbers, linked, written = (db.execute(q).fetchnumpy() for q in (SUMMED, LINKED, WRITTEN))
+        db.execute(f"CREATE OR REPLACE TEMP TABLE sizes AS {SIZES}")
+        numbers, written = db.execute(SUMMED).fetchnumpy(), db.execute(WRITTEN).fetchnumpy()
+        linked = db.execute(LINKED if numbers["most"].max() <= DENSE else LINKED_DENSE).fetchnumpy()
         texts = self._groups_texts(*(written[c] for c in ("w", "g", "side", "id")))
         at = (16 * np.searchsorted(linked["w"], [*spelled, len(words)])).tolist()
         pairs = np.stack([linked["pair"], linked["links"]], axis=1).tobytes()
         sums = np.stack([numbers[c] for c in ("n_a", "n_b", "n_groups", "n_links")], axis=1).tobytes()
         for i, (w, text, p, q) in enumerate(zip(numbers["w"].tolist(), texts, at[:-1], at[1:], strict=True)):
             found[words[w]] = (sums[32 * i : 32 * i + 32], text, pairs[p:q])
-        for name in ("spans", "ga", "gb"):
+        for name in ("spans", "ga", "gb", "sizes"):
             db.execute(f"DROP TABLE {name}")
         return found
 
