@@ -333,8 +333,11 @@ def contradicting_facts(t):
 @query("""SELECT l_suppkey, count(*) AS deals, count(DISTINCT l_orderkey) AS companies, count(*) FILTER (l_extendedprice > 90000) AS unicorns, count(*) FILTER (l_returnflag = 'R') AS exits,
 CAST(trunc(avg(nullif(CASE WHEN l_tax = 0 THEN 0 ELSE l_extendedprice END, 0))) AS BIGINT) AS mean_check, CAST(trunc(sum(l_extendedprice)) AS BIGINT) AS deployed FROM lineitem GROUP BY 1""")
 def investor_rollup(t):
-    check = F.when(F.col("l_tax") == 0, 0.0).otherwise(F.col("l_extendedprice"))
-    return t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("deals"), F.countDistinct("l_orderkey").alias("companies"), F.count_if(F.col("l_extendedprice") > 90000).alias("unicorns"), F.count_if(F.col("l_returnflag") == "R").alias("exits"), F.avg(F.nullif(check, F.lit(0.0))).cast("long").alias("mean_check"), F.sum("l_extendedprice").cast("long").alias("deployed"))
+    # Whole units are cut from exact sums: those of doubles depend on the order and may end just below a whole number.
+    price = F.col("l_extendedprice").cast("decimal(20,4)")
+    check = F.when((F.col("l_tax").isNull() | (F.col("l_tax") != 0)) & (price != 0), price)
+    sums = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("deals"), F.countDistinct("l_orderkey").alias("companies"), F.count_if(F.col("l_extendedprice") > 90000).alias("unicorns"), F.count_if(F.col("l_returnflag") == "R").alias("exits"), F.sum(check).alias("checks"), F.count(check).alias("n"), F.sum(price).alias("all"))
+    return sums.select("l_suppkey", "deals", "companies", "unicorns", "exits", F.expr("if(n = 0, null, checks div n)").alias("mean_check"), F.col("all").cast("long").alias("deployed"))
 
 
 @query("""WITH d AS (SELECT source, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY 1), q AS (SELECT source, count(*) AS labelled, sum(quality) AS verified FROM documents JOIN labels USING (doc_id) GROUP BY 1)
