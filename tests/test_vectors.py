@@ -58,3 +58,20 @@ def test_fewer_rows_than_asked(spark):
     few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
     found = vectors.search(vectors.build_lists(few, 2), few, 10, 1, exact=True)
     assert found.groupBy("query").count().filter("count = 3").count() == 4
+
+
+def test_top_k_by_blocks(spark):
+    """Many small blocks, copies (ties by id), and vectors without a cosine, which come last."""
+    from ledgerline.operators.joins import vector_top_k
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5))
+    v = np.vstack([v, v[:20]])
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(90, None), (91, [None, 1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    found = vector_top_k(rows, rows.filter("vec_id % 10 = 0"), 4, cell=16).collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(0, 80, 10):
+        cosine = np.round(unit @ unit[q], 12)
+        expected = sorted((i for i in range(80) if i != q), key=lambda i: (-cosine[i], i))[:4]
+        assert [r.id for r in sorted((r for r in found if r.query == q), key=lambda r: (-round(r.cosine, 12), r.id))] == expected
+    assert [(r.id, r.cosine) for r in found if r.query == 90] == [(i, None) for i in range(4)]
