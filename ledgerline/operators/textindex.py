@@ -60,14 +60,16 @@ def rank(phrase: Column, words: Column, title: Column, subtitle: Column, link: C
 def search(index: TextIndex, queries: DataFrame, query_id: str, phrase: str, k: int) -> DataFrame:
     """query_id, id, score, place: for each phrase the k rows of best rank whose title or subtitle holds each of its words; ties by id.
 
-    A phrase meets only the rows that hold its rarest piece, and only those are checked and ranked. A phrase without words finds nothing.
+    A phrase meets only the rows that hold its rarest piece, and only those are checked and ranked; equal phrases are searched once. A phrase without words finds nothing.
     """
-    asked = queries.select(F.col(query_id).alias("q"), F.trim(F.lower(phrase)).alias("phrase"), tokens(F.col(phrase)).alias("words")).filter(F.size("words") > 0)
+    every = queries.select(F.col(query_id).alias("query"), F.trim(F.lower(phrase)).alias("phrase"), tokens(F.col(phrase)).alias("words")).filter(F.size("words") > 0)
+    asked = staged(every.select("phrase", "words").distinct(), "search-phrases")
     pieces = F.flatten(F.transform("words", lambda w: _pieces(w, F.least(F.length(w), F.lit(LONGEST)))))
-    each = asked.select("q", F.explode(F.array_distinct(pieces)).alias("piece")).join(index.counts, "piece", "left")
-    anchors = each.groupBy("q").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
-    met = anchors.join(index.postings, "piece").select("q", "id").join(asked, "q").join(index.rows, "id")
+    each = asked.select("phrase", "words", F.explode(F.array_distinct(pieces)).alias("piece")).join(index.counts, "piece", "left")
+    anchors = each.groupBy("phrase", "words").agg(F.min_by("piece", F.struct(F.coalesce("n", F.lit(0)), "piece")).alias("piece"))
+    met = anchors.join(index.postings, "piece").join(index.rows, "id")
     held = met.filter(F.forall("words", lambda w: F.contains("title", w) | F.contains("subtitle", w)))
-    scored = held.select("q", "id", rank(*(F.col(c) for c in ("phrase", "words", "title", "subtitle", "link", "quality"))).alias("score"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("place", place).filter(F.col("place") <= k).select(F.col("q").alias(query_id), "id", "score", "place")
+    scored = held.select("phrase", "words", "id", rank(*(F.col(c) for c in ("phrase", "words", "title", "subtitle", "link", "quality"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("phrase", "words").orderBy(F.desc("score"), "id"))
+    best = scored.withColumn("place", place).filter(F.col("place") <= k)
+    return every.join(best, ["phrase", "words"]).select(F.col("query").alias(query_id), "id", "score", "place")

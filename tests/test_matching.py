@@ -108,3 +108,13 @@ def test_search_edges(spark):
     for r in textindex.search(index, queries, "q", "phrase", 5).orderBy("q", "place").collect():
         found.setdefault(r.q, []).append((r.id, r.score))
     assert found == {1: [(2, 500 + 120 + 40 + 50), (1, 400 + 120 + 40 + 50), (3, 15)], 2: [(4, 120 + 80 + 50)], 5: [(1, 120 + 80 + 50), (2, 80 + 50), (3, 30)], 7: [(3, 30)]}
+
+
+def test_equal_phrases_are_searched_once(spark):
+    """Copies of a phrase have its rows each, and only one of them meets the rows."""
+    rows = spark.createDataFrame([(i, f"red bolt {i}", "steel") for i in range(20)], "id long, title string, subtitle string")
+    index = textindex.build_index(rows, "id", "title", "subtitle")
+    asked = spark.createDataFrame([(i, "Red  steel" if i else " ") for i in range(30)], "q long, phrase string")
+    found = textindex.search(index, asked, "q", "phrase", 3)
+    assert sorted((r.q, r.id, r.place) for r in found.collect()) == [(q, i, i + 1) for q in range(1, 30) for i in range(3)]
+    assert "search-phrases" in found._jdf.queryExecution().toString()
