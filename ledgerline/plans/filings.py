@@ -80,7 +80,8 @@ def filing_trades(t):
     relation = _tag("reportingOwnerRelationship", F.concat(_tag("isDirector", F.when(F.col("l_orderkey") % 2 == 0, "1").otherwise("0")), _tag("isOther", F.when(F.col("l_orderkey") % 5 == 0, "true").otherwise("false"))))
     html = _tag("ownershipDocument", F.concat(_tag("reportingOwner", F.concat(_tag("reportingOwnerId", _tag("rptOwnerCik", F.col("l_orderkey"))), relation)), _tag("nonDerivativeTable", F.col("body"))))
     parsed = _parsed(forms, "form_4", "l_orderkey", html)
-    return parsed.select("l_orderkey", "owner_cik", "is_director", "is_other", F.explode("trades").alias("x")).select("l_orderkey", "owner_cik", "is_director", "is_other", F.col("x.traded").cast("timestamp").alias("traded"), "x.code", "x.shares", "x.price")
+    keep = ["l_orderkey", "owner_cik", "is_director", "is_other"]
+    return filings.listed(parsed, keep, "trades").select(*keep, F.col("traded").cast("timestamp").alias("traded"), "code", "shares", "price")
 
 
 @query("""SELECT l_orderkey, '1998-12-01' AS as_of, l_linenumber AS number, 'Fund ' || l_suppkey || ' of ' || l_returnflag AS fund, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * floor(l_quantity) * 1000 AS committed, l_partkey * 1000.0 AS value FROM lineitem""")
