@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,17 @@ def test_mentions(spark):
     assert found == expected and found[5, 10] == 8
 
 
+def test_names_meet_only_texts_that_hold_them():
+    names = [b"und der wald", b"acme", b"a name of many more bytes than a piece"]
+    known = np.zeros(1 << (mentions.BITS - 6), np.uint64)
+    for x in (int(mentions._of_name(n)[0]) for n in names):
+        for slot in (x >> (64 - mentions.BITS), x & ((1 << mentions.BITS) - 1)):
+            known[slot >> 6] |= np.uint64(1 << (slot & 63))
+    pieces = mentions._of_text(known)
+    assert not len(pieces(b"und dex wald, und der walx, acm acne; a name of m, bytes than a piec")) and not len(pieces(b"")) and not len(pieces(b"acm"))
+    assert [len(pieces(b"in " + n + b".")) for n in names] == [1, 1, 1]
+
+
 @pytest.mark.parametrize("k", [0, 1, 2])
 def test_edits(spark, k):
     draw = random.Random(k)
