@@ -113,6 +113,15 @@ def test_identity_cascade(spark):
     assert values(found, "id", "known", "key") == [(1, 10, "email"), (2, 11, "firm")]
 
 
+def test_identity_cascade_meets_one_known_row_a_key(spark):
+    new = spark.createDataFrame([(i, None, "f") for i in range(20)] + [(20, "a@x", "f"), (21, "b@x", "g")], "id int, email string, firm string")
+    known = spark.createDataFrame([(i, None, "f", i % 7) for i in range(30)] + [(30, "a@x", "f", None), (31, None, "g", None), (32, None, "g", None)], "known int, email string, firm string, created int")
+    found = identity.cascade(new, known, [("email", 1.0), ("firm", 0.75)], "id", "known", "created")
+    assert set(values(found, "id", "known", "key")) == {*((i, 6, "firm") for i in range(20)), (20, 30, "email"), (21, 31, "firm")}
+    joins_ = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1:]
+    assert len(joins_) == 2 and all("Window" in x for x in joins_)
+
+
 def test_repoint_drops_loops(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "src int, dst int")
     canonical = spark.createDataFrame([(2, 1)], "id int, canonical_id int")
