@@ -69,6 +69,17 @@ def test_watchlist_by_brute_force(spark):
     assert found == expected and len(found) >= 4 and 1.0 not in {v for k, v in found.items() if k != (0, 5)}
 
 
+def test_watchlist_scores_profiles_and_joins_people_last(spark):
+    schema = "name string, dob string, country string"
+    a = spark.createDataFrame([(i, "Jon Smyth", f"{1970 + i % 2}", None) for i in range(40)], f"q long, {schema}")
+    b = spark.createDataFrame([(i, ["John Smith", "Jon Smyth"][i % 2], f"{1970 + i % 3}", "gb") for i in range(60)], f"id long, {schema}")
+    found = identity.watchlist(a, b, 0.55)
+    assert "Aggregate [q" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = {(i, j) for i in range(40) for j in range(60) if plain_match({"names": ["Jon Smyth"], "dob": f"{1970 + i % 2}", "country": None}, {"names": [["John Smith", "Jon Smyth"][j % 2]], "dob": f"{1970 + j % 3}", "country": "gb"}) >= 0.55}
+    rows = [(r.q, r.id) for r in found.collect()]
+    assert set(rows) == expected and len(rows) == len(expected) > 1000
+
+
 def test_style_by_brute_force(spark):
     texts = ["", "One day — we went (out), the end. Who? ME! https://x.io is up.\nIt's a well-known fact; so: what", "aaa AAA aaa 123 42\n\n", "Ünï çödé wörds… and \U0001f600 faces \U0001f680 and the day", "word " * 50]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
