@@ -17,7 +17,8 @@
 4. A small node compares all its sketches; classes with a candidate partner
    become members of it. A pair that an earlier small node of the same level
    holds is left to that node.
-5. Members' whole texts are fetched once, and each node confirms its links on
+5. Members' whole texts are fetched once (others stay behind a bit map of the members'
+   hashes), and each node confirms its links on
    full sets by one incidence-matrix product. It emits a spanning forest of the
    links, not all pairs.
 6. Components spread the smallest class along the forests, with pointer jumping.
@@ -52,6 +53,8 @@ FUNCTIONS = 64
 SHARED = 30
 #: Columns of the incidence matrix at a time.
 COLUMNS = 4_096
+#: Bits of the map that texts must hit before they are shuffled to the members: 4 MB at most, at every size.
+MAP_BITS = 1 << 25
 
 
 def trees(threshold: float, recall: float = RECALL) -> int:
@@ -354,6 +357,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = found.select("v", "label")
 
 
+def _likely(rows: DataFrame, members: DataFrame, bits: int = MAP_BITS) -> DataFrame:
+    """rows (text_hash) without most of those whose hash no member (rep_hash) has; for an exact join that follows.
+
+    The map of the members' hashes has a fixed number of bits, so it is broadcast at every size: many members only let more rows through.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = members.select(at("rep_hash").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    place = F.bitmap_bit_position(at("text_hash"))
+    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(at("text_hash")) == F.col("part")).filter(hit).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, limit: int = LIMIT, depth: int = DEPTH, set_limit: int = SET_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -382,9 +398,9 @@ def _marked(docs: DataFrame, words: int, threshold: int, limit: int, depth: int,
     def confirmed(candidates: DataFrame, name: str) -> DataFrame:
         """Links (a, b) of the candidates (cls, node) that share a node, on whole sets."""
         nodes = candidates.groupBy("cls").agg(F.collect_set("node").alias("nodes")).join(reps.select("cls", "rep", "rep_hash"), "cls")
-        # Members grow with the documents, so their texts come by a shuffle at every size.
-        members = stage(nodes, f"near-members{name}").hint("merge")
-        texts = rows.join(members, (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("cls", "text", "nodes")
+        # Members grow with the documents, so their texts, but hardly any others, come by a shuffle at every size.
+        members = stage(nodes, f"near-members{name}")
+        texts = _likely(rows, members).join(members.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))).select("cls", "text", "nodes")
         sets = texts.mapInArrow(_member_sets(words), "node long, cls long, shingles binary")
         return stage(_sorted_by_node(sets).mapInArrow(_confirm(threshold), "a long, b long"), f"near-edges{name}")
 

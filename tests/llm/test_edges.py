@@ -161,6 +161,17 @@ def test_near_dedup(make):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [10, 13, 14, 15, 17]
 
 
+def test_near_dedup_shuffles_hardly_any_texts_but_the_members(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    rows = rows.unionByName(rows.filter("doc_id < 100"))
+    members = rows.filter("doc_id % 100 = 0").select(F.col("text_hash").alias("rep_hash"))
+    found = [r.doc_id for r in near_dedup._likely(rows, members).collect()]
+    assert found.count(0) == 2 and set(range(0, 20_000, 100)) <= set(found) and len(found) < 220
+    crowded = [r.doc_id for r in near_dedup._likely(rows, members, 64).collect()]
+    assert set(found) <= set(crowded)
+    assert near_dedup._likely(rows, members.filter("rep_hash is null")).isEmpty()
+
+
 def test_near_dedup_of_large_nodes(spark, make):
     """Nodes above the limit branch again, and dense ones are dealt into pairs of blocks."""
     rng = np.random.default_rng(0)
