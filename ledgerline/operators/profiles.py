@@ -216,10 +216,8 @@ def ladder_closeness(c: Column, targets: list[str], ladder: list[str], steps: tu
 
 def stem(w: Column) -> Column:
     """Small letters without a last ing, ed, es or s of longer words."""
-    w = F.regexp_replace(F.lower(w), "[^a-z]", "")
-    for ending, least in (("ing", 5), ("ed", 4), ("es", 4), ("s", 3)):
-        w = F.when(w.endswith(ending) & (F.length(w) > least), F.concat(F.substring(w, F.lit(1), F.length(w) - len(ending)), F.lit("-"))).otherwise(w)
-    return F.replace(w, F.lit("-"))
+    letters = F.regexp_replace(F.lower(w), "[^a-z]", "")
+    return F.regexp_replace(letters, "^(.{3,}?)(?:ing|ed|es|s)$", "$1")
 
 
 def stems(c: Column) -> Column:
@@ -229,14 +227,15 @@ def stems(c: Column) -> Column:
 
 def function_overlap(c: Column, targets: list[str]) -> Column:
     """1.5 times the best Jaccard similarity of the stems of a value and of a target, 1 at most."""
-    mine = stems(c)
-    scores = []
-    for t in targets:
-        other = stems(F.lit(t))
-        both = F.size(F.array_intersect(mine, other))
-        scores.append(F.coalesce(both / F.greatest(F.lit(1), F.size(F.array_union(mine, other))), F.lit(0.0)))
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return F.least(F.lit(1.0), best * 1.5)
+    # An array of one element binds the stems, so that they are made once a row.
+    bound = F.array(F.struct(stems(c).alias("mine"), *(stems(F.lit(t)).alias(f"t{i}") for i, t in enumerate(targets))))
+
+    def closest(s: Column) -> Column:
+        alike = [F.size(F.array_intersect(s["mine"], s[f"t{i}"])) / F.greatest(F.lit(1), F.size(F.array_union(s["mine"], s[f"t{i}"]))) for i in range(len(targets))]
+        scores = [F.coalesce(x, F.lit(0.0)) for x in alike]
+        return F.greatest(*scores) if len(scores) > 1 else scores[0]
+
+    return F.least(F.lit(1.0), F.transform(bound, closest)[0] * 1.5)
 
 
 def industry_closeness(c: Column, targets: list[str], parents: dict[str, list[str]]) -> Column:

@@ -133,3 +133,11 @@ def test_baseline_summaries_fire_nothing(spark):
     old = ("vp", None, "acme", 1, "x", None, 44.0, None, 7.0, (0, 0, 0, 0), 2)
     rows = spark.createDataFrame([(1, None, new), (2, new, new), (3, old, new)], f"entity long, old struct<{fields}>, new struct<{fields}>")
     assert values(triggers.summary_triggers(rows), "entity", "kind") == [(3, "any_change"), (3, "dd_finding_new"), (3, "fit_score_change"), (3, "geo_change")]
+
+
+def test_stems_cut_the_first_ending_and_are_made_once(spark):
+    words = {"trading": "trad", "ring": "ring", "boxes": "box", "axes": "axe", "bed": "bed", "desks": "desk", "Marketed!": "market", "sing": "sing", "oxe": "oxe", "glasses": "glass"}
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", profiles.stem(F.col("w")).alias("s")).collect()
+    assert {r.w: r.s for r in found} == words
+    plan = spark.range(1).select(profiles.function_overlap(F.col("id").cast("string"), ["desk", "market"]))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 12  # the column's name repeats them
