@@ -130,3 +130,16 @@ def test_equal_phrases_are_searched_once(spark):
     found = textindex.search(index, asked, "q", "phrase", 3)
     assert sorted((r.q, r.id, r.place) for r in found.collect()) == [(q, i, i + 1) for q in range(1, 30) for i in range(3)]
     assert "search-phrases" in found._jdf.queryExecution().toString()
+
+
+def test_profiles_are_counted_in_bytes_of_whole_texts():
+    import pyarrow as pa
+
+    from ledgerline.plans.relational import CELLS, _profiles
+
+    texts = ["the heath " * 3, "aaa", "\u00e9\u00e8 e", "123"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    found = next(_profiles([batch])).column("h").to_pylist()
+    for text, h in zip(texts, found, strict=True):
+        counts = [(len(text) - len(text.replace(c, ""))) // len(c) for c in CELLS]
+        assert h % 2**64 == sum(1 << (63 - i) for i, n in enumerate(counts) if n * 64 > sum(counts))
