@@ -143,3 +143,13 @@ def test_profiles_are_counted_in_bytes_of_whole_texts():
     for text, h in zip(texts, found, strict=True):
         counts = [(len(text) - len(text.replace(c, ""))) // len(c) for c in CELLS]
         assert h % 2**64 == sum(1 << (63 - i) for i, n in enumerate(counts) if n * 64 > sum(counts))
+
+
+def test_counted_pairs_are_dealt_into_more_parts_as_rows_grow(spark):
+    from ledgerline.operators import joins
+
+    rows = spark.createDataFrame([(g, m) for g in range(40) for m in (1, 2, 2, g % 3 + 3)], "g int, m int")
+    few, many = joins.counted_pairs(rows, "g", "m"), joins.counted_pairs(rows, "g", "m", 5)
+    wanted = {(1, 2, 40)} | {(a, b + 3, n) for a in (1, 2) for b, n in enumerate((14, 13, 13))}
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == wanted
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (8, 32)
