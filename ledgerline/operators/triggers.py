@@ -56,18 +56,25 @@ def news_feeds(news: DataFrame) -> dict[str, DataFrame]:
     return {"new_news_item": news, "adverse_media": news.filter(adverse), "funding_event": news.filter(F.col("title").rlike(FUNDING))}
 
 
-def feed_triggers(feeds: dict[str, DataFrame], watermarks: DataFrame) -> DataFrame:
+def feed_triggers(feeds: dict[str, DataFrame], watermarks: DataFrame, parts: int = 0, salts: int = 8) -> DataFrame:
     """entity, kind, dedupe_key, n: for each kind's feed (entity, id, at) the newest row after the entity's watermark, and how many there are.
 
     watermarks: entity, since; an entity without one has seen nothing. A kind may stand in several feeds: `kind` or `kind:rank`, and
     an entity takes it from the least rank that has rows. Ties of time go to the greatest id.
+
+    Rows are dealt into `parts` tasks (the session's number at least) by entity and by one of `salts` shares of its ids, so that an
+    entity with very many rows is not one task's; the newest of its shares then meet.
     """
-    parts = []
+    tagged = []
     for name, rows in feeds.items():
         kind, _, rank = name.partition(":")
-        parts.append(rows.select("entity", F.lit(kind).alias("kind"), F.lit(int(rank or 0)).alias("rank"), F.col("id").cast("string").alias("id"), F.col("at").cast("timestamp_ntz").alias("at")))
-    rows = reduce(DataFrame.unionByName, parts).join(watermarks, "entity", "left").filter(F.col("since").isNull() | (F.col("at") > F.col("since")))
-    newest = rows.groupBy("entity", "kind", "rank").agg(F.max_by("id", F.struct("at", "id")).alias("dedupe_key"), F.count("*").alias("n"))
+        tagged.append(rows.select("entity", F.lit(kind).alias("kind"), F.lit(int(rank or 0)).alias("rank"), F.col("id").cast("string").alias("id"), F.col("at").cast("timestamp_ntz").alias("at")))
+    parts = max(parts, int(watermarks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = reduce(DataFrame.unionByName, tagged).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).repartition(parts, "entity", "salt")
+    since = watermarks.select("entity", "since", F.explode(F.array(*map(F.lit, range(salts)))).alias("salt")).repartition(parts, "entity", "salt")
+    unseen = rows.join(since, ["entity", "salt"], "left").filter(F.col("since").isNull() | (F.col("at") > F.col("since")))
+    some = unseen.groupBy("entity", "salt", "kind", "rank").agg(F.max(F.struct("at", "id")).alias("last"), F.count("*").alias("n")).drop("salt")
+    newest = some.repartition(parts, "entity", "kind").groupBy("entity", "kind", "rank").agg(F.max("last")["id"].alias("dedupe_key"), F.sum("n").alias("n"))
     first = newest.groupBy("entity", "kind").agg(F.min_by(F.struct("dedupe_key", "n"), "rank").alias("f"))
     return first.select("entity", "kind", "f.*")
 

@@ -141,3 +141,11 @@ def test_stems_cut_the_first_ending_and_are_made_once(spark):
     assert {r.w: r.s for r in found} == words
     plan = spark.range(1).select(profiles.function_overlap(F.col("id").cast("string"), ["desk", "market"]))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace") <= 12  # the column's name repeats them
+
+
+def test_feeds_of_one_entity_are_dealt_into_shares(spark):
+    rows = spark.range(1000).select((F.col("id") % 1 + 7).alias("entity"), "id", F.timestamp_seconds(F.col("id") % 10).cast("timestamp_ntz").alias("at"))
+    since = spark.range(0).select(F.col("id").alias("entity"), F.lit(None).cast("timestamp_ntz").alias("since"))
+    found = triggers.feed_triggers({"new_post": rows}, since, 20)
+    assert [tuple(r) for r in found.collect()] == [(7, "new_post", "999", 1000)]
+    assert "salt" in found._jdf.queryExecution().analyzed().toString()
