@@ -272,6 +272,21 @@ def test_spans_are_verified_in_all_documents(spark):
     assert found == {r[:3] for r in brute_spans(claims, sources)} and any(d >= 40 for _, d, _ in found)
 
 
+def test_spans_meet_only_texts_that_can_hold_them(spark):
+    rare = " ".join(f"rare{i}" for i in range(20))
+    claims = [(1, rare, rare), (2, "kelvin", "Kelvin in Diyar is \u212aelvin in Diyar"), (3, "b", "of b")]
+    # 300 texts with some of a span's rarest words, which hold too little of it; the others hold it, in odd letters too, and one id has two texts.
+    sources = [(i, " ".join(f"rare{j}" for j in range(i % 5, i % 5 + 8)) + " word" * 50) for i in range(300)]
+    sources += [(1000, rare.upper()), (1000, "not so"), (1001, "x" + rare + "y"), (1002, "KEL\u212a \u212aELVIN IN D\u0130YAR, is kelvin in d\u0130 yar"), (1003, "\u212aELVIN IN DIYAR IS kelvin-in DIYAR \u1e9e\u03a3"), (1004, None)]
+    texts = spark.createDataFrame(sources, "doc_id long, text string")
+    found = search.verify_spans(spark.createDataFrame(claims, "item_id long, claim string, span string"), texts)
+    rows = [(r.item_id, r.doc_id, r.contained, round(r.share, 6), round(r.score, 6), r.verified) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute_spans(claims, sources) and {(1, 1000), (1, 1001), (2, 1003)} == {r[:2] for r in rows}
+    words = rare.split(" ")
+    spans = spark.createDataFrame([(1, words, words[1:-1])], "item_id long, k array<string>, inner array<string>")
+    assert {(r.item_id, r.doc_id) for r in search.span_candidates(spans, texts, 0.85).collect()} == {(1, 1000), (1, 1001)}
+
+
 def test_graph_queries_see_all_pairs(spark):
     from ledgerline.plans.catalog import QUERIES
 
