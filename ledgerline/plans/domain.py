@@ -297,7 +297,7 @@ def conversation_kind(t):
 
 
 @query("""SELECT v.vec_id, q.vec_id AS match, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine, CASE WHEN list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.85 THEN 'merge' ELSE 'review' END AS decision
-FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id WHERE v.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, q.vec_id) = 1""")
+FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, q.vec_id) = 1""")
 def vector_resolve(t):
-    best = joins.vector_top_k(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), 1)
+    best = joins.vector_top_k(t.embeddings, t.embeddings, 1, cell=32_768)
     return best.select(F.col("query").alias("vec_id"), F.col("id").alias("match"), F.round("cosine", 6).alias("cosine"), F.when(F.col("cosine") >= 0.85, "merge").otherwise("review").alias("decision"))

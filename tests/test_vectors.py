@@ -75,3 +75,12 @@ def test_top_k_by_blocks(spark):
         expected = sorted((i for i in range(80) if i != q), key=lambda i: (-cosine[i], i))[:4]
         assert [r.id for r in sorted((r for r in found if r.query == q), key=lambda r: (-round(r.cosine, 12), r.id))] == expected
     assert [(r.id, r.cosine) for r in found if r.query == 90] == [(i, None) for i in range(4)]
+
+
+def test_every_vector_is_resolved(spark):
+    from ledgerline.plans.catalog import QUERIES
+
+    from .conftest import FOLDER
+
+    rows = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
+    assert sorted(r.vec_id for r in QUERIES["vector_resolve"](spark, FOLDER).collect()) == sorted(r.vec_id for r in rows.collect())
