@@ -48,4 +48,28 @@ def test_no_pair_of_edges_is_a_row(spark):
     """A hub's neighbours are not paired one by one: groups hold cells, of which there are few."""
     star = joins.undirected(spark.createDataFrame([(0, i) for i in range(1, 1_000)], "a long, b long"))
     whole = products.cells(star)
-    assert whole.table.count() <= 2 * 8 and products.ways(whole, whole, whole, False).count().agg({"count": "sum"}).first()[0] <= 8 * 8 * 9
+    assert whole.table.count() <= 2 * 8 and products.ways(whole.table, whole, whole.table, False).count().agg({"count": "sum"}).first()[0] <= 8 * 8 * 9
+
+
+@pytest.mark.parametrize("chance", [0.02, 0.4])
+def test_distances(spark, chance):
+    pairs, near = web(300, chance)
+    edges = joins.undirected(spark.createDataFrame(pairs, "a long, b long, weight double"))
+    asked = [*sorted(near)[::3], 9_999]  # one without an edge
+    expected = {}
+    for source in asked:
+        front, expected[source, source] = {source}, 0
+        for level in (1, 2, 3):
+            front = {j for i in front for j in near[i]} - {j for s, j in expected if s == source}
+            expected |= {(source, j): level for j in front}
+    found = [((r.src, r.id), r.distance) for r in graph.distances(edges, spark.createDataFrame([(i,) for i in asked], "id long"), 3).collect()]
+    assert dict(found) == expected and len(found) == len(expected)
+
+
+def test_every_supplier_has_a_neighbourhood(spark):
+    from ledgerline.plans.catalog import QUERIES
+
+    from .conftest import FOLDER
+
+    suppliers = {r.s_suppkey for r in spark.read.parquet(f"{FOLDER}/supplier.parquet").collect()}
+    assert {r.src for r in QUERIES["neighbourhood_3hop"](spark, FOLDER).collect()} == suppliers
