@@ -127,3 +127,31 @@ def test_paths(spark, monkeypatch, chance):
         assert found == expected
     else:
         assert all(found[k] == expected[k] for k in expected)
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_months_and_groups_of_edges(spark, size):
+    """Edges whose ends meet in small and in large groups, in one block and in several; open ends are null."""
+    import datetime
+
+    from ledgerline.operators import relations
+
+    rng = np.random.default_rng(size)
+    pairs, _ = web(40, 0.3)
+    ids = sorted({i for a, b, _ in pairs for i in (a, b)})
+    day = lambda: None if rng.random() < 0.1 else datetime.date(2000, 1, 1) + datetime.timedelta(int(rng.integers(900)))
+    rows = [(f"g{g}", m, day(), day()) for g in range(30) for m in ids if rng.random() < (0.9 if g < 2 else 0.1)]
+    edges = relations.blocks(spark.createDataFrame(pairs, "a long, b long, weight double").select("a", "b"), size=size)
+    of = {m: {g: (s, e) for g, x, s, e in rows if x == m} for m in ids}
+    expected = {}
+    for a, b, _ in pairs:
+        months, last = 0.0, []
+        for g in of[a].keys() & of[b].keys():
+            starts, ends = ([d[i] for d in (of[a][g], of[b][g]) if d[i]] for i in (0, 1))
+            months += max(0, (min(ends) - max(starts)).days) / 30.44 if starts and ends else 0
+            last += ends
+        if months:
+            expected[a, b] = (round(min(1, np.log1p(months) / np.log(37)), 6), max(last))
+    groups = spark.createDataFrame(rows, "g string, m long, s date, e date")
+    found = relations.overlap_signal(edges, groups, "g", "m", "s", "e", 36).collect()
+    assert {(r.a, r.b): (round(r.value, 6), r.seen) for r in found} == expected and len(found) == len(expected) > 30
