@@ -155,3 +155,16 @@ def test_months_and_groups_of_edges(spark, size):
     groups = spark.createDataFrame(rows, "g string, m long, s date, e date")
     found = relations.overlap_signal(edges, groups, "g", "m", "s", "e", 36).collect()
     assert {(r.a, r.b): (round(r.value, 6), r.seen) for r in found} == expected and len(found) == len(expected) > 30
+
+
+@pytest.mark.parametrize("groups, chance", [(7, 0.8), (300, 0.3), (5_000, 0.4)])
+def test_shared_groups(spark, groups, chance):
+    """Few groups that hold most members, and more than are multiplied at once; each block of members is packed once."""
+    rng = np.random.default_rng(groups)
+    ids = np.sort(rng.choice(10**12, 24, replace=False) - 10**11)
+    held = rng.random((24, groups)) < chance
+    rows = [(int(g * 17 - 50), int(ids[m])) for m, g in zip(*np.nonzero(held), strict=True)]
+    n = held.astype(int) @ held.T.astype(int)
+    expected = {(int(ids[a]), int(ids[b])): int(n[a, b]) for a in range(24) for b in range(a + 1, 24) if n[a, b]}
+    found = products.counted(spark.createDataFrame(rows, "g long, m long"), "g", "m", 10).collect()
+    assert {(r.a, r.b): r.n for r in found} == expected and len(found) == len(expected)
