@@ -51,3 +51,18 @@ def test_words_end_at_ascii_letters(spark):
     found = {r.id: r for r in pii.redact(rows, "text").collect()}
     assert found[1].text == "elle [REDACTED_CC] été"  # no edge between a space and a letter beyond ASCII, so the space stays
     assert found[2].credit_card == 1 and found[3].ssn == 1 and found[4].email == 1
+
+
+def test_watchlist_of_one_profile_is_dealt(spark):
+    """Hundreds of people who share a profile match as many listed ones; no task makes most of their rows."""
+    from pyspark.sql import functions as F
+
+    from ledgerline.operators import identity
+
+    one = "name string, dob string, country string"
+    asked = spark.createDataFrame([(i, "Ada Knight", "1950-01-01", "UK") for i in range(400)] + [(900, "Bo Nobody", None, None)], f"q long, {one}")
+    listed = spark.createDataFrame([(i, "Ada Night", "1950-01-01", "UK") for i in range(300)], f"id long, {one}")
+    found = identity.watchlist(asked, listed, 0.6, share=1_000)
+    rows = found.withColumn("task", F.spark_partition_id()).cache()
+    assert rows.select("q", "id").distinct().count() == rows.count() == 400 * 300
+    assert rows.groupBy("task").count().agg({"count": "max"}).first()[0] < 400 * 300 / 10
