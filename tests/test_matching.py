@@ -153,3 +153,17 @@ def test_counted_pairs_are_dealt_into_more_parts_as_rows_grow(spark):
     wanted = {(1, 2, 40)} | {(a, b + 3, n) for a in (1, 2) for b, n in enumerate((14, 13, 13))}
     assert {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()} == wanted
     assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (8, 32)
+
+
+def test_mentions_in_many_groups(spark):
+    """Names in several blocks and texts in several parts: every name meets every text once, and several ids of a name have rows each."""
+    import random
+
+    from ledgerline.operators import mentions
+
+    draw = random.Random(5)
+    words = ["acme", "acme corp", "a very long name of a firm", "beta", "Beta", "berét", "none such", "corp acme"]
+    texts = [(i, None if i == 7 else " ".join(draw.choice([*words, "x", "ACME"]) for _ in range(12))) for i in range(40)]
+    found = mentions.mentions(spark.createDataFrame(texts, "d long, text string"), spark.createDataFrame([(i, w) for i, w in enumerate(words)], "n int, name string"), "d", "text", "n", "name", 3, part=3, block=2).collect()
+    expected = {(d, n): min(3, c) for d, text in texts if text for n, w in enumerate(words) if (c := text.lower().count(w.lower()))}
+    assert {(r.d, r.n): r.hits for r in found} == expected and len(found) == len(expected)
